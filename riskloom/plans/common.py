@@ -36,7 +36,7 @@ def finalize(df: DataFrame, digits: int = 6, money_digits: int = 4, money: tuple
             cols.append(c.cast("bigint").alias(f.name))
         elif isinstance(t, (FloatType, DoubleType, DecimalType)):
             d = money_digits if f.name in money else digits
-            cols.append(F.round(c.cast("double"), d).alias(f.name))
+            cols.append((F.round(c.cast("double"), d) if d is not None else c.cast("double")).alias(f.name))
         else:
             cols.append(c)
     return df.select(*cols)
