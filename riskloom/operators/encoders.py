@@ -27,44 +27,50 @@ def frequency_table(train: DataFrame, col: str, name: str) -> DataFrame:
     return train.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).cast("double").alias(name))
 
 
+def apply_frequency(df: DataFrame, table: DataFrame, col: str, is_train: bool) -> DataFrame:
+    """Join a fitted frequency table; non-train rows map unseen/null to 0."""
+    out = df.join(table, on=col, how="left")
+    return out if is_train else out.fillna({f"{col}_freq": 0.0})
+
+
 def frequency_encode(train: DataFrame, others: list[DataFrame], col: str,
                      broadcast_rows: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """``col_freq`` = count of the value in *train*.  Train keeps null for a
     null value; other splits map unseen / null values to 0."""
-    name = f"{col}_freq"
-    freq = frequency_table(train, col, name)
+    freq = frequency_table(train, col, f"{col}_freq")
     if broadcast_rows:
         freq = checked_broadcast(freq, broadcast_rows)
-    tr = train.join(freq, on=col, how="left")
-    outs = [o.join(freq, on=col, how="left").fillna({name: 0.0}) for o in others]
-    return tr, outs
+    return apply_frequency(train, freq, col, True), [apply_frequency(o, freq, col, False) for o in others]
 
 
 def frequency_encode_missing(train: DataFrame, others: list[DataFrame], cols: list[str],
                              token: str = "missing") -> tuple[DataFrame, list[DataFrame]]:
     """Nulls first become ``missing``; then frequency-encode on train and
-    drop the original columns (unseen values -> 0 everywhere)."""
+    drop the original columns (unseen values -> 0 everywhere).  All tables
+    are fitted on the same filled train, then joined in a linear chain."""
     fill = {c: token for c in cols}
-    tr = train.fillna(fill)
+    tr0 = train.fillna(fill)
+    tables = {c: frequency_table(tr0, c, f"{c}_freq") for c in cols}
+    tr = tr0
     outs = [o.fillna(fill) for o in others]
     for c in cols:
-        freq = frequency_table(tr, c, f"{c}_freq")
-        tr = tr.join(freq, on=c, how="left").fillna({f"{c}_freq": 0.0})
-        outs = [o.join(freq, on=c, how="left").fillna({f"{c}_freq": 0.0}) for o in outs]
+        tr = apply_frequency(tr, tables[c], c, False)
+        outs = [apply_frequency(o, tables[c], c, False) for o in outs]
     return tr.drop(*cols), [o.drop(*cols) for o in outs]
 
 
-def target_encode_kfold(train: DataFrame, others: list[DataFrame], col: str, label: str,
-                        id_col: str, n_splits: int = 5, smoothing: float = 100.0
-                        ) -> tuple[DataFrame, list[DataFrame]]:
-    """Out-of-fold smoothed target mean.
-
-    Train row in fold f, category c:  (S_c - S_cf + m*g) / (N_c - N_cf + m)
-    where S/N are label sum/count, g the train mean, m the smoothing; a
-    category absent from the other folds gets g.  Valid/test rows get the
-    mean of train's OOF values for their category (g when unseen / null).
-    One ``groupBy(cat, fold)`` feeds everything; train is scanned once for
-    it and once for the join.
+def fit_target_kfold(train: DataFrame, col: str, label: str, id_col: str, n_splits: int = 5,
+                     smoothing: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fitted tables of the out-of-fold target encoding:
+
+    * ``oof``  (col, __fold, col_te): for a train row in fold f, category c,
+      ``(S_c - S_cf + m g) / (N_c - N_cf + m)`` (S/N label sum/count, g the
+      train mean, m the smoothing); a category absent from the other folds
+      gets g.
+    * ``full`` (col, col_te): mean of train's OOF values per category, for
+      valid / test.
+    * ``g``    one row, the train mean.
+    One ``groupBy(cat, fold)`` feeds all three.
     """
     name = f"{col}_te"
     m = float(smoothing)
@@ -72,24 +78,41 @@ def target_encode_kfold(train: DataFrame, others: list[DataFrame], col: str, lab
     g = tr.agg(F.avg(F.col(label).cast("double")).alias("__g"))
     per_fold = (tr.where(F.col(col).isNotNull()).groupBy(col, "__fold")
                   .agg(F.sum(F.col(label).cast("double")).alias("__sf"), F.count(F.lit(1)).alias("__nf")))
-    tot = Window.partitionBy(col)
+    tot = Window.partitionBy(col)  # <= n_splits rows per category
     oof = (per_fold.withColumn("__sc", F.sum("__sf").over(tot))
                    .withColumn("__nc", F.sum("__nf").over(tot))
                    .crossJoin(F.broadcast(g))
                    .withColumn(name, (F.col("__sc") - F.col("__sf") + m * F.col("__g"))
-                               / (F.col("__nc") - F.col("__nf") + m)))
-    oof = oof.select(col, "__fold", "__nf", name)
-    tr_out = (tr.join(oof.drop("__nf"), on=[col, "__fold"], how="left")
-                .crossJoin(F.broadcast(g))
-                .withColumn(name, F.coalesce(F.col(name), F.col("__g")))
-                .drop("__fold", "__g"))
+                               / (F.col("__nc") - F.col("__nf") + m))
+                   .select(col, "__fold", "__nf", name))
     full = oof.groupBy(col).agg((F.sum(F.col(name) * F.col("__nf")) / F.sum("__nf")).alias(name))
-    outs = []
-    for o in others:
-        oo = (o.join(full, on=col, how="left").crossJoin(F.broadcast(g))
-               .withColumn(name, F.coalesce(F.col(name), F.col("__g"))).drop("__g"))
-        outs.append(oo)
-    return tr_out, outs
+    return oof.drop("__nf"), full, g
+
+
+def apply_target_train(df: DataFrame, oof: DataFrame, g: DataFrame, col: str, id_col: str,
+                       n_splits: int = 5) -> DataFrame:
+    name = f"{col}_te"
+    return (df.withColumn("__fold", hash_bucket(id_col, n_splits))
+              .join(oof, on=[col, "__fold"], how="left")
+              .crossJoin(F.broadcast(g))
+              .withColumn(name, F.coalesce(F.col(name), F.col("__g")))
+              .drop("__fold", "__g"))
+
+
+def apply_target_other(df: DataFrame, full: DataFrame, g: DataFrame, col: str) -> DataFrame:
+    name = f"{col}_te"
+    return (df.join(full, on=col, how="left").crossJoin(F.broadcast(g))
+              .withColumn(name, F.coalesce(F.col(name), F.col("__g"))).drop("__g"))
+
+
+def target_encode_kfold(train: DataFrame, others: list[DataFrame], col: str, label: str,
+                        id_col: str, n_splits: int = 5, smoothing: float = 100.0
+                        ) -> tuple[DataFrame, list[DataFrame]]:
+    """Out-of-fold smoothed target mean on train; valid/test get the mean of
+    train's OOF values for their category (train mean when unseen / null)."""
+    oof, full, g = fit_target_kfold(train, col, label, id_col, n_splits, smoothing)
+    return (apply_target_train(train, oof, g, col, id_col, n_splits),
+            [apply_target_other(o, full, g, col) for o in others])
 
 
 def distinct_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:

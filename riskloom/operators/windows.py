@@ -18,11 +18,16 @@ from .joins import checked_broadcast
 DAY_US = 86_400_000_000
 
 
-def _attach(df: DataFrame, keys: list[str], aggs: list, small: bool = False) -> DataFrame:
+def _attach(df: DataFrame, keys: list[str], aggs: list, small: bool = False,
+            stats_from: DataFrame | None = None) -> DataFrame:
+    """Group ``stats_from`` (default ``df``) by ``keys`` and left-join the
+    aggregates onto ``df``.  Passing a materialised base as ``stats_from``
+    keeps chained feature plans linear instead of nesting ``df`` in itself."""
     cond = F.col(keys[0]).isNotNull()
     for k in keys[1:]:
         cond = cond & F.col(k).isNotNull()
-    stats = df.where(cond).groupBy(*keys).agg(*aggs)
+    src = df if stats_from is None else stats_from
+    stats = src.where(cond).groupBy(*keys).agg(*aggs)
     if small:
         stats = checked_broadcast(stats)
     return df.join(stats, on=keys, how="left")
@@ -40,9 +45,10 @@ def customer_totals(df: DataFrame, key: str = "customer_id", amount: str = "tran
                .drop("__n", "__s"))
 
 
-def customer_totals_full(df: DataFrame, key: str = "customer_id", amount: str = "transaction_amount") -> DataFrame:
+def customer_totals_full(df: DataFrame, key: str = "customer_id", amount: str = "transaction_amount",
+                         stats_from: DataFrame | None = None) -> DataFrame:
     """total count / amount / average (own amount when undefined) and logs."""
-    out = _attach(df, [key], [F.count(amount).alias("__n"), F.sum(amount).alias("__s")])
+    out = _attach(df, [key], [F.count(amount).alias("__n"), F.sum(amount).alias("__s")], stats_from=stats_from)
     n = F.coalesce(F.col("__n"), F.lit(0)).cast("double")
     s = F.coalesce(F.col("__s"), F.lit(0.0))
     return (out.withColumn("cust_total_txn", n)
@@ -54,11 +60,11 @@ def customer_totals_full(df: DataFrame, key: str = "customer_id", amount: str =
 
 
 def entity_count(df: DataFrame, keys: list[str], name: str, amount: str = "transaction_amount",
-                 small: bool = False) -> DataFrame:
+                 small: bool = False, stats_from: DataFrame | None = None) -> DataFrame:
     """Count of non-null amounts per entity key(s) + its log1p; null key -> 0.
     ``small=True`` for low-cardinality keys (device): the aggregate is
     broadcast after a size check and the fact table is not shuffled."""
-    out = _attach(df, keys, [F.count(amount).alias("__n")], small=small)
+    out = _attach(df, keys, [F.count(amount).alias("__n")], small=small, stats_from=stats_from)
     n = F.coalesce(F.col("__n"), F.lit(0)).cast("double")
     return out.withColumn(name, n).withColumn(f"{name}_log", F.log1p(n)).drop("__n")
 

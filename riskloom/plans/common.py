@@ -71,7 +71,7 @@ txn_o AS (
          o.o_orderstatus AS device_used, n.n_name AS customer_location, l.quantity,
          CAST(18 + o.o_custkey % 70 AS INTEGER) AS customer_age,
          CAST(date_diff('day', CAST(o.o_orderdate AS DATE), DATE '2001-08-01') AS INTEGER) AS account_age_days,
-         """ + ip_text_sql("o.o_orderkey") + """ AS ip_address,
+         """ + ip_text_sql("o.o_custkey * 4 + o.o_orderkey % 4") + """ AS ip_address,
          'addr-' || CAST(o.o_custkey AS VARCHAR) AS shipping_address,
          'addr-' || CAST(CASE WHEN o.o_orderkey % 7 = 0 THEN o.o_orderkey ELSE o.o_custkey END AS VARCHAR)
            AS billing_address,

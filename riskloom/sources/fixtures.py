@@ -78,7 +78,7 @@ def transactions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(18) + F.pmod(F.col("o_custkey"), F.lit(70))).cast("int").alias("customer_age"),
         F.datediff(F.lit(ACCOUNT_AGE_ANCHOR).cast("date"), F.col("o_orderdate").cast("date"))
          .alias("account_age_days"),
-        ip_to_text(ip_number(F.col("o_orderkey"))).alias("ip_address"),
+        ip_to_text(ip_number(F.col("o_custkey") * 4 + F.pmod(F.col("o_orderkey"), F.lit(4)))).alias("ip_address"),
         F.concat(F.lit("addr-"), F.col("o_custkey").cast("string")).alias("shipping_address"),
         F.concat(F.lit("addr-"), F.when(F.pmod(F.col("o_orderkey"), F.lit(7)) == 0, F.col("o_orderkey"))
                  .otherwise(F.col("o_custkey")).cast("string")).alias("billing_address"),
