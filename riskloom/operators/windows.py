@@ -99,7 +99,10 @@ def velocity(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_
     last row of the entity's previous non-empty bucket (a per-bucket
     summary, one row per entity-bucket).
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    # micros since 1970-01-01 of the wall-clock value: independent of the
+    # session time zone (a timestamp_ntz -> timestamp cast is not)
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                          F.col(ts).cast("timestamp_ntz"))
     collapsed = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
                    .groupBy(entity, us.alias("__us"))
                    .agg(F.count(amount).alias("__n"), F.sum(amount).alias("__s")))

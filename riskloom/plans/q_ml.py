@@ -335,3 +335,11 @@ def q_model_save_load(spark, sf):
     ml.save_bundle(spark, path, {"a": m}, {"feature_names": feats, "threshold": 0.5})
     models, meta = ml.load_bundle(spark, path, ["a"])
     return _predict(models["a"], test, meta["feature_names"])
+
+
+@register("feature_job")
+def q_feature_job(spark, sf):
+    """The whole offline feature job (side rates, enrichment joins, date /
+    hour / amount / age features, exact quantiles, entity counts)."""
+    from .feature_job import build_features
+    return build_features(spark, sf)
