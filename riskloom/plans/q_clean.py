@@ -669,3 +669,20 @@ def q_risk_level_user(spark, sf):
     out = t.select("transaction_id", p.alias("p"))
     return finalize(out.select("transaction_id", F.round("p", 2).alias("fraud_probability"),
                                ff.risk_level("p", 70, 40).alias("risk_level")), digits=2)
+
+
+@register("stream_risk_level_tx", RULE_REQ_SQL + """
+, fin AS (SELECT transaction_id, round(least(100.0, base_pct + risk_points), 2) AS fraud_probability FROM pts)
+SELECT transaction_id, fraud_probability,
+       CASE WHEN fraud_probability > 75 THEN 'High' WHEN fraud_probability > 40 THEN 'Medium' ELSE 'Low' END
+         AS risk_level FROM fin""")
+def q_stream_risk_level_tx(spark, sf):
+    """The rule scoring of ``risk_level_tx`` run as a Structured Streaming job:
+    requests are staged as parquet files, read with ``readStream`` and
+    scored into an exactly-once parquet sink (available-now trigger)."""
+    from ..streaming.scoring import rule_score, score_directory_once
+    req = rule_requests(spark, sf)
+    src = files.scratch_path(spark, "stream-requests")
+    req.write.mode("overwrite").parquet(src)
+    out = score_directory_once(spark, src, req.schema, rule_score)
+    return finalize(out, digits=2)

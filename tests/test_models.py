@@ -53,3 +53,20 @@ def test_pad_trim(spark):
 def test_save_load_roundtrip(spark):
     out = entry.queries()["model_save_load"](spark, SF_SMALL)
     assert _probs_ok(out)
+
+
+def test_streaming_model_score_equals_batch(spark):
+    from riskloom.sources.files import scratch_path
+    from riskloom.streaming.scoring import model_score, score_directory_once
+    t = fx.transactions_events(spark, SF_SMALL)
+    feats = ["transaction_amount", "transaction_hour"]
+    m = ml.fit(t.withColumn("transaction_hour", F.col("transaction_hour").cast("double")), feats,
+               ml.gbt_simple("is_fraudulent", 5))
+    req = t.select("transaction_id", F.col("transaction_amount").alias("amount"), "transaction_hour")
+    src = scratch_path(spark, "test-stream-src")
+    req.repartition(4).write.parquet(src)
+    streamed = score_directory_once(spark, src, req.schema, model_score(m, feats))
+    batch = model_score(m, feats)(req)
+    a = sorted(tuple(r) for r in streamed.collect())
+    b = sorted(tuple(r) for r in batch.collect())
+    assert a == b and len(a) == t.count()
