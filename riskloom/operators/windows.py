@@ -9,7 +9,7 @@ skew handling.  Rows whose entity key is null get 0 (never one shared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import to_numeric
@@ -82,6 +82,16 @@ def customer_tx_count_ratio(df: DataFrame, key: str = "customer_id", id_col: str
                           F.try_divide(to_numeric(age), F.col("customer_tx_count_total")))
 
 
+def wall_clock_micros(ts: str) -> Column:
+    """Microseconds since 1970-01-01 00:00 of the wall-clock value of a
+    timestamp_ntz, by arithmetic on its fields: no session-time-zone cast."""
+    t = F.col(ts).cast("timestamp_ntz")
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = F.date_part(F.lit("SECOND"), t)  # decimal(8,6): seconds with fraction
+    return (days * 86_400_000_000 + F.hour(t).cast("long") * 3_600_000_000
+            + F.minute(t).cast("long") * 60_000_000 + (secs * 1_000_000).cast("long"))
+
+
 def velocity(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_ts",
              amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d") -> DataFrame:
     """Trailing-window activity *before* each transaction.
@@ -99,16 +109,16 @@ def velocity(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_
     last row of the entity's previous non-empty bucket (a per-bucket
     summary, one row per entity-bucket).
     """
-    # micros since 1970-01-01 of the wall-clock value: independent of the
-    # session time zone (a timestamp_ntz -> timestamp cast is not)
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                          F.col(ts).cast("timestamp_ntz"))
+    us = wall_clock_micros(ts)
     collapsed = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
                    .groupBy(entity, us.alias("__us"))
                    .agg(F.count(amount).alias("__n"), F.sum(amount).alias("__s")))
-    bucket = F.floor(F.col("__us") / F.lit(window_us))
-    both = (collapsed.withColumn("__b", bucket).withColumn("__t", F.lit(True))
-            .unionByName(collapsed.withColumn("__b", bucket + 1).withColumn("__t", F.lit(False))))
+    # one scan: each collapsed row is emitted twice (own bucket as target,
+    # next bucket as context)
+    copy = F.explode(F.array(F.lit(0), F.lit(1)))
+    both = (collapsed.select("*", copy.alias("__c"))
+            .withColumn("__b", F.floor(F.col("__us") / F.lit(window_us)) + F.col("__c"))
+            .withColumn("__t", F.col("__c") == 0).drop("__c"))
     frame = Window.partitionBy(entity, "__b").orderBy("__us").rangeBetween(-(window_us - 1), 0)
     win = (both.withColumn("__wn", F.sum("__n").over(frame))
                .withColumn("__ws", F.sum("__s").over(frame))

@@ -181,3 +181,22 @@ def test_lookup_missing_keys_cap_and_null_cache(spark):
 def test_ipv4_parse(spark):
     df = spark.createDataFrame([("1.2.3.4",), ("255.255.255.255",), ("1.2.3",), ("1.2.3.256",), ("a.b.c.d",)], "ip string")
     assert col(df.select(joins.ipv4_to_long("ip")), 0) == [16909060, 4294967295, None, None, None]
+
+
+def test_velocity_independent_of_session_time_zone(spark):
+    # rows straddle the US spring-forward change; results must not move
+    t0 = dt.datetime(2024, 3, 9, 12, 0, 0)
+    rows = [(i, 1, t0 + dt.timedelta(hours=5 * i), float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "transaction_id int, customer_id int, transaction_ts timestamp_ntz, "
+                                     "transaction_amount double")
+    def run():
+        return sorted(tuple(r) for r in windows.velocity(df).select(
+            "transaction_id", "tx_count_1d", "amount_sum_1d").collect())
+    utc = run()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc == ny
