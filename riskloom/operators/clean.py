@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions.cleaning import is_finite, normalize_key
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantile_specs
 
 
 def normalize_keys(df: DataFrame, cols: list[str], suffix: str = "_norm") -> DataFrame:
@@ -20,10 +20,7 @@ def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     present = [c for c in cols if c in df.columns]
     if not present:
         return df
-    meds = None
-    for c in present:
-        m = exact_quantiles(df, c, [0.5], names=[f"__med_{c}"])
-        meds = m if meds is None else meds.crossJoin(m)
+    meds = exact_quantile_specs(df, [(c, 0.5, f"__med_{c}") for c in present])  # shared passes
     j = df.crossJoin(F.broadcast(meds))  # one row
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in present}) \
             .drop(*[f"__med_{c}" for c in present])

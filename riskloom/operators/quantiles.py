@@ -9,11 +9,12 @@ global or hot-group quantile on a huge table ends in one task.  Instead:
 2. one aggregate counts values ``< lo`` and in ``[lo, hi]`` per group, and the
    bracket is verified (a group whose check fails falls back to its full
    range, which is still exact);
-3. only the candidates inside the bracket (about ``4 n / accuracy`` values
+3. only the candidates inside the bracket (about ``6 n / accuracy`` values
    per group) are ranked with a window, and the two neighbouring order
    statistics are interpolated.
 
-Everything stays lazy; nothing reaches the driver.
+Any number of (column, q) targets share the same three passes.  Everything
+stays lazy; nothing reaches the driver.
 """
 
 from __future__ import annotations
@@ -24,53 +25,59 @@ from pyspark.sql import functions as F
 DEFAULT_ACCURACY = 20000
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], keys: list[str] | None = None,
-                    accuracy: int = DEFAULT_ACCURACY, names: list[str] | None = None) -> DataFrame:
+def exact_quantile_specs(df: DataFrame, specs: list[tuple[str, float, str]], keys: list[str] | None = None,
+                         accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """``specs``: (column, q, output name).  One row per group of ``keys``
+    (one row overall without keys) with one column per spec."""
     keys = list(keys or [])
-    names = names or [f"q{int(round(q * 1000)):04d}" for q in qs]
     gkeys = keys or ["__g"]
-    src = df.select(*keys, F.col(col).cast("double").alias("__v"))
+    cols = sorted({c for c, _, _ in specs})
+    cidx = {c: i for i, c in enumerate(cols)}
+    src = df.select(*keys, *[F.col(c).cast("double").alias(f"__x{cidx[c]}") for c in cols])
     if not keys:
         src = src.withColumn("__g", F.lit(0))
-    src = src.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+
+    def v(i):  # value column of spec i, null for NaN
+        x = F.col(f"__x{cidx[specs[i][0]]}")
+        return F.when(~F.isnan(x), x)
 
     delta = 3.0 / accuracy
-    probs = []
-    for q in qs:
-        probs += [max(0.0, q - delta), min(1.0, q + delta)]
-    stats = src.groupBy(*gkeys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("__b"))
-    for i, q in enumerate(qs):
-        pos = F.lit(q) * (F.col("__n") - 1)
-        stats = (stats.withColumn(f"__lo{i}", F.col("__b")[2 * i])
-                 .withColumn(f"__hi{i}", F.col("__b")[2 * i + 1])
+    aggs = []
+    for i, (_c, q, _n) in enumerate(specs):
+        aggs.append(F.count(v(i)).alias(f"__n{i}"))
+        aggs.append(F.percentile_approx(v(i), F.array(F.lit(max(0.0, q - delta)), F.lit(min(1.0, q + delta))),
+                                        accuracy).alias(f"__b{i}"))
+    stats = src.groupBy(*gkeys).agg(*aggs)
+    for i, (_c, q, _n) in enumerate(specs):
+        pos = F.lit(q) * (F.col(f"__n{i}") - 1)
+        stats = (stats.withColumn(f"__lo{i}", F.col(f"__b{i}")[0])
+                 .withColumn(f"__hi{i}", F.col(f"__b{i}")[1])
                  .withColumn(f"__r0{i}", F.floor(pos))
                  .withColumn(f"__r1{i}", F.ceil(pos))
-                 .withColumn(f"__fr{i}", pos - F.floor(pos)))
-    stats = stats.drop("__b")
+                 .withColumn(f"__fr{i}", pos - F.floor(pos))
+                 .drop(f"__b{i}"))
+
+    def bcast(t):
+        return F.broadcast(t) if not keys else t  # one row without keys
 
-    joined = src.join(F.broadcast(stats) if not keys else stats, on=gkeys)
+    joined = src.join(bcast(stats), on=gkeys)
     counts = joined.groupBy(*gkeys).agg(*[
-        agg for i in range(len(qs)) for agg in (
-            F.count_if(F.col("__v") < F.col(f"__lo{i}")).alias(f"__below{i}"),
-            F.count_if((F.col("__v") >= F.col(f"__lo{i}")) & (F.col("__v") <= F.col(f"__hi{i}")))
-             .alias(f"__in{i}"))])
+        a for i in range(len(specs)) for a in (
+            F.count_if(v(i) < F.col(f"__lo{i}")).alias(f"__below{i}"),
+            F.count_if((v(i) >= F.col(f"__lo{i}")) & (v(i) <= F.col(f"__hi{i}"))).alias(f"__in{i}"))])
     bounds = stats.join(counts, on=gkeys)
-    for i in range(len(qs)):
+    for i in range(len(specs)):
         ok = ((F.col(f"__below{i}") <= F.col(f"__r0{i}"))
               & (F.col(f"__r1{i}") <= F.col(f"__below{i}") + F.col(f"__in{i}") - 1))
         bounds = (bounds.withColumn(f"__lo{i}", F.when(ok, F.col(f"__lo{i}")).otherwise(F.lit(float("-inf"))))
                   .withColumn(f"__hi{i}", F.when(ok, F.col(f"__hi{i}")).otherwise(F.lit(float("inf"))))
                   .withColumn(f"__below{i}", F.when(ok, F.col(f"__below{i}")).otherwise(F.lit(0))))
 
-    # Candidates of every quantile, tagged with its index.
-    b2 = F.broadcast(bounds) if not keys else bounds
-    cj = src.join(b2, on=gkeys)
+    cj = src.join(bcast(bounds), on=gkeys)
     tagged = None
-    for i in range(len(qs)):
-        part = (cj.where((F.col("__v") >= F.col(f"__lo{i}")) & (F.col("__v") <= F.col(f"__hi{i}")))
-                  .select(*gkeys, "__v", F.lit(i).alias("__qi"),
+    for i in range(len(specs)):
+        part = (cj.where((v(i) >= F.col(f"__lo{i}")) & (v(i) <= F.col(f"__hi{i}")))
+                  .select(*gkeys, v(i).alias("__v"), F.lit(i).alias("__qi"),
                           F.col(f"__below{i}").alias("__below"), F.col(f"__r0{i}").alias("__r0"),
                           F.col(f"__r1{i}").alias("__r1"), F.col(f"__fr{i}").alias("__fr")))
         tagged = part if tagged is None else tagged.unionByName(part)
@@ -83,8 +90,18 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], keys: list[str] |
         F.first("__fr").alias("__fr"))
     per_q = per_q.withColumn("__q", F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__fr"))
     out = per_q.groupBy(*gkeys).agg(*[
-        F.max(F.when(F.col("__qi") == i, F.col("__q"))).alias(names[i]) for i in range(len(qs))])
-    return out.drop("__g") if not keys else out
+        F.max(F.when(F.col("__qi") == i, F.col("__q"))).alias(specs[i][2]) for i in range(len(specs))])
+    if not keys:
+        # a table without non-null values still yields its one row (nulls)
+        one = stats.select("__g")
+        out = one.join(out, on="__g", how="left").drop("__g")
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], keys: list[str] | None = None,
+                    accuracy: int = DEFAULT_ACCURACY, names: list[str] | None = None) -> DataFrame:
+    names = names or [f"q{int(round(q * 1000)):04d}" for q in qs]
+    return exact_quantile_specs(df, [(col, q, n) for q, n in zip(qs, names)], keys, accuracy)
 
 
 def exact_median(df: DataFrame, col: str, keys: list[str] | None = None, name: str = "median") -> DataFrame:

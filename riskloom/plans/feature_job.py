@@ -17,7 +17,7 @@ from ..functions import features as ff
 from ..functions.cleaning import normalize_key, to_numeric
 from ..operators import clean, windows
 from ..operators.joins import cross_join_scalar, enrich_left
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_quantile_specs
 from ..session import materialize
 from ..sources import fixtures as fx
 
@@ -67,9 +67,9 @@ def engineer(t: DataFrame) -> DataFrame:
     })
     base = materialize(t)
 
-    scal = exact_quantiles(base, "transaction_amount", [0.95], names=["__q95"])
-    for c in ("account_age_days", "customer_age"):
-        scal = scal.crossJoin(exact_quantiles(base, c, [0.5], names=[f"__med_{c}"]))
+    scal = exact_quantile_specs(base, [("transaction_amount", 0.95, "__q95"),
+                                       ("account_age_days", 0.5, "__med_account_age_days"),
+                                       ("customer_age", 0.5, "__med_customer_age")])
     t = cross_join_scalar(base, scal)  # one row
     t = t.withColumns({
         "is_high_amount": ff.is_high_amount("transaction_amount", "__q95"),
