@@ -194,3 +194,27 @@ def q_concat_columns(spark, sf):
                      F.month("transaction_date").alias("tx_month"))
     hours = t.select("transaction_id", ff.is_night("transaction_hour").alias("is_night"))
     return finalize(dates.join(hours, "transaction_id"))
+
+
+@register("sink_json_lookup", CACHE_SQL + """,
+missing AS (SELECT ip_address, min(transaction_ts) AS first_seen FROM txn_e
+            WHERE ip_address IS NOT NULL AND trim(ip_address) <> '' AND ip_address NOT IN (SELECT ip FROM cache)
+            GROUP BY 1 ORDER BY first_seen, ip_address LIMIT 500),
+resolved AS (SELECT m.ip_address AS ip, r.country FROM missing m JOIN txn_e t ON m.ip_address = t.ip_address
+             LEFT JOIN ip_ranges r ON t.ip_number BETWEEN r.ip_lo AND r.ip_hi)
+SELECT ip, country FROM cache WHERE ip NOT IN (SELECT ip FROM resolved)
+UNION ALL SELECT ip, country FROM resolved""")
+def q_sink_json_lookup(spark, sf):
+    """One lookup-cache cycle: keys missing from the cache (first 500 by first
+    appearance) are resolved with the range join, merged into the cache, and
+    the cache is persisted as JSON lines and read back."""
+    from ..sources import files
+    e = fx.transactions_events(spark, sf)
+    cache = ip_cache(spark, sf)
+    todo = jn.lookup_missing_keys(e, "ip_address", "transaction_ts", cache, "ip", max_per_run=500)
+    resolved = (todo.select("ip_address").join(e.select("ip_address", "ip_number"), "ip_address")
+                .transform(lambda d: jn.ip_range_join(d, "ip_number", fx.ip_ranges(spark, sf)))
+                .select(F.col("ip_address").alias("ip"), "country"))
+    path = files.scratch_path(spark, "ip-cache-json")
+    files.sink_json(jn.merge_cache(cache, resolved, "ip"), path)
+    return files.scan_json_lookup(spark, path, "ip string, country string")
