@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -45,10 +45,16 @@ def fill_by_column_kind(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
-    """Keep the earliest row per key (ordered by ``order_cols``).  The
-    window is partitioned by the id, so groups are tiny."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    """Keep the earliest row per key (ordered by ``order_cols``, then a hash
+    of the row for a deterministic tie-break).
+
+    An aggregate (``min_by`` over the row struct), not a window: copies of
+    one key are combined map-side, so a key duplicated into a third of the
+    table never sits whole in one task."""
+    cols = df.columns
+    order = F.struct(*[F.col(c) for c in order_cols], F.xxhash64(*[F.col(c) for c in cols]).alias("__h"))
+    best = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("__row"))
+    return best.select("__row.*")
 
 
 def coverage_report(df: DataFrame, value: str, key: str) -> DataFrame:

@@ -136,9 +136,11 @@ def one_hot(df: DataFrame, cols: list[str], prefixes: list[str], max_levels: int
 
 
 def label_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
-    """Integer code of the value in sorted order of distinct values.  The
-    ranking runs over the distinct values only (bounded by cardinality)."""
+    """Integer code of the value in sorted order of distinct values.  Codes
+    are distributed positions of the sorted distinct values (range
+    partitions + per-partition offsets), so any cardinality works."""
+    from .splits import with_positions
     name = name or f"{col}_code"
     levels = df.where(F.col(col).isNotNull()).select(col).distinct()
-    codes = levels.withColumn(name, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    codes = with_positions(levels, [col], "__pos").select(col, F.col("__pos").cast("int").alias(name))
     return df.join(codes, on=col, how="left")

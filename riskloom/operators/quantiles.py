@@ -10,18 +10,21 @@ global or hot-group quantile on a huge table ends in one task.  Instead:
    bracket is verified (a group whose check fails falls back to its full
    range, which is still exact);
 3. only the candidates inside the bracket (about ``6 n / accuracy`` values
-   per group) are ranked with a window, and the two neighbouring order
-   statistics are interpolated.
+   per group) are ranked by a distributed sort, and the two neighbouring
+   order statistics are interpolated.
 
-Any number of (column, q) targets share the same three passes.  Everything
-stays lazy; nothing reaches the driver.
+Any number of (column, q) targets share the same three passes.  The only
+materialisation is the small candidate set (a reliable checkpoint inside the
+distributed sort); nothing reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .splits import with_positions
+
 DEFAULT_ACCURACY = 20000
 
 
@@ -81,8 +84,12 @@ def exact_quantile_specs(df: DataFrame, specs: list[tuple[str, float, str]], key
                           F.col(f"__below{i}").alias("__below"), F.col(f"__r0{i}").alias("__r0"),
                           F.col(f"__r1{i}").alias("__r1"), F.col(f"__fr{i}").alias("__fr")))
         tagged = part if tagged is None else tagged.unionByName(part)
-    w = Window.partitionBy(*gkeys, "__qi").orderBy("__v")
-    ranked = tagged.withColumn("__rank", F.col("__below") + F.row_number().over(w) - 1)
+    # rank candidates by a distributed sort (range partitions + offsets): a
+    # hot group's candidates are spread over many tasks, not one window
+    pos = with_positions(tagged, [*gkeys, "__qi", "__v"], "__pos")
+    first = pos.groupBy(*gkeys, "__qi").agg(F.min("__pos").alias("__p0"))
+    ranked = (pos.join(first, on=[*gkeys, "__qi"])
+                 .withColumn("__rank", F.col("__below") + F.col("__pos") - F.col("__p0")))
     picked = ranked.where((F.col("__rank") == F.col("__r0")) | (F.col("__rank") == F.col("__r1")))
     per_q = picked.groupBy(*gkeys, "__qi").agg(
         F.max(F.when(F.col("__rank") == F.col("__r0"), F.col("__v"))).alias("__v0"),
