@@ -93,8 +93,71 @@ def wall_clock_micros(ts: str) -> Column:
 
 
 def velocity(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_ts",
-             amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d") -> DataFrame:
-    """Trailing-window activity *before* each transaction.
+             amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d",
+             strategy: str = "scan") -> DataFrame:
+    """Trailing-window activity *before* each transaction (see
+    ``velocity_scan`` for the semantics).  ``strategy``: ``scan`` (prefix
+    sums over a range-partitioned order; immune to any hot key or hot time
+    bucket) or ``bucket`` (windows per (entity, time bucket); fewer
+    shuffles, a hot entity is split by time but one hot entity-bucket stays
+    in one task)."""
+    if strategy == "scan":
+        return velocity_scan(df, entity, ts, amount, window_us, suffix)
+    return velocity_bucketed(df, entity, ts, amount, window_us, suffix)
+
+
+def velocity_scan(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_ts",
+                  amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d") -> DataFrame:
+    """Trailing-window activity before each transaction, by prefix sums.
+
+    Semantics: for each row, count / sum / mean of the entity's amounts in
+    ``(t' - W, t']`` where ``t'`` is the entity's previous distinct event time
+    (0 for its first time); rows tied on time share one value.
+
+    Plan: collapse to one row per (entity, time).  Each collapsed row also
+    emits a probe at ``t - W``.  One distributed prefix scan over the order
+    (entity, time, data-before-probe) gives, for every row, the global sums of
+    all data rows before it.  The window value at a data row is
+    ``prefix_incl(row) - prefix(probe of row)``; the feature of a row is the
+    window value of the previous data row of the same entity, found by an
+    equi-join on global position.  No partition is chosen by a key or a
+    time bucket, so skew of either cannot concentrate work in one task.
+    """
+    from .metrics import running_totals
+    us = wall_clock_micros(ts)
+    collapsed = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
+                   .groupBy(entity, us.alias("__us"))
+                   .agg(F.count(amount).alias("__n"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("__s")))
+    m = collapsed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("__k"))
+    data = F.col("__k") == 0
+    m = m.select(entity, "__us", "__k",
+                 F.when(data, F.col("__us")).otherwise(F.col("__us") - F.lit(window_us)).alias("__t"),
+                 F.when(data, F.col("__n")).otherwise(F.lit(0)).alias("__dn"),
+                 F.when(data, F.col("__s")).otherwise(F.lit(0.0)).alias("__ds"),
+                 data.cast("long").alias("__one"))
+    r = running_totals(m, [entity, "__t", "__k"], ["__dn", "__ds", "__one"])
+    rows = r.where(F.col("__k") == 0).select(
+        entity, "__us", (F.col("__dn_before") + F.col("__dn")).alias("__in"),
+        (F.col("__ds_before") + F.col("__ds")).alias("__is"), F.col("__one_before").alias("__pos"))
+    probes = r.where(F.col("__k") == 1).select(entity, "__us", F.col("__dn_before").alias("__pn"),
+                                                F.col("__ds_before").alias("__ps"))
+    a = rows.join(probes, on=[entity, "__us"]).select(
+        entity, "__us", "__pos", (F.col("__in") - F.col("__pn")).alias("__wn"),
+        (F.col("__is") - F.col("__ps")).alias("__ws"))
+    prev = a.select(entity, (F.col("__pos") + 1).alias("__pos"), F.col("__wn").alias("__fn"),
+                    F.col("__ws").alias("__fs"))
+    feats = a.join(prev, on=[entity, "__pos"], how="left")
+    n = F.coalesce(F.col("__fn"), F.lit(0)).cast("long")
+    s = F.coalesce(F.col("__fs"), F.lit(0.0))
+    feats = feats.select(entity, "__us", n.alias(f"tx_count_{suffix}"), s.alias(f"amount_sum_{suffix}"),
+                         F.when(n > 0, s / n).otherwise(F.lit(0.0)).alias(f"amount_mean_{suffix}"))
+    out = df.withColumn("__us", us).join(feats, on=[entity, "__us"], how="left").drop("__us")
+    return out.fillna({f"tx_count_{suffix}": 0, f"amount_sum_{suffix}": 0.0, f"amount_mean_{suffix}": 0.0})
+
+
+def velocity_bucketed(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_ts",
+                      amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d") -> DataFrame:
+    """Trailing-window activity *before* each transaction (bucket strategy).
 
     For each row: count / sum / mean of the entity's amounts in the window
     ``(t' - W, t']`` where ``t'`` is the entity's previous distinct event

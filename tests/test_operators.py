@@ -143,3 +143,33 @@ def test_checked_broadcast_falls_back(spark):
     j2 = spark.range(10).join(plan_big, "id")
     assert "Broadcast" in j1._jdf.queryExecution().optimizedPlan().toString() or j1.count() == 10
     assert j2.count() == 10
+
+
+def test_velocity_strategies_agree_with_hot_customer(spark):
+    import datetime as dt
+    from riskloom.operators import windows
+    rnd = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 3 else rnd.randrange(2, 40), t0 + dt.timedelta(minutes=rnd.randrange(0, 60 * 24 * 20)),
+             float(rnd.randrange(0, 100))) for i in range(3000)]
+    rows += [(5000 + i, 7, t0 + dt.timedelta(hours=3), 1.0) for i in range(30)]          # ties
+    df = spark.createDataFrame(rows, "transaction_id long, customer_id long, transaction_ts timestamp_ntz, "
+                                     "transaction_amount double")
+    cols = ["transaction_id", "tx_count_7d", "amount_sum_7d"]
+    a = windows.velocity(df, window_us=7 * windows.DAY_US, suffix="7d", strategy="scan").select(*cols).collect()
+    b = windows.velocity(df, window_us=7 * windows.DAY_US, suffix="7d", strategy="bucket").select(*cols).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    # brute force for the hot customer
+    hot = sorted((r[2], r[3]) for r in rows if r[1] == 1)
+    times = sorted({t for t, _ in hot})
+    got = {r.transaction_id: r.tx_count_7d for r in a}
+    for r in rows:
+        if r[1] != 1:
+            continue
+        prev = [t for t in times if t < r[2]]
+        if not prev:
+            assert got[r[0]] == 0
+            continue
+        tp = prev[-1]
+        want = sum(1 for t, _ in hot if tp - dt.timedelta(days=7) < t <= tp)
+        assert got[r[0]] == want
