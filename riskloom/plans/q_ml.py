@@ -337,9 +337,94 @@ def q_model_save_load(spark, sf):
     return _predict(models["a"], test, meta["feature_names"])
 
 
-@register("feature_job")
+def _feature_job_sql() -> str:
+    from .common import CF_PROD_CTE, CF_TXN_CTE, norm_sql
+
+    def hr(c):
+        return f"least(greatest({c}, 0), 23)"
+    dbl = ["transaction_amount", "quantity", "customer_age", "account_age_days", "cnt_txn_counterfeit_rate_pm",
+           "cnt_txn_counterfeit_rate_loc_pm", "cnt_prod_counterfeit_rate_cat", "hour_sin", "hour_cos", "log_amount",
+           "amount_per_unit", "cust_txn_per_day", "cust_txn_per_day_log", "cust_total_txn", "cust_total_amt",
+           "cust_avg_amt", "cust_total_txn_log", "cust_total_amt_log", "ip_txn_count", "ip_txn_count_log",
+           "device_txn_count", "device_txn_count_log"]
+    ints = ["customer_id", "transaction_id", "transaction_hour", "is_fraudulent", "cnt_txn_count_pm",
+            "cnt_txn_count_loc_pm", "cnt_prod_count_cat", "tx_dayofweek", "tx_day", "tx_month", "is_night",
+            "is_weekend", "is_high_amount", "account_age_bucket", "customer_age_bucket"]
+    strs = ["device_used", "ip_address", "customer_location_norm", "payment_method_norm", "payment_method",
+            "product_category", "customer_location", "shipping_address", "billing_address", "product_category_norm"]
+    sel = ([f"round(coalesce(CASE WHEN isfinite({c}) THEN {c} END, 0.0), 8) AS {c}" for c in dbl]
+           + [f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ints] + strs
+           + ["strftime(tx_date, '%Y-%m-%d') AS tx_date", "transaction_date"])
+    acc = "CASE " + " ".join(
+        f"WHEN account_age_days > {lo} AND account_age_days <= {hi} THEN {i}"
+        for i, (lo, hi) in enumerate(zip([-1, 30, 90, 180, 365, 730], [30, 90, 180, 365, 730, 20000]))) + " ELSE -1 END"
+    age = "CASE " + " ".join(
+        f"WHEN customer_age {'>=' if i == 0 else '>'} {lo} AND customer_age <= {hi} THEN {i}"
+        for i, (lo, hi) in enumerate(zip([0, 20, 30, 40, 50, 60], [20, 30, 40, 50, 60, 120]))) + " ELSE -1 END"
+    return f"""
+WITH {TXN_O_CTE}, {CF_TXN_CTE}, {CF_PROD_CTE},
+pm AS (SELECT {norm_sql('payment_method')} AS k, count(involves_counterfeit) AS n,
+              avg(CAST(involves_counterfeit AS DOUBLE)) AS r FROM cf_txn GROUP BY 1),
+lp AS (SELECT {norm_sql('customer_location')} AS l, {norm_sql('payment_method')} AS p, count(involves_counterfeit) AS n,
+              avg(CAST(involves_counterfeit AS DOUBLE)) AS r FROM cf_txn GROUP BY 1, 2),
+ct AS (SELECT {norm_sql('category')} AS k, count(is_counterfeit) AS n, avg(CAST(is_counterfeit AS DOUBLE)) AS r
+       FROM cf_prod GROUP BY 1),
+e AS (SELECT t.*, {norm_sql('t.payment_method')} AS payment_method_norm,
+             {norm_sql('t.product_category')} AS product_category_norm,
+             {norm_sql('t.customer_location')} AS customer_location_norm,
+             coalesce(pm.n, 0) AS cnt_txn_count_pm, coalesce(pm.r, 0.0) AS cnt_txn_counterfeit_rate_pm,
+             coalesce(lp.n, 0) AS cnt_txn_count_loc_pm, coalesce(lp.r, 0.0) AS cnt_txn_counterfeit_rate_loc_pm,
+             coalesce(ct.n, 0) AS cnt_prod_count_cat, coalesce(ct.r, 0.0) AS cnt_prod_counterfeit_rate_cat
+      FROM txn_o t
+      LEFT JOIN pm ON {norm_sql('t.payment_method')} = pm.k
+      LEFT JOIN lp ON {norm_sql('t.customer_location')} = lp.l AND {norm_sql('t.payment_method')} = lp.p
+      LEFT JOIN ct ON {norm_sql('t.product_category')} = ct.k),
+b AS (SELECT * REPLACE (CAST(trunc(coalesce(CAST(transaction_hour AS DOUBLE), -1.0)) AS INTEGER) AS transaction_hour,
+                        coalesce(transaction_amount, 0.0) AS transaction_amount,
+                        CAST(account_age_days AS DOUBLE) AS account_age_days,
+                        CAST(customer_age AS DOUBLE) AS customer_age),
+             CAST(transaction_date AS DATE) AS tx_date, isodow(transaction_date) - 1 AS tx_dayofweek,
+             day(transaction_date) AS tx_day, month(transaction_date) AS tx_month FROM e),
+c AS (SELECT *, sin(2 * pi() * {hr('transaction_hour')} / 24.0) AS hour_sin,
+             cos(2 * pi() * {hr('transaction_hour')} / 24.0) AS hour_cos,
+             CAST({hr('transaction_hour')} <= 6 OR {hr('transaction_hour')} >= 22 AS INTEGER) AS is_night,
+             CAST(tx_dayofweek IN (5, 6) AS INTEGER) AS is_weekend,
+             ln(1 + greatest(transaction_amount, 0.0)) AS log_amount,
+             coalesce(CASE WHEN quantity <> 0 AND isfinite(transaction_amount / quantity)
+                           THEN transaction_amount / quantity END, transaction_amount) AS amount_per_unit FROM b),
+s AS (SELECT quantile_cont(transaction_amount, 0.95) AS q95, quantile_cont(account_age_days, 0.5) AS m_acc,
+             quantile_cont(customer_age, 0.5) AS m_age FROM c),
+d AS (SELECT c.* REPLACE (coalesce(c.account_age_days, s.m_acc) AS account_age_days,
+                          coalesce(c.customer_age, s.m_age) AS customer_age),
+             CAST(c.transaction_amount >= s.q95 AS INTEGER) AS is_high_amount FROM c CROSS JOIN s),
+d2 AS (SELECT *, {acc} AS account_age_bucket, {age} AS customer_age_bucket FROM d),
+g1 AS (SELECT customer_id, tx_date, count(transaction_amount) AS n FROM c
+       WHERE customer_id IS NOT NULL AND tx_date IS NOT NULL GROUP BY 1, 2),
+g2 AS (SELECT customer_id, count(transaction_amount) AS n, sum(transaction_amount) AS s FROM c
+       WHERE customer_id IS NOT NULL GROUP BY 1),
+g3 AS (SELECT ip_address, count(transaction_amount) AS n FROM c WHERE ip_address IS NOT NULL GROUP BY 1),
+g4 AS (SELECT device_used, count(transaction_amount) AS n FROM c WHERE device_used IS NOT NULL GROUP BY 1),
+f AS (SELECT d2.*,
+             CAST(coalesce(g1.n, 0) AS DOUBLE) AS cust_txn_per_day, ln(1 + coalesce(g1.n, 0)) AS cust_txn_per_day_log,
+             CAST(coalesce(g2.n, 0) AS DOUBLE) AS cust_total_txn, coalesce(g2.s, 0.0) AS cust_total_amt,
+             coalesce(CASE WHEN coalesce(g2.n, 0) > 0 THEN coalesce(g2.s, 0.0) / g2.n END, d2.transaction_amount)
+               AS cust_avg_amt,
+             ln(1 + coalesce(g2.n, 0)) AS cust_total_txn_log, ln(1 + coalesce(g2.s, 0.0)) AS cust_total_amt_log,
+             CAST(coalesce(g3.n, 0) AS DOUBLE) AS ip_txn_count, ln(1 + coalesce(g3.n, 0)) AS ip_txn_count_log,
+             CAST(coalesce(g4.n, 0) AS DOUBLE) AS device_txn_count, ln(1 + coalesce(g4.n, 0)) AS device_txn_count_log
+      FROM d2
+      LEFT JOIN g1 ON d2.customer_id = g1.customer_id AND d2.tx_date = g1.tx_date
+      LEFT JOIN g2 ON d2.customer_id = g2.customer_id
+      LEFT JOIN g3 ON d2.ip_address = g3.ip_address
+      LEFT JOIN g4 ON d2.device_used = g4.device_used)
+SELECT {", ".join(sel)}
+FROM f"""
+
+
+@register("feature_job", _feature_job_sql())
 def q_feature_job(spark, sf):
     """The whole offline feature job (side rates, enrichment joins, date /
     hour / amount / age features, exact quantiles, entity counts)."""
     from .feature_job import build_features
-    return build_features(spark, sf)
+    f = build_features(spark, sf).withColumn("tx_date", F.date_format("tx_date", "yyyy-MM-dd"))
+    return finalize(f, digits=8)
