@@ -27,7 +27,9 @@ RATE_COLS = ["cnt_txn_counterfeit_rate_pm", "cnt_txn_count_pm", "cnt_txn_counter
 
 def side_rates(spark, sf) -> dict[str, DataFrame]:
     from .q_aggregates import category_rates, location_payment_rates, payment_rates
-    return {"pm": payment_rates(spark, sf), "loc_pm": location_payment_rates(spark, sf),
+    # both transaction-side rate tables come from one pre-aggregated pass
+    parts = materialize(fx.counterfeit_transaction_partials(spark, sf))
+    return {"pm": payment_rates(spark, sf, parts), "loc_pm": location_payment_rates(spark, sf, parts),
             "cat": category_rates(spark, sf)}
 
 

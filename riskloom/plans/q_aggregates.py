@@ -39,15 +39,15 @@ def q_class_counts(spark, sf):
 # ------------------------------------------------------------ 2.5 #45-#48 side-table rates
 
 
-def payment_rates(spark, sf):
-    parts = fx.counterfeit_transaction_partials(spark, sf).withColumn(
+def payment_rates(spark, sf, partials=None):
+    parts = (partials if partials is not None else fx.counterfeit_transaction_partials(spark, sf)).withColumn(
         "payment_method_norm", normalize_key("payment_method"))
     return agg.rate_stats(parts, ["payment_method_norm"], None, "cnt_txn_counterfeit_rate_pm",
                           "cnt_txn_count_pm", n_col="n", pos_col="n_flagged")
 
 
-def location_payment_rates(spark, sf):
-    parts = fx.counterfeit_transaction_partials(spark, sf).withColumns({
+def location_payment_rates(spark, sf, partials=None):
+    parts = (partials if partials is not None else fx.counterfeit_transaction_partials(spark, sf)).withColumns({
         "customer_location_norm": normalize_key("customer_location"),
         "payment_method_norm": normalize_key("payment_method")})
     return agg.rate_stats(parts, ["customer_location_norm", "payment_method_norm"], None,

@@ -60,11 +60,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing ``df`` to the reliable checkpoint directory.
+    """Cut lineage by writing ``df`` as a parquet table under the reliable
+    checkpoint directory and reading it back.
 
-    Used for small side tables that are reused (so they are computed once)
-    and for iterative jobs.  Survives executor loss, unlike a local
-    checkpoint or a cache.
+    Used for small side tables that are reused (computed once), for the base
+    of multi-pass statistics and for iterative jobs.  Survives executor loss
+    (shared storage, unlike a local checkpoint or a cache), and later passes
+    read only the columns they need.  Falls back to ``DataFrame.checkpoint``
+    for column names parquet cannot store.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/riskloom-table-{uuid.uuid4().hex}"
+    try:
+        df.write.mode("overwrite").parquet(path)
+    except Exception:  # noqa: BLE001 - e.g. characters parquet rejects in names
+        return df.checkpoint(eager=True)
+    return spark.read.parquet(path)
