@@ -35,6 +35,26 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict:
+    """Sizing for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions start at ~one per ``partition_bytes`` of input (AQE
+    coalesces small ones and splits skewed ones), scan splits match, and the
+    broadcast thresholds stay small: a broadcast goes to every executor.
+    """
+    parts = max(200, min(max_partitions, -(-input_bytes // partition_bytes)))
+    mb = f"{partition_bytes >> 20}m"
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * (partition_bytes >> 20)}m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
