@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import normalize_key
 from ..functions.features import risk_flags
 from ..operators import aggregates as agg
-from ..operators.joins import country_dimension, country_to_iso3, ip_range_join
+from ..operators.joins import country_to_iso3, ip_range_join
 from ..operators.quantiles import exact_quantiles
 from ..sources import fixtures as fx
 from .common import (CF_PROD_CTE, CF_TXN_CTE, LISTINGS_CTE, RANGES_CTE, TXN_E_CTE, TXN_O_CTE, finalize,

@@ -15,7 +15,6 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import features as ff
@@ -68,4 +67,4 @@ def score_directory_once(spark: SparkSession, source_dir: str, schema: StructTyp
     return spark.read.parquet(sink)
 
 
-__all__ = ["rule_score", "model_score", "start_scoring_stream", "score_directory_once", "F"]
+__all__ = ["rule_score", "model_score", "start_scoring_stream", "score_directory_once"]
