@@ -216,12 +216,20 @@ def q_map_inputs_by_keyword(spark, sf):
 TEST_ROUNDS = 15
 
 
+_ENCODED: dict = {}
+
+
 def _encoded(spark, sf):
+    """Encoded train/valid/test splits of the feature table, written once per
+    Spark application and scale directory and shared by the model queries."""
     from .feature_job import build_features
     from .training import encode_splits, feature_columns
-    train, valid, test = encode_splits(build_features(spark, sf), "is_fraudulent", "transaction_id")
-    train, valid, test = materialize(train), materialize(valid), materialize(test)
-    return train, valid, test, feature_columns(train, "is_fraudulent")
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ENCODED:
+        train, valid, test = encode_splits(build_features(spark, sf), "is_fraudulent", "transaction_id")
+        train, valid, test = materialize(train), materialize(valid), materialize(test)
+        _ENCODED[key] = (train, valid, test, feature_columns(train, "is_fraudulent"))
+    return _ENCODED[key]
 
 
 def _predict(model, df, feats, keep=("transaction_id", "is_fraudulent")):
