@@ -10,26 +10,31 @@ global or hot-group quantile on a huge table ends in one task.  Instead:
    bracket is verified (a group whose check fails falls back to its full
    range, which is still exact);
 3. only the candidates inside the bracket (about ``6 n / accuracy`` values
-   per group) are ranked by a distributed sort, and the two neighbouring
-   order statistics are interpolated.
+   per group) are ranked, and the two neighbouring order statistics are
+   interpolated.  The ranking is a window when the largest candidate set
+   (measured from the materialised per-group bounds) is small, and a
+   distributed sort otherwise, so a hot group never lands in one task.
 
-Any number of (column, q) targets share the same three passes.  The only
-materialisation is the small candidate set (a reliable checkpoint inside the
-distributed sort); nothing reaches the driver.
+Any number of (column, q) targets share the same three passes.  Only one
+number (the largest candidate count) reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .splits import with_positions
 
 DEFAULT_ACCURACY = 20000
+# Largest candidate set (rows of one group) ranked by a single window task;
+# above it the distributed sort is used.
+WINDOW_LIMIT = 2_000_000
 
 
 def exact_quantile_specs(df: DataFrame, specs: list[tuple[str, float, str]], keys: list[str] | None = None,
-                         accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                         accuracy: int = DEFAULT_ACCURACY, window_limit: int = WINDOW_LIMIT) -> DataFrame:
     """``specs``: (column, q, output name).  One row per group of ``keys``
     (one row overall without keys) with one column per spec."""
     keys = list(keys or [])
@@ -76,6 +81,13 @@ def exact_quantile_specs(df: DataFrame, specs: list[tuple[str, float, str]], key
                   .withColumn(f"__hi{i}", F.when(ok, F.col(f"__hi{i}")).otherwise(F.lit(float("inf"))))
                   .withColumn(f"__below{i}", F.when(ok, F.col(f"__below{i}")).otherwise(F.lit(0))))
 
+    # one row per group, written once: the candidate pass and the size check
+    # below read it instead of recomputing passes 1-2
+    bounds = materialize(bounds)
+    in_eff = [F.when(F.col(f"__lo{i}") == float("-inf"), F.col(f"__n{i}")).otherwise(F.col(f"__in{i}"))
+              for i in range(len(specs))]
+    largest = bounds.agg(F.max(F.greatest(*in_eff) if len(in_eff) > 1 else in_eff[0])).first()[0] or 0
+
     cj = src.join(bcast(bounds), on=gkeys)
     tagged = None
     for i in range(len(specs)):
@@ -84,12 +96,17 @@ def exact_quantile_specs(df: DataFrame, specs: list[tuple[str, float, str]], key
                           F.col(f"__below{i}").alias("__below"), F.col(f"__r0{i}").alias("__r0"),
                           F.col(f"__r1{i}").alias("__r1"), F.col(f"__fr{i}").alias("__fr")))
         tagged = part if tagged is None else tagged.unionByName(part)
-    # rank candidates by a distributed sort (range partitions + offsets): a
-    # hot group's candidates are spread over many tasks, not one window
-    pos = with_positions(tagged, [*gkeys, "__qi", "__v"], "__pos")
-    first = pos.groupBy(*gkeys, "__qi").agg(F.min("__pos").alias("__p0"))
-    ranked = (pos.join(first, on=[*gkeys, "__qi"])
-                 .withColumn("__rank", F.col("__below") + F.col("__pos") - F.col("__p0")))
+    if largest <= window_limit:
+        # every group's candidate set is small (measured): rank with a window
+        w = Window.partitionBy(*gkeys, "__qi").orderBy("__v")
+        ranked = tagged.withColumn("__rank", F.col("__below") + F.row_number().over(w) - 1)
+    else:
+        # rank by a distributed sort (range partitions + offsets): a hot
+        # group's candidates are spread over many tasks, not one window
+        pos = with_positions(tagged, [*gkeys, "__qi", "__v"], "__pos")
+        first = pos.groupBy(*gkeys, "__qi").agg(F.min("__pos").alias("__p0"))
+        ranked = (pos.join(first, on=[*gkeys, "__qi"])
+                     .withColumn("__rank", F.col("__below") + F.col("__pos") - F.col("__p0")))
     picked = ranked.where((F.col("__rank") == F.col("__r0")) | (F.col("__rank") == F.col("__r1")))
     per_q = picked.groupBy(*gkeys, "__qi").agg(
         F.max(F.when(F.col("__rank") == F.col("__r0"), F.col("__v"))).alias("__v0"),

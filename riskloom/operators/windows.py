@@ -16,6 +16,9 @@ from ..functions.cleaning import to_numeric
 from .joins import checked_broadcast
 
 DAY_US = 86_400_000_000
+# Largest (entity, bucket) window partition, in distinct times (target and
+# context copies), that the bucket strategy may put in one task.
+BUCKET_LIMIT = 2_000_000
 
 
 def _attach(df: DataFrame, keys: list[str], aggs: list, small: bool = False,
@@ -94,13 +97,22 @@ def wall_clock_micros(ts: str) -> Column:
 
 def velocity(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_ts",
              amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d",
-             strategy: str = "scan") -> DataFrame:
+             strategy: str = "auto") -> DataFrame:
     """Trailing-window activity *before* each transaction (see
     ``velocity_scan`` for the semantics).  ``strategy``: ``scan`` (prefix
     sums over a range-partitioned order; immune to any hot key or hot time
-    bucket) or ``bucket`` (windows per (entity, time bucket); fewer
-    shuffles, a hot entity is split by time but one hot entity-bucket stays
-    in one task)."""
+    bucket), ``bucket`` (windows per (entity, time bucket); fewer shuffles,
+    a hot entity is split by time but one hot entity-bucket stays in one
+    task) or ``auto`` (default: measures the largest (entity, bucket) with
+    one aggregate and uses ``bucket`` only when it fits one task)."""
+    if strategy == "auto":
+        # measured choice: bucket windows unless one (entity, bucket) is large
+        us = wall_clock_micros(ts)
+        per_bucket = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
+                        .groupBy(entity, F.floor(us / F.lit(window_us)).alias("__b"))
+                        .agg(F.count_distinct(us).alias("__c")))
+        largest = per_bucket.agg(F.max("__c")).first()[0] or 0
+        strategy = "bucket" if 2 * largest <= BUCKET_LIMIT else "scan"
     if strategy == "scan":
         return velocity_scan(df, entity, ts, amount, window_us, suffix)
     return velocity_bucketed(df, entity, ts, amount, window_us, suffix)

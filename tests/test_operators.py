@@ -173,3 +173,19 @@ def test_velocity_strategies_agree_with_hot_customer(spark):
         tp = prev[-1]
         want = sum(1 for t, _ in hot if tp - dt.timedelta(days=7) < t <= tp)
         assert got[r[0]] == want
+
+
+def test_exact_quantiles_distributed_path_matches_window_path(spark):
+    from riskloom.operators.quantiles import exact_quantile_specs
+    rnd = random.Random(9)
+    rows = [("hot", float(rnd.randrange(0, 50))) for _ in range(4000)] + [("b", rnd.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    specs = [("v", 0.3, "a"), ("v", 0.5, "b"), ("v", 0.99, "c")]
+    win = sorted(tuple(r) for r in exact_quantile_specs(df, specs, ["k"], accuracy=50).collect())
+    dist = sorted(tuple(r) for r in exact_quantile_specs(df, specs, ["k"], accuracy=50, window_limit=0).collect())
+    assert win == dist
+    for k in ("hot", "b"):
+        vals = [v for kk, v in rows if kk == k]
+        got = next(r for r in win if r[0] == k)
+        for j, (_c, q, _n) in enumerate(specs):
+            assert abs(got[j + 1] - float(np.quantile(vals, q))) < 1e-9
