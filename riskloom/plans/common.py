@@ -24,10 +24,13 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def finalize(df: DataFrame, digits: int = 6, money_digits: int = 4, money: tuple = ()) -> DataFrame:
+def finalize(df: DataFrame, digits: int = 6, money_digits: int = 4, money: tuple = (),
+             exact: tuple = ()) -> DataFrame:
     """Stable output types: integral -> bigint, fractional -> double rounded
-    (``money`` columns to fewer digits, sums of large values differ in the
-    last bits between engines)."""
+    (aggregates of doubles differ in the last bits between engines; ``money``
+    columns use ``money_digits``).  ``exact`` columns are single IEEE
+    operations on the inputs (e.g. one division), identical in every engine,
+    and are not rounded: rounding could only split ties differently."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -35,7 +38,7 @@ def finalize(df: DataFrame, digits: int = 6, money_digits: int = 4, money: tuple
         if isinstance(t, (ByteType, ShortType, IntegerType, LongType)):
             cols.append(c.cast("bigint").alias(f.name))
         elif isinstance(t, (FloatType, DoubleType, DecimalType)):
-            d = money_digits if f.name in money else digits
+            d = None if f.name in exact else (money_digits if f.name in money else digits)
             cols.append((F.round(c.cast("double"), d) if d is not None else c.cast("double")).alias(f.name))
         else:
             cols.append(c)

@@ -169,7 +169,7 @@ WITH {TXN_O_CTE},
 r AS (SELECT transaction_id, transaction_amount / 100 AS amount, CAST(account_age_days AS DOUBLE) AS acc,
              CAST(customer_age * 2 - 30 AS DOUBLE) AS age,
              CAST(transaction_hour + (transaction_id % 3) * 12 AS INTEGER) AS hr, quantity FROM txn_o)
-SELECT transaction_id, coalesce(amount, 0.0) AS transaction_amount,
+SELECT transaction_id, round(coalesce(amount, 0.0), 8) AS transaction_amount,
        round(ln(1 + greatest(coalesce(amount, 0.0), 0.0)), 8) AS log_amount, acc AS account_age_days,
        CAST(CASE WHEN acc > -1 AND acc <= 30 THEN 0 WHEN acc > 30 AND acc <= 90 THEN 1 WHEN acc > 90 AND acc <= 180 THEN 2
             WHEN acc > 180 AND acc <= 365 THEN 3 WHEN acc > 365 AND acc <= 730 THEN 4
@@ -360,7 +360,8 @@ def _feature_job_sql() -> str:
             "is_weekend", "is_high_amount", "account_age_bucket", "customer_age_bucket"]
     strs = ["device_used", "ip_address", "customer_location_norm", "payment_method_norm", "payment_method",
             "product_category", "customer_location", "shipping_address", "billing_address", "product_category_norm"]
-    sel = ([f"round(coalesce(CASE WHEN isfinite({c}) THEN {c} END, 0.0), 8) AS {c}" for c in dbl]
+    sel = ([f"round(coalesce(CASE WHEN isfinite({c}) THEN {c} END, 0.0), 8) AS {c}" for c in dbl if c != "amount_per_unit"]
+           + ["coalesce(CASE WHEN isfinite(amount_per_unit) THEN amount_per_unit END, 0.0) AS amount_per_unit"]
            + [f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ints] + strs
            + ["strftime(tx_date, '%Y-%m-%d') AS tx_date", "transaction_date"])
     acc = "CASE " + " ".join(
@@ -435,4 +436,4 @@ def q_feature_job(spark, sf):
     hour / amount / age features, exact quantiles, entity counts)."""
     from .feature_job import build_features
     f = build_features(spark, sf).withColumn("tx_date", F.date_format("tx_date", "yyyy-MM-dd"))
-    return finalize(f, digits=8)
+    return finalize(f, digits=8, exact=("amount_per_unit",))

@@ -31,14 +31,14 @@ txn AS (SELECT * REPLACE (CASE WHEN transaction_id % {NULL_CUSTOMER_EVERY} <> 0
 WITH {TXN_NC_CTE},
 g AS (SELECT customer_id, count(transaction_amount) AS n, sum(transaction_amount) AS s FROM txn
       WHERE customer_id IS NOT NULL GROUP BY 1)
-SELECT t.transaction_id, coalesce(g.n, 0) AS cust_txn_count, round(coalesce(g.s, 0.0), 4) AS cust_txn_sum,
-       round(CASE WHEN coalesce(g.n, 0) > 0 THEN g.s / g.n ELSE 0.0 END, 4) AS cust_txn_mean,
+SELECT t.transaction_id, coalesce(g.n, 0) AS cust_txn_count, round(coalesce(g.s, 0.0), 8) AS cust_txn_sum,
+       round(CASE WHEN coalesce(g.n, 0) > 0 THEN g.s / g.n ELSE 0.0 END, 8) AS cust_txn_mean,
        round(ln(1 + coalesce(g.n, 0)), 6) AS cust_txn_count_log
 FROM txn t LEFT JOIN g ON t.customer_id = g.customer_id""")
 def q_customer_totals(spark, sf):
     out = win.customer_totals(txn_null_customers(spark, sf))
     return finalize(out.select("transaction_id", "cust_txn_count", "cust_txn_sum", "cust_txn_mean",
-                               "cust_txn_count_log"), money=("cust_txn_sum", "cust_txn_mean"))
+                               "cust_txn_count_log"), money=("cust_txn_sum", "cust_txn_mean"), money_digits=8)
 
 
 @register("customer_totals_full", f"""
@@ -46,15 +46,16 @@ WITH {TXN_NC_CTE},
 g AS (SELECT customer_id, count(transaction_amount) AS n, sum(transaction_amount) AS s FROM txn
       WHERE customer_id IS NOT NULL GROUP BY 1)
 SELECT t.transaction_id, CAST(coalesce(g.n, 0) AS DOUBLE) AS cust_total_txn,
-       round(coalesce(g.s, 0.0), 4) AS cust_total_amt,
-       round(coalesce(CASE WHEN coalesce(g.n, 0) > 0 THEN g.s / g.n END, t.transaction_amount), 4) AS cust_avg_amt,
+       round(coalesce(g.s, 0.0), 8) AS cust_total_amt,
+       round(coalesce(CASE WHEN coalesce(g.n, 0) > 0 THEN g.s / g.n END, t.transaction_amount), 8) AS cust_avg_amt,
        round(ln(1 + coalesce(g.n, 0)), 6) AS cust_total_txn_log,
        round(coalesce(ln(1 + coalesce(g.s, 0.0)), 0.0), 6) AS cust_total_amt_log
 FROM txn t LEFT JOIN g ON t.customer_id = g.customer_id""")
 def q_customer_totals_full(spark, sf):
     out = win.customer_totals_full(txn_null_customers(spark, sf))
     return finalize(out.select("transaction_id", "cust_total_txn", "cust_total_amt", "cust_avg_amt",
-                               "cust_total_txn_log", "cust_total_amt_log"), money=("cust_total_amt", "cust_avg_amt"))
+                               "cust_total_txn_log", "cust_total_amt_log"), money=("cust_total_amt", "cust_avg_amt"),
+                    money_digits=8)
 
 
 @register("customer_daily_count", f"""
