@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize_observed
 from .splits import with_positions
 
 DEFAULT_ACCURACY = 20000
@@ -83,10 +83,11 @@ def exact_quantile_specs(df: DataFrame, specs: list[tuple[str, float, str]], key
 
     # one row per group, written once: the candidate pass and the size check
     # below read it instead of recomputing passes 1-2
-    bounds = materialize(bounds)
     in_eff = [F.when(F.col(f"__lo{i}") == float("-inf"), F.col(f"__n{i}")).otherwise(F.col(f"__in{i}"))
               for i in range(len(specs))]
-    largest = bounds.agg(F.max(F.greatest(*in_eff) if len(in_eff) > 1 else in_eff[0])).first()[0] or 0
+    bounds, m = materialize_observed(
+        bounds, largest=F.max(F.greatest(*in_eff) if len(in_eff) > 1 else in_eff[0]))
+    largest = m["largest"] or 0
 
     cj = src.join(bcast(bounds), on=gkeys)
     tagged = None
