@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import normalize_key, strip_ws
-from ..session import materialize_observed
+from ..session import materialize
 
 DEFAULT_BROADCAST_ROWS = 200_000
 
@@ -23,8 +23,12 @@ def checked_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -
     """Materialise a small derived table once and broadcast it only if it
     has at most ``max_rows`` rows; larger tables are returned unhinted so
     the join falls back to a shuffle join."""
-    side, m = materialize_observed(side, rows=F.count(F.lit(1)))  # counted by the write job
-    return F.broadcast(side) if m["rows"] <= max_rows else side
+    side = materialize(side)
+    # reads the written table (row counts from parquet footers); DataFrame
+    # .observe is avoided: it leaves a non-serializable manager on the session
+    # that breaks later MLlib models holding a training summary
+    n = side.limit(max_rows + 1).count()
+    return F.broadcast(side) if n <= max_rows else side
 
 
 def enrich_left(df: DataFrame, side: DataFrame, left_on: list[str], right_on: list[str] | None = None,

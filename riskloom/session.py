@@ -110,22 +110,3 @@ def materialize(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     return spark.read.parquet(path)
 
-
-def materialize_observed(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
-    """``materialize`` that also returns aggregate ``metrics`` (name ->
-    Column) computed by the same write job via ``DataFrame.observe`` - no
-    extra pass over the data."""
-    from pyspark.sql import Observation
-    if not metrics:
-        return materialize(df), {}
-    obs = Observation("riskloom")
-    observed = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
-    import uuid
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-table-{uuid.uuid4().hex}"
-    try:
-        observed.write.mode("overwrite").parquet(path)
-    except Exception:  # noqa: BLE001 - names parquet cannot store
-        out = df.checkpoint(eager=True)
-        return out, out.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
-    return spark.read.parquet(path), dict(obs.get)
