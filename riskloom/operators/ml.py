@@ -23,6 +23,11 @@ from ..functions.cleaning import is_finite
 SEED = 42
 
 
+def _w(weight_col: str | None) -> dict:
+    """weightCol only when given (MLlib rejects a None param value)."""
+    return {"weightCol": weight_col} if weight_col else {}
+
+
 # ------------------------------------------------------------ weights
 
 
@@ -85,13 +90,13 @@ def gbt_b(label: str, rounds: int = 900, weight_col: str = "weight") -> GBTClass
     columns .8, positive class weighted by (1-p)/p."""
     return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=0.05, maxDepth=7,
                          minInstancesPerNode=4, subsamplingRate=0.9, featureSubsetStrategy="0.8",
-                         weightCol=weight_col, seed=SEED)
+                         seed=SEED, **_w(weight_col))
 
 
 def gbt_time(label: str, rounds: int = 800, weight_col: str = "weight") -> GBTClassifier:
     """Time-split benchmark model: 128 leaves ~ depth 7, class-weighted."""
     return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=0.05, maxDepth=7,
-                         subsamplingRate=0.9, featureSubsetStrategy="0.8", weightCol=weight_col, seed=SEED)
+                         subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=SEED, **_w(weight_col))
 
 
 def gbt_simple(label: str, rounds: int = 200) -> GBTClassifier:
@@ -101,20 +106,22 @@ def gbt_simple(label: str, rounds: int = 200) -> GBTClassifier:
 
 def gbt_engineered(label: str, rounds: int = 400, weight_col: str = "weight") -> GBTClassifier:
     return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=0.05, maxDepth=6,
-                         weightCol=weight_col, seed=SEED)
+                         seed=SEED, **_w(weight_col))
 
 
 def random_forest(label: str, trees: int = 300, weight_col: str = "weight", max_depth: int = 30) -> RandomForestClassifier:
     """300 trees, balanced class weights; depth capped at MLlib's 30."""
     return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=max_depth,
-                                  weightCol=weight_col, seed=SEED)
+                                  seed=SEED, **_w(weight_col))
 
 
-def logistic(label: str, max_iter: int = 1000, reg: float = 1.0) -> LogisticRegression:
-    """L2-regularised (C = 1 -> regParam 1/n is applied by the caller if
-    wanted), up to 1000 iterations."""
-    return LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter, regParam=0.0,
-                              elasticNetParam=0.0)
+def logistic(label: str, max_iter: int = 1000, c: float = 1.0, n_rows: int | None = None) -> LogisticRegression:
+    """L2 logistic regression, up to 1000 iterations.  scikit-learn's
+    ``C`` (loss summed) maps to MLlib's ``regParam = 1 / (C n)`` (loss
+    averaged); without ``n_rows`` the fit is unregularised."""
+    reg = 1.0 / (c * n_rows) if n_rows else 0.0
+    return LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter, regParam=reg,
+                              elasticNetParam=0.0, standardization=False)
 
 
 def fit(train: DataFrame, feature_cols: list[str], estimator) -> PipelineModel:
