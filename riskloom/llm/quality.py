@@ -39,6 +39,9 @@ _SHAPE = bytes.maketrans(
 _RUNS = [(re.compile(c + b"{2,}"), c) for c in (b"x", b"X", b"0")]
 
 
+_MARKS = re.compile(rb"([^A-Za-z0-9.])\1").search
+
+
 def _stats(text: str) -> tuple[Counter, int, int, int, int]:
     """Counts of the collapsed word shapes; words, different words, words equal to the one before, the commonest's count."""
     shape = text.encode("utf-8", "surrogatepass").translate(_SHAPE)
@@ -68,8 +71,8 @@ def labellers(stats: tuple) -> list[int]:
         _vote(share(lambda s: any(ch in s for ch in b"#$%&*|<>{}=~^")), 0.02, 0.2),   # symbols in words
         _vote(share(_is_upper), 0.05, 0.4, n >= 10),                                   # shouted words
         _vote(repeats / n, 0.05, 0.3, n >= 10),                                        # a word after itself
-        _vote(share(lambda s: b"!!" in s or b"??" in s), 0.01, 0.2),                   # runs of marks
-        _vote(share(lambda s: not s[-1:].isalnum()), 0.35, 0.8, n >= 10),              # words that end in a mark
+        _vote(share(_MARKS), 0.02, 0.2),                                               # a mark twice or more
+        _vote(share(lambda s: not s[-1:].isalnum()), 0.35, 0.5, n >= 10),              # words that end in a mark
         _vote(top / n, 0.2, 0.5, n >= 20),                                             # one word everywhere
         _vote(1 - distinct / n, 0.5, 0.85, 50 <= n <= 5000),                           # few different words
     ]
@@ -101,7 +104,8 @@ def _features(stats: tuple) -> dict[int, float]:
 
 @dataclass
 class QualityModel:
-    """``votes[class, labeller, vote]`` from EM, share of junk, and the scorer's weights (last: intercept)."""
+    """``votes[class, labeller, vote]``: how often a labeller that votes gives each vote (0 for none is 1: a missing
+    vote says nothing), the share of junk, and the scorer's weights (last: intercept)."""
 
     votes: np.ndarray
     junk_share: float
@@ -133,16 +137,16 @@ def _posterior(patterns: np.ndarray, votes: np.ndarray, junk: float) -> np.ndarr
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Vote frequencies per class and the share of junk, from pattern counts.
-    Starts from the weak rule that any junk vote speaks for junk."""
+    Starts from the rule that any junk vote speaks for junk, which the counts then correct."""
     digits = np.stack([patterns // 3 ** i % 3 for i in range(LABELLERS)])
-    p = np.where((digits == JUNK).any(axis=0), 0.9, 0.05)
-    votes, junk = np.full((2, LABELLERS, 3), 1 / 3), 0.1
+    p = np.where((digits == JUNK).any(axis=0), 0.999, 0.001)
+    votes, junk = np.ones((2, LABELLERS, 3)), 0.1
     for _ in range(rounds):
         weight = np.stack([(1 - p) * counts, p * counts])
         junk = float(np.clip(weight[1].sum() / max(counts.sum(), 1e-9), 1e-6, 1 - 1e-6))
-        for v in range(3):
+        for v in (CLEAN, JUNK):
             votes[:, :, v] = weight @ (digits == v).T + 0.1
-        votes /= votes.sum(axis=2, keepdims=True)
+        votes[:, :, 1:] /= votes[:, :, 1:].sum(axis=2, keepdims=True)
         new = _posterior(patterns, votes, junk)
         if np.abs(new - p).max(initial=0) < 1e-9:
             break
@@ -151,7 +155,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 def _train(rows: list, labels: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels, classes weighed alike, full-batch steps with momentum."""
+    """Logistic regression on soft labels by full-batch steps with momentum."""
     used = sorted({b for r in rows for b in r})
     place = {b: i for i, b in enumerate(used)}
     x = np.zeros((len(rows), len(used) + 1))
@@ -159,12 +163,10 @@ def _train(rows: list, labels: np.ndarray, rounds: int = 300, ridge: float = 1e-
     for i, r in enumerate(rows):
         for b, v in r.items():
             x[i, place[b]] = v
-    weigh = labels / max(labels.sum(), 1e-9) + (1 - labels) / max((1 - labels).sum(), 1e-9)
-    weigh /= weigh.sum()
     w, step = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = 0.9 * step - 2.0 * (x.T @ (weigh * (p - labels)) + ridge * w)
+        step = 0.9 * step - 2.0 * (x.T @ (p - labels) / len(rows) + ridge * w)
         w = w + step
     out = np.zeros(BUCKETS + 1)
     out[used] = w[:-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup_exact, mixing, packing, quality, simhash
+from . import chat, dedup_exact, mixing, packing, quality, simhash, token_counts, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,12 +20,35 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_read(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id",
                          "offset")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    planted = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), planted.alias("text"))
+    turns = turns.unionByName(extra).withColumn("content", chat.text_parts(F.coalesce("text", F.lit(""))))
+    back = chat.read_chat(chat.format_chat(turns))
+    lines = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(lines, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.wavelet_documents(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs))
@@ -38,7 +61,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_chat": op6_chat,
+    "op7_wavelet": op7_wavelet,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
@@ -50,4 +76,18 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_chat": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), ''))
+                   AS loss_sha256,
+               sum(length('<turn ' || role || '></turn>') + 1 + 2 * length(text)
+                   - length(replace(replace(replace(text, '\\', ''), '<', ''), '>', '')))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
 }
