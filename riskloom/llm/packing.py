@@ -87,14 +87,15 @@ def _dominant(items: _Lengths, j: int, capacity: int) -> tuple[int, ...] | None:
 
 def _best_pair(items: _Lengths, j: int, room: int) -> int:
     """Largest sum of two other pieces within ``room``."""
-    best, lo, hi = 0, 0, len(items.keys) - 1
     left = lambda w: items.count[w] - (w == j)
+    keys = [w for w in items.keys if left(w) > 0]
+    best, lo, hi = 0, 0, len(keys) - 1
     while lo <= hi:
-        a, b = items.keys[lo], items.keys[hi]
+        a, b = keys[lo], keys[hi]
         if a + b > room:
             hi -= 1
             continue
-        if left(a) > 0 and left(b) > 0 and (a != b or left(a) > 1):
+        if a != b or left(a) > 1:
             best = max(best, a + b)
         lo += 1
     return best

@@ -30,6 +30,8 @@ from .store import save, ship_package, text_of
 BUCKETS = 1 << 12
 #: The scorer trains on at most so many documents, those of the lowest hash.
 TRAIN_ROWS = 8192
+#: A labeller calls at most this share of clean texts junk.
+FALSE_ALARM = 0.001
 JUNK, CLEAN, NONE = 2, 1, 0
 
 _SHAPE = bytes.maketrans(
@@ -135,8 +137,12 @@ def _posterior(patterns: np.ndarray, votes: np.ndarray, junk: float) -> np.ndarr
     return p[1] / p.sum(axis=0)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
+                             false_alarm: float = FALSE_ALARM) -> tuple[np.ndarray, float]:
     """Vote frequencies per class and the share of junk, from pattern counts.
+
+    A labeller knows one kind of junk, and kinds exclude each other; a bound on how often it may call clean text junk
+    keeps a rare kind, about which all other labellers are wrong, from passing as clean.
     Starts from the rule that any junk vote speaks for junk, which the counts then correct."""
     digits = np.stack([patterns // 3 ** i % 3 for i in range(LABELLERS)])
     p = np.where((digits == JUNK).any(axis=0), 0.999, 0.001)
@@ -147,6 +153,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         for v in (CLEAN, JUNK):
             votes[:, :, v] = weight @ (digits == v).T + 0.1
         votes[:, :, 1:] /= votes[:, :, 1:].sum(axis=2, keepdims=True)
+        votes[0, :, JUNK] = np.minimum(votes[0, :, JUNK], false_alarm)
+        votes[0, :, CLEAN] = 1 - votes[0, :, JUNK]
         new = _posterior(patterns, votes, junk)
         if np.abs(new - p).max(initial=0) < 1e-9:
             break

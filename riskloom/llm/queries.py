@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup_exact, mixing, packing, quality, simhash, token_counts, wavelet
+from . import chat, dedup_exact, lines, mixing, packing, quality, search, simhash, token_counts, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(_read(spark, sf_dir, "documents")).select("doc_id", "line_no", "class_id", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the whole texts of all rows whose doc_id is divisible by 50."""
+    docs = _read(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0")).withColumn("score", F.round("score", 6))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
@@ -61,11 +71,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_chat": op6_chat,
     "op7_wavelet": op7_wavelet,
     "op8_quality": op8_quality,
+    "op9_search": op9_search,
     "op10_simhash": op10_simhash,
 }
 
