@@ -49,34 +49,32 @@ def time_split(df: DataFrame, ts: str, id_col: str, train_frac: float = 0.70,
     return j.withColumn("split", split).drop("__pos", "__n")
 
 
+def hash_split(df: DataFrame, id_col: str, test_frac: float = 0.2, valid_frac_of_rest: float = 0.25,
+               seed: int = 42) -> DataFrame:
+    """Adds ``split`` by a seeded md5 draw per id, without a shuffle.  The
+    label plays no part: classes keep their proportions in expectation only."""
+    u = hash_unit(id_col, salt=f":{seed}")
+    cut_valid = test_frac + (1.0 - test_frac) * valid_frac_of_rest
+    return df.withColumn("split", F.when(u < test_frac, "test").when(u < cut_valid, "valid").otherwise("train"))
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float = 0.2,
-                     valid_frac_of_rest: float = 0.25, seed: int = 42, exact: bool = False) -> DataFrame:
-    """Adds ``split`` in {train, valid, test}.
-
-    Default (scale path): a seeded md5 draw ``u`` per id; test when
-    ``u < test_frac``, valid when ``u < test_frac + (1-test_frac)*valid``.
-    The draw ignores the label, so every class is split in the same
-    proportions in expectation.
-
-    ``exact=True``: rows ordered by (label, u); within each label the first
-    ``round(test_frac n_c)`` rows are test and the next
-    ``round(valid (n_c - test_c))`` valid - exact per-class sizes, computed
-    with distributed positions (no per-label single partition).
+                     valid_frac_of_rest: float = 0.25, seed: int = 42) -> DataFrame:
+    """Adds ``split`` in {train, valid, test}, exact per class.
+
+    Rows ordered by (label, seeded md5 draw per id); within each label the
+    first ``round(test_frac n_c)`` rows are test and the next
+    ``round(valid (n_c - test_c))`` valid.  Positions are distributed: no class
+    meets in one partition.  A null label is a class of its own.
     """
-    u = hash_unit(id_col, salt=f":{seed}")
-    if not exact:
-        cut_valid = test_frac + (1.0 - test_frac) * valid_frac_of_rest
-        split = F.when(u < test_frac, "test").when(u < cut_valid, "valid").otherwise("train")
-        return df.withColumn("split", split)
-    d = df.withColumn("__u", u)
-    p = with_positions(d, [label, "__u", id_col], "__pos")
-    per = p.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"), F.min("__pos").alias("__p0"))
+    p = with_positions(df.withColumn("__u", hash_unit(id_col, salt=f":{seed}")), [label, "__u", id_col], "__pos")
+    per = p.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__nc"), F.min("__pos").alias("__p0"))
     per = (per.withColumn("__kt", F.floor(F.col("__nc") * test_frac + 0.5))
               .withColumn("__kv", F.floor((F.col("__nc") - F.col("__kt")) * valid_frac_of_rest + 0.5)))
-    j = p.join(F.broadcast(per), on=label)  # one row per class
+    j = p.join(per, p[label].eqNullSafe(per["__l"]))  # a row per class: broadcast when its size allows
     r = F.col("__pos") - F.col("__p0")
     split = F.when(r < F.col("__kt"), "test").when(r < F.col("__kt") + F.col("__kv"), "valid").otherwise("train")
-    return j.withColumn("split", split).drop("__u", "__pos", "__nc", "__p0", "__kt", "__kv")
+    return j.withColumn("split", split).drop("__u", "__pos", "__l", "__nc", "__p0", "__kt", "__kv")
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:

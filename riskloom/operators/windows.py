@@ -16,9 +16,6 @@ from ..functions.cleaning import to_numeric
 from .joins import checked_broadcast
 
 DAY_US = 86_400_000_000
-# Largest (entity, bucket) window partition, in distinct times (target and
-# context copies), that the bucket strategy may put in one task.
-BUCKET_LIMIT = 2_000_000
 
 
 def _attach(df: DataFrame, keys: list[str], aggs: list, small: bool = False,
@@ -97,127 +94,64 @@ def wall_clock_micros(ts: str) -> Column:
 
 def velocity(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_ts",
              amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d",
-             strategy: str = "auto") -> DataFrame:
-    """Trailing-window activity *before* each transaction (see
-    ``velocity_scan`` for the semantics).  ``strategy``: ``scan`` (prefix
-    sums over a range-partitioned order; immune to any hot key or hot time
-    bucket), ``bucket`` (windows per (entity, time bucket); fewer shuffles,
-    a hot entity is split by time but one hot entity-bucket stays in one
-    task) or ``auto`` (default: measures the largest (entity, bucket) with
-    one aggregate and uses ``bucket`` only when it fits one task)."""
-    if strategy == "auto":
-        # measured choice: bucket windows unless one (entity, bucket) is large
-        us = wall_clock_micros(ts)
-        per_bucket = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
-                        .groupBy(entity, F.floor(us / F.lit(window_us)).alias("__b"))
-                        .agg(F.count(F.lit(1)).alias("__c")))  # rows >= distinct times: safe bound
-        largest = per_bucket.agg(F.max("__c")).first()[0] or 0
-        strategy = "bucket" if 2 * largest <= BUCKET_LIMIT else "scan"
-    if strategy == "scan":
-        return velocity_scan(df, entity, ts, amount, window_us, suffix)
-    return velocity_bucketed(df, entity, ts, amount, window_us, suffix)
-
-
-def velocity_scan(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_ts",
-                  amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d") -> DataFrame:
-    """Trailing-window activity before each transaction, by prefix sums.
-
-    Semantics: for each row, count / sum / mean of the entity's amounts in
-    ``(t' - W, t']`` where ``t'`` is the entity's previous distinct event time
-    (0 for its first time); rows tied on time share one value.
-
-    Plan: collapse to one row per (entity, time).  Each collapsed row also
-    emits a probe at ``t - W``.  One distributed prefix scan over the order
-    (entity, time, data-before-probe) gives, for every row, the global sums of
-    all data rows before it.  The window value at a data row is
-    ``prefix_incl(row) - prefix(probe of row)``; the feature of a row is the
-    window value of the previous data row of the same entity, found by an
-    equi-join on global position.  No partition is chosen by a key or a
-    time bucket, so skew of either cannot concentrate work in one task.
+             slices: int = 24) -> DataFrame:
+    """Trailing-window activity *before* each transaction.
+
+    For each row: count / sum / mean of the entity's amounts in ``(t' - W, t']``
+    where ``t'`` is the entity's previous distinct event time (0 for its first
+    time).  Rows tied on time share one value, so a row never sees itself or its
+    peers.
+
+    Plan: collapse to one row per (entity, time); cut time into slices of
+    ``W / slices``.  The window of a row is the end of the slice ``slices`` back,
+    the whole slices between, and the start of its own slice.  The whole slices
+    come from their totals (one row per entity and slice); the two ends from
+    windows per (entity, slice), in which each collapsed row also appears
+    ``slices`` later as expiring context.  A busy entity is so split by time down
+    to a ``slices``-th of the window.  Sums only ever add amounts that are in the
+    window: nothing is subtracted and no entity meets another, so an outlier or
+    NaN stays with its own windows.  ``slices`` changes the split of the work,
+    not the value.
     """
-    from .metrics import running_totals
     us = wall_clock_micros(ts)
+    width = window_us // slices
+    if width * slices != window_us:
+        raise ValueError("the window must be a whole number of slices")
     collapsed = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
                    .groupBy(entity, us.alias("__us"))
-                   .agg(F.count(amount).alias("__n"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("__s")))
-    m = collapsed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("__k"))
-    data = F.col("__k") == 0
-    m = m.select(entity, "__us", "__k",
-                 F.when(data, F.col("__us")).otherwise(F.col("__us") - F.lit(window_us)).alias("__t"),
-                 F.when(data, F.col("__n")).otherwise(F.lit(0)).alias("__dn"),
-                 F.when(data, F.col("__s")).otherwise(F.lit(0.0)).alias("__ds"),
-                 data.cast("long").alias("__one"))
-    r = running_totals(m, [entity, "__t", "__k"], ["__dn", "__ds", "__one"])
-    rows = r.where(F.col("__k") == 0).select(
-        entity, "__us", (F.col("__dn_before") + F.col("__dn")).alias("__in"),
-        (F.col("__ds_before") + F.col("__ds")).alias("__is"), F.col("__one_before").alias("__pos"))
-    probes = r.where(F.col("__k") == 1).select(entity, "__us", F.col("__dn_before").alias("__pn"),
-                                                F.col("__ds_before").alias("__ps"))
-    a = rows.join(probes, on=[entity, "__us"]).select(
-        entity, "__us", "__pos", (F.col("__in") - F.col("__pn")).alias("__wn"),
-        (F.col("__is") - F.col("__ps")).alias("__ws"))
-    prev = a.select(entity, (F.col("__pos") + 1).alias("__pos"), F.col("__wn").alias("__fn"),
-                    F.col("__ws").alias("__fs"))
-    feats = a.join(prev, on=[entity, "__pos"], how="left")
-    n = F.coalesce(F.col("__fn"), F.lit(0)).cast("long")
-    s = F.coalesce(F.col("__fs"), F.lit(0.0))
+                   .agg(F.count(amount).alias("__n"), F.sum(amount).alias("__s"))
+                   .withColumn("__b", F.floor(F.col("__us") / F.lit(width))))
+    between = Window.partitionBy(entity).orderBy("__b").rangeBetween(-(slices - 1), -1)
+    whole = (collapsed.groupBy(entity, "__b").agg(F.sum("__n").alias("__tn"), F.sum("__s").alias("__ts"))
+                      .select(entity, "__b", F.sum("__tn").over(between).alias("__wn"),
+                              F.sum("__ts").over(between).alias("__ws")))
+    both = (collapsed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("__c"))
+            .withColumn("__b", F.col("__b") + F.col("__c") * slices)
+            .withColumn("__t", F.col("__us") + F.col("__c") * F.lit(window_us)))
+    own = F.col("__c") == 0
+    part = Window.partitionBy(entity, "__b")
+    started = part.orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    unexpired = part.orderBy(F.desc("__t")).rangeBetween(Window.unboundedPreceding, -1)
+    ends = both.select(
+        entity, "__b", "__us", "__c",
+        *[F.sum(F.when(own, F.col(c))).over(started).alias(f"{c}0") for c in ("__n", "__s")],
+        *[F.sum(F.when(~own, F.col(c))).over(unexpired).alias(f"{c}1") for c in ("__n", "__s")]).where(own)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = ends.join(whole, [entity, "__b"]).select(
+        entity, "__b", "__us", (zero("__n0") + zero("__n1") + zero("__wn")).alias("__n"),
+        (zero("__s1") + zero("__ws") + zero("__s0")).alias("__s"))
+    # the value at the previous time: in the slice, or the last one of the entity's previous slice with events
+    order = part.orderBy("__us")
+    rows = (rows.withColumn("__pn", F.lag("__n").over(order)).withColumn("__ps", F.lag("__s").over(order))
+                .withColumn("__first", F.row_number().over(order) == 1))
+    last = rows.groupBy(entity, "__b").agg(F.max_by("__n", "__us").alias("__ln"), F.max_by("__s", "__us").alias("__ls"))
+    before = Window.partitionBy(entity).orderBy("__b")
+    last = last.select(entity, "__b", F.lag("__ln").over(before).alias("__bn"), F.lag("__ls").over(before).alias("__bs"))
+    feats = rows.join(last, [entity, "__b"])
+    n = F.coalesce(F.when(F.col("__first"), F.col("__bn")).otherwise(F.col("__pn")), F.lit(0)).cast("long")
+    s = F.coalesce(F.when(F.col("__first"), F.col("__bs")).otherwise(F.col("__ps")), F.lit(0.0))
     feats = feats.select(entity, "__us", n.alias(f"tx_count_{suffix}"), s.alias(f"amount_sum_{suffix}"),
                          F.when(n > 0, s / n).otherwise(F.lit(0.0)).alias(f"amount_mean_{suffix}"))
     out = df.withColumn("__us", us).join(feats, on=[entity, "__us"], how="left").drop("__us")
-    return out.fillna({f"tx_count_{suffix}": 0, f"amount_sum_{suffix}": 0.0, f"amount_mean_{suffix}": 0.0})
-
-
-def velocity_bucketed(df: DataFrame, entity: str = "customer_id", ts: str = "transaction_ts",
-                      amount: str = "transaction_amount", window_us: int = DAY_US, suffix: str = "1d") -> DataFrame:
-    """Trailing-window activity *before* each transaction (bucket strategy).
-
-    For each row: count / sum / mean of the entity's amounts in the window
-    ``(t' - W, t']`` where ``t'`` is the entity's previous distinct event
-    time (0 for its first time).  Rows tied on time share one value, so a
-    row never sees itself or its peers.
-
-    Plan: collapse to one row per (entity, time); every collapsed row goes to
-    its time bucket ``floor(t / W)`` as a target and to the next bucket as
-    context, so the frame of a target is complete inside its own
-    (entity, bucket) window partition - a hot entity is split by time.  The
-    value at the previous time comes from the same partition, or from the
-    last row of the entity's previous non-empty bucket (a per-bucket
-    summary, one row per entity-bucket).
-    """
-    us = wall_clock_micros(ts)
-    collapsed = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
-                   .groupBy(entity, us.alias("__us"))
-                   .agg(F.count(amount).alias("__n"), F.sum(amount).alias("__s")))
-    # one scan: each collapsed row is emitted twice (own bucket as target,
-    # next bucket as context)
-    copy = F.explode(F.array(F.lit(0), F.lit(1)))
-    both = (collapsed.select("*", copy.alias("__c"))
-            .withColumn("__b", F.floor(F.col("__us") / F.lit(window_us)) + F.col("__c"))
-            .withColumn("__t", F.col("__c") == 0).drop("__c"))
-    frame = Window.partitionBy(entity, "__b").orderBy("__us").rangeBetween(-(window_us - 1), 0)
-    win = (both.withColumn("__wn", F.sum("__n").over(frame))
-               .withColumn("__ws", F.sum("__s").over(frame))
-               .where(F.col("__t")))
-    order = Window.partitionBy(entity, "__b").orderBy("__us")
-    win = (win.withColumn("__pn", F.lag("__wn").over(order))
-              .withColumn("__ps", F.lag("__ws").over(order))
-              .withColumn("__first", F.row_number().over(order) == 1))
-    last = (win.groupBy(entity, "__b")
-               .agg(F.max_by("__wn", "__us").alias("__ln"), F.max_by("__ws", "__us").alias("__ls")))
-    prev_bucket = Window.partitionBy(entity).orderBy("__b")
-    last = (last.withColumn("__bn", F.lag("__ln").over(prev_bucket))
-                .withColumn("__bs", F.lag("__ls").over(prev_bucket))
-                .select(entity, "__b", "__bn", "__bs"))
-    feats = win.join(last, on=[entity, "__b"], how="left")
-    n = F.when(F.col("__first"), F.col("__bn")).otherwise(F.col("__pn"))
-    s = F.when(F.col("__first"), F.col("__bs")).otherwise(F.col("__ps"))
-    n = F.coalesce(n, F.lit(0)).cast("long")
-    s = F.coalesce(s, F.lit(0.0))
-    feats = feats.select(
-        entity, "__us",
-        n.alias(f"tx_count_{suffix}"),
-        s.alias(f"amount_sum_{suffix}"),
-        F.when(n > 0, s / n).otherwise(F.lit(0.0)).alias(f"amount_mean_{suffix}"))
-    rows = df.withColumn("__us", us)
-    out = rows.join(feats, on=[entity, "__us"], how="left").drop("__us")
-    return out.fillna({f"tx_count_{suffix}": 0, f"amount_sum_{suffix}": 0.0, f"amount_mean_{suffix}": 0.0})
+    return out.withColumns({c: F.coalesce(c, F.lit(0 if "count" in c else 0.0)) for c in (
+        f"tx_count_{suffix}", f"amount_sum_{suffix}", f"amount_mean_{suffix}")})

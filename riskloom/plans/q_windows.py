@@ -139,7 +139,7 @@ SPLIT_SQL = (f"CASE WHEN {md5_unit_sql('transaction_id', ':42')} < 0.2 THEN 'tes
 
 
 def split_txn(spark, sf):
-    return sp.stratified_split(fx.transactions_orders(spark, sf), "is_fraudulent", "transaction_id")
+    return sp.hash_split(fx.transactions_orders(spark, sf), "transaction_id")
 
 
 def _by_split(df):
@@ -179,7 +179,7 @@ def q_frequency_encode_missing(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", "lang")
     lab = fx.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality_cat"))
     j = d.join(lab, "doc_id", "left")
-    j = sp.stratified_split(j, "doc_id", "doc_id")
+    j = sp.hash_split(j, "doc_id")
     tr, others = _by_split(j)
     tr2, outs = enc.frequency_encode_missing(tr, others, ["quality_cat", "lang"])
     res = tr2
@@ -239,11 +239,15 @@ def q_time_split_70_15_15(spark, sf):
 
 def _split_sql(test: float, valid: float) -> str:
     u = md5_unit_sql("transaction_id", ":42")
-    cut = test + (1 - test) * valid
     return f"""
-WITH {TXN_O_CTE}
+WITH {TXN_O_CTE},
+r AS (SELECT transaction_id, is_fraudulent,
+             row_number() OVER (PARTITION BY is_fraudulent ORDER BY {u}, transaction_id) - 1 AS r,
+             count(*) OVER (PARTITION BY is_fraudulent) AS nc FROM txn_o),
+k AS (SELECT *, floor(nc * {test} + 0.5) AS kt FROM r),
+k2 AS (SELECT *, floor((nc - kt) * {valid} + 0.5) AS kv FROM k)
 SELECT transaction_id, is_fraudulent,
-       CASE WHEN {u} < {test} THEN 'test' WHEN {u} < {cut} THEN 'valid' ELSE 'train' END AS split FROM txn_o"""
+       CASE WHEN r < kt THEN 'test' WHEN r < kt + kv THEN 'valid' ELSE 'train' END AS split FROM k2"""
 
 
 @register("stratified_split_60_20_20", _split_sql(0.2, 0.25))
@@ -258,18 +262,10 @@ def q_stratified_split_56_14_30(spark, sf):
     return finalize(sp.stratified_split(t, "is_fraudulent", "transaction_id", 0.3, 0.2))
 
 
-@register("stratified_split_exact", f"""
-WITH {TXN_O_CTE},
-r AS (SELECT transaction_id, is_fraudulent,
-             row_number() OVER (PARTITION BY is_fraudulent ORDER BY {md5_unit_sql('transaction_id', ':42')}, transaction_id) - 1 AS r,
-             count(*) OVER (PARTITION BY is_fraudulent) AS nc FROM txn_o),
-k AS (SELECT *, floor(nc * 0.2 + 0.5) AS kt FROM r),
-k2 AS (SELECT *, floor((nc - kt) * 0.25 + 0.5) AS kv FROM k)
-SELECT transaction_id, is_fraudulent,
-       CASE WHEN r < kt THEN 'test' WHEN r < kt + kv THEN 'valid' ELSE 'train' END AS split FROM k2""")
+@register("stratified_split_exact", _split_sql(0.2, 0.25))
 def q_stratified_split_exact(spark, sf):
     t = fx.transactions_orders(spark, sf).select("transaction_id", "is_fraudulent")
-    return finalize(sp.stratified_split(t, "is_fraudulent", "transaction_id", 0.2, 0.25, exact=True))
+    return finalize(sp.stratified_split(t, "is_fraudulent", "transaction_id", 0.2, 0.25))
 
 
 @register("sample_n_seeded", f"""
