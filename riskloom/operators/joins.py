@@ -86,21 +86,25 @@ def match_coverage(txn: DataFrame, identity: DataFrame, key: str = "TransactionI
 
 
 def lookup_missing_keys(keys_df: DataFrame, key: str, order_col: str, cache: DataFrame,
-                        cache_key: str = "ip", max_per_run: int = 500) -> DataFrame:
-    """Keys still to resolve: distinct, non-empty, absent from the cache (a key
-    cached with a null value counts as cached), first ``max_per_run`` by
-    first appearance.  The cap is the operator's feature (a rate limit)."""
+                        cache_key: str = "ip", max_per_run: int | None = None) -> DataFrame:
+    """Keys still to resolve, one row each with its first appearance: distinct,
+    non-empty, absent from the cache (a key cached with a null value counts as
+    cached).  ``max_per_run`` is for callers with a rate limit: the first so
+    many by first appearance."""
     first_seen = (keys_df.where(F.col(key).isNotNull() & (strip_ws(key) != ""))
                   .groupBy(key).agg(F.min(order_col).alias("first_seen")))
-    cached = cache.select(F.col(cache_key).alias(key))
-    todo = first_seen.join(cached, on=key, how="left_anti")
-    return todo.orderBy("first_seen", key).limit(max_per_run)
+    todo = first_seen.join(cache.select(F.col(cache_key).alias(key)), on=key, how="left_anti")
+    return todo.orderBy("first_seen", key).limit(max_per_run) if max_per_run else todo
 
 
 def merge_cache(cache: DataFrame, resolved: DataFrame, key: str = "ip") -> DataFrame:
-    """Cache rows overridden by newly resolved rows for the same key."""
-    kept = cache.join(resolved.select(key), on=key, how="left_anti")
-    return kept.unionByName(resolved)
+    """One row per key: cache rows, overridden by newly resolved rows of the same
+    key; of several rows of one key on a side the largest (nulls are smallest)."""
+    def single(df: DataFrame) -> DataFrame:
+        rest = [c for c in cache.columns if c != key]
+        return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("__r")).select(
+            *[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in cache.columns])
+    return single(cache.join(resolved.select(key), on=key, how="left_anti")).unionByName(single(resolved))
 
 
 # ------------------------------------------------------------ IP ranges
@@ -139,42 +143,61 @@ def ip_range_join(df: DataFrame, ip_col: str, ranges: DataFrame, lo: str = "ip_l
 
 # ------------------------------------------------------------ countries
 
-# Alias spellings mapped straight to ISO3 codes.
+# Spellings beside the display names of the locale data.
 COUNTRY_ALIASES = {
-    "united states": "USA",
     "united states of america": "USA",
     "u.s.": "USA",
     "uk": "GBR",
-    "russia": "RUS",
-    "south korea": "KOR",
+    "russian federation": "RUS",
     "viet nam": "VNM",
-    "czechia": "CZE",
-}
-# ISO 3166-1 alpha-3 codes of the countries in the data.
-COUNTRY_ISO3 = {
-    "algeria": "DZA", "argentina": "ARG", "brazil": "BRA", "canada": "CAN", "china": "CHN",
-    "egypt": "EGY", "ethiopia": "ETH", "france": "FRA", "germany": "DEU", "india": "IND",
-    "indonesia": "IDN", "iran": "IRN", "iraq": "IRQ", "japan": "JPN", "jordan": "JOR",
-    "kenya": "KEN", "morocco": "MAR", "mozambique": "MOZ", "peru": "PER", "romania": "ROU",
-    "russian federation": "RUS", "saudi arabia": "SAU", "united kingdom": "GBR",
-    "vietnam": "VNM", "singapore": "SGP", "malaysia": "MYS", "hong kong": "HKG",
+    "czech republic": "CZE",
+    "hong kong": "HKG",
+    "macao": "MAC",
+    "republic of korea": "KOR",
+    "korea, republic of": "KOR",
+    "iran, islamic republic of": "IRN",
+    "syrian arab republic": "SYR",
+    "lao people's democratic republic": "LAO",
+    "bolivia, plurinational state of": "BOL",
+    "venezuela, bolivarian republic of": "VEN",
+    "tanzania, united republic of": "TZA",
+    "moldova, republic of": "MDA",
+    "brunei darussalam": "BRN",
+    "turkey": "TUR",
+    "ivory coast": "CIV",
+    "myanmar": "MMR",
+    "palestine": "PSE",
+    "congo": "COG",
+    "cape verde": "CPV",
+    "swaziland": "SWZ",
 }
 # Names that mean "no country".
 NO_COUNTRY = ["unknown", "local network", "nan", ""]
 
 
+def country_names(spark) -> dict[str, str]:
+    """Lower-case name or code -> ISO 3166-1 alpha-3 for every country the JVM's
+    locale data knows: English display name, alpha-2, alpha-3, and the aliases."""
+    locale = spark._jvm.java.util.Locale
+    rows = {}
+    for code in locale.getISOCountries():
+        place = locale("", code)
+        iso3 = place.getISO3Country()
+        for name in (place.getDisplayCountry(locale.ENGLISH), code, iso3):
+            rows[name.lower()] = iso3
+            # the locale data write "St." and "&"; both spellings are in use
+            rows.setdefault(name.lower().replace("st. ", "saint ").replace(" & ", " and "), iso3)
+    return {**rows, **COUNTRY_ALIASES}
+
+
 def country_dimension(spark) -> DataFrame:
-    """(name_lower, iso3) from aliases, names and the codes themselves."""
-    rows = dict(COUNTRY_ISO3)
-    rows.update(COUNTRY_ALIASES)
-    for code in set(rows.values()):
-        rows.setdefault(code.lower(), code)
-    return spark.createDataFrame(sorted(rows.items()), "name_lower string, iso3 string")
+    """(name_lower, iso3) of all countries."""
+    return spark.createDataFrame(sorted(country_names(spark).items()), "name_lower string, iso3 string")
 
 
 def country_to_iso3(df: DataFrame, col: str, out: str = "iso3") -> DataFrame:
     """Country name -> ISO3 (null for unknown / local / empty names)."""
-    dim = F.broadcast(country_dimension(df.sparkSession))  # fixed, ~60 rows
+    dim = F.broadcast(country_dimension(df.sparkSession))  # three names for each ISO country
     low = normalize_key(col, null_token=None)
     keyed = df.withColumn("__nl", F.when(~low.isin(NO_COUNTRY), low))
     j = keyed.join(dim, keyed["__nl"] == dim["name_lower"], "left")

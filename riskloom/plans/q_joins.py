@@ -86,12 +86,12 @@ def q_join_rate_diff_names(spark, sf):
 
 @register("map_lookup", f"""
 WITH {TXN_O_CTE}, {CF_PROD_CTE},
-m AS (SELECT category AS k, count(*) AS v FROM cf_prod WHERE NOT is_counterfeit AND category <> 'MACHINERY' GROUP BY 1)
+m AS (SELECT category AS k, count(*) AS v FROM cf_prod WHERE NOT is_counterfeit GROUP BY 1)
 SELECT t.transaction_id, t.product_category, coalesce(m.v, -1) AS category_size
 FROM txn_o t LEFT JOIN m ON t.product_category = m.k""")
 def q_map_lookup(spark, sf):
     t = fx.transactions_orders(spark, sf).select("transaction_id", "product_category")
-    m = fx.counterfeit_products(spark, sf).where(~F.col("is_counterfeit") & (F.col("category") != "MACHINERY")).groupBy(F.col("category").alias("k")).agg(
+    m = fx.counterfeit_products(spark, sf).where(~F.col("is_counterfeit")).groupBy(F.col("category").alias("k")).agg(
         F.count(F.lit(1)).alias("v"))
     return finalize(jn.map_lookup(t, "product_category", m, "k", "v", "category_size", default=-1))
 
@@ -115,11 +115,21 @@ cache AS (SELECT t.ip_address AS ip, CASE WHEN t.product_category <> 'error' THE
           WHERE t.customer_id % 3 = 0)"""
 
 
-@register("lookup_missing_keys", CACHE_SQL + """
+MISSING_SQL = """
 SELECT ip_address, min(transaction_ts) AS first_seen FROM txn_e
 WHERE ip_address IS NOT NULL AND trim(ip_address) <> '' AND ip_address NOT IN (SELECT ip FROM cache)
-GROUP BY 1 ORDER BY first_seen, ip_address LIMIT 500""")
+GROUP BY 1"""
+
+
+@register("lookup_missing_keys", CACHE_SQL + MISSING_SQL)
 def q_lookup_missing_keys(spark, sf):
+    e = fx.transactions_events(spark, sf)
+    return jn.lookup_missing_keys(e, "ip_address", "transaction_ts", ip_cache(spark, sf), "ip")
+
+
+@register("lookup_missing_keys_limited", CACHE_SQL + MISSING_SQL + " ORDER BY first_seen, ip_address LIMIT 500")
+def q_lookup_missing_keys_limited(spark, sf):
+    """The same under a rate limit of 500 keys a run, here the feature."""
     e = fx.transactions_events(spark, sf)
     return jn.lookup_missing_keys(e, "ip_address", "transaction_ts", ip_cache(spark, sf), "ip", max_per_run=500)
 
@@ -197,24 +207,23 @@ def q_concat_columns(spark, sf):
 
 
 @register("sink_json_lookup", CACHE_SQL + """,
-missing AS (SELECT ip_address, min(transaction_ts) AS first_seen FROM txn_e
-            WHERE ip_address IS NOT NULL AND trim(ip_address) <> '' AND ip_address NOT IN (SELECT ip FROM cache)
-            GROUP BY 1 ORDER BY first_seen, ip_address LIMIT 500),
-resolved AS (SELECT m.ip_address AS ip, r.country FROM missing m JOIN txn_e t ON m.ip_address = t.ip_address
-             LEFT JOIN ip_ranges r ON t.ip_number BETWEEN r.ip_lo AND r.ip_hi)
-SELECT ip, country FROM cache WHERE ip NOT IN (SELECT ip FROM resolved)
-UNION ALL SELECT ip, country FROM resolved""")
+missing AS (SELECT DISTINCT ip_address, ip_number FROM txn_e
+            WHERE ip_address IS NOT NULL AND trim(ip_address) <> '' AND ip_address NOT IN (SELECT ip FROM cache)),
+resolved AS (SELECT m.ip_address AS ip, r.country FROM missing m
+             LEFT JOIN ip_ranges r ON m.ip_number BETWEEN r.ip_lo AND r.ip_hi)
+SELECT ip, max(country) AS country FROM (
+    SELECT ip, country FROM cache WHERE ip NOT IN (SELECT ip FROM resolved) UNION ALL SELECT ip, country FROM resolved)
+GROUP BY ip""")
 def q_sink_json_lookup(spark, sf):
-    """One lookup-cache cycle: keys missing from the cache (first 500 by first
-    appearance) are resolved with the range join, merged into the cache, and
-    the cache is persisted as JSON lines and read back."""
+    """One lookup-cache cycle: every distinct key missing from the cache is resolved once with the range join, merged
+    into the cache, and the cache is persisted as JSON lines and read back."""
     from ..sources import files
     e = fx.transactions_events(spark, sf)
     cache = ip_cache(spark, sf)
-    todo = jn.lookup_missing_keys(e, "ip_address", "transaction_ts", cache, "ip", max_per_run=500)
-    resolved = (todo.select("ip_address").join(e.select("ip_address", "ip_number"), "ip_address")
-                .transform(lambda d: jn.ip_range_join(d, "ip_number", fx.ip_ranges(spark, sf)))
-                .select(F.col("ip_address").alias("ip"), "country"))
+    todo = jn.lookup_missing_keys(e, "ip_address", "transaction_ts", cache, "ip")
+    todo = todo.select("ip_address", jn.ipv4_to_long("ip_address").alias("ip_number"))
+    resolved = jn.ip_range_join(todo, "ip_number", fx.ip_ranges(spark, sf)).select(
+        F.col("ip_address").alias("ip"), "country")
     path = files.scratch_path(spark, "ip-cache-json")
     files.sink_json(jn.merge_cache(cache, resolved, "ip"), path)
     return files.scan_json_lookup(spark, path, "ip string, country string")

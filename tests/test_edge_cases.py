@@ -163,6 +163,25 @@ def test_country_iso3_rules(spark):
     assert col(joins.country_to_iso3(df, "c"), "iso3") == ["USA", "GBR", None, None, None, None, "FRA", None, "DEU"]
 
 
+def test_country_iso3_over_the_world(spark):
+    """Expected codes written down independently of the locale data."""
+    world = {"Australia": "AUS", "Nigeria": "NGA", "Netherlands": "NLD", "Spain": "ESP", "Italy": "ITA", "Poland": "POL",
+             "Sweden": "SWE", "Norway": "NOR", "Denmark": "DNK", "Finland": "FIN", "Iceland": "ISL", "Ireland": "IRL",
+             "Portugal": "PRT", "Greece": "GRC", "Austria": "AUT", "Switzerland": "CHE", "Belgium": "BEL", "Ukraine": "UKR",
+             "Turkey": "TUR", "Israel": "ISR", "Pakistan": "PAK", "Bangladesh": "BGD", "Sri Lanka": "LKA", "Nepal": "NPL",
+             "Thailand": "THA", "Philippines": "PHL", "Malaysia": "MYS", "Singapore": "SGP", "Taiwan": "TWN",
+             "South Korea": "KOR", "North Korea": "PRK", "Republic of Korea": "KOR", "Viet Nam": "VNM", "Vietnam": "VNM",
+             "Russian Federation": "RUS", "Russia": "RUS", "Czechia": "CZE", "Czech Republic": "CZE", "Hong Kong": "HKG",
+             "Mexico": "MEX", "Chile": "CHL", "Colombia": "COL", "Cuba": "CUB", "Ghana": "GHA", "Senegal": "SEN",
+             "South Africa": "ZAF", "Zimbabwe": "ZWE", "Tanzania": "TZA", "Uganda": "UGA", "Sudan": "SDN", "New Zealand": "NZL",
+             "Fiji": "FJI", "Papua New Guinea": "PNG", "Cambodia": "KHM", "Mongolia": "MNG", "Kazakhstan": "KAZ",
+             "Bosnia and Herzegovina": "BIH", "Saint Lucia": "LCA", "Trinidad and Tobago": "TTO", "au": "AUS", "nga": "NGA"}
+    df = spark.createDataFrame(list(world.items()), "c string, expected string")
+    bad = joins.country_to_iso3(df, "c").where("iso3 is null or iso3 <> expected").collect()
+    assert bad == []
+    assert len(set(joins.country_names(spark).values())) >= 245
+
+
 def test_hour_dow_matrix_missing_cells(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 3), 1), (dt.datetime(2024, 1, 1, 3), 0)],
                                "ts timestamp_ntz, is_fraudulent int")
@@ -176,6 +195,16 @@ def test_lookup_missing_keys_cap_and_null_cache(spark):
     cache = spark.createDataFrame([("10.0.0.1", None), ("10.0.0.2", "X")], "ip string, country string")
     out = col(joins.lookup_missing_keys(keys, "ip", "seq", cache, "ip", max_per_run=3), "ip")
     assert out == ["10.0.0.0", "10.0.0.3", "10.0.0.4"]
+    every = joins.lookup_missing_keys(keys.unionByName(keys), "ip", "seq", cache, "ip")
+    assert sorted(col(every, "ip")) == sorted(f"10.0.0.{i}" for i in range(10) if i not in (1, 2))
+
+
+def test_merge_cache_has_one_row_per_key(spark):
+    schema = "ip string, country string"
+    cache = spark.createDataFrame([("a", None), ("a", "X"), ("b", "Y"), ("c", None)], schema)
+    new = spark.createDataFrame([("b", "Z"), ("d", "W"), ("d", "W")], schema)
+    got = sorted((r.ip, r.country) for r in joins.merge_cache(cache, new).collect())
+    assert got == [("a", "X"), ("b", "Z"), ("c", None), ("d", "W")]
 
 
 def test_ipv4_parse(spark):
