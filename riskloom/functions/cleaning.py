@@ -77,12 +77,9 @@ def coerce_binary_target(c: ColumnOrName) -> Column:
 
 
 def normalize_name(name: str) -> str:
-    """Driver-side name normaliser for column names (metadata, not data):
-    strip + lower, runs of non ``[0-9a-z]`` -> ``_``, collapse, trim ``_``."""
-    if not isinstance(name, str):
-        return name
-    s = re.sub(r"[^0-9a-z]+", "_", name.strip().lower())
-    return re.sub(r"_+", "_", s).strip("_")
+    """Driver-side name normaliser for column names (metadata, not data): the
+    lower-case runs of letters and digits, joined by ``_``."""
+    return "_".join(re.findall("[0-9a-z]+", name.lower())) if isinstance(name, str) else name
 
 
 def normalize_name_col(c: ColumnOrName) -> Column:

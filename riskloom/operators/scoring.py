@@ -8,6 +8,8 @@ with column expressions only, then scored by a ``PipelineModel``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -48,71 +50,84 @@ def pad_trim(values: Column, width: int) -> Column:
     return F.slice(padded, 1, width)
 
 
-def infer_features_from_request(requests: DataFrame, feature_names: list[str],
-                                keep: list[str] | None = None) -> DataFrame:
-    """User-facing request columns -> model features; anything not derivable
-    is 0.0.  Inputs (optional): amount, account_age / account_age_days, age,
-    transaction_hour, cust_total_txn, amount_per_unit, quantity / qty."""
-    have = set(requests.columns)
-    feats = set(feature_names)
-    val: dict[str, Column] = {}
-    if "amount" in have:
-        amt = _num(F.col("amount"))
-        val["transaction_amount"] = amt
-        val["log_amount"] = F.log1p(F.greatest(amt, F.lit(0.0)))
-    acc_col = "account_age" if "account_age" in have else ("account_age_days" if "account_age_days" in have else None)
-    if acc_col:
-        acc = _num(F.col(acc_col))
-        val["account_age_days"] = acc
-        val["account_age_bucket"] = account_age_bucket(acc).cast("double")
-    if "age" in have:
-        age = _num(F.col("age"))
-        val["customer_age_bucket"] = customer_age_bucket(age).cast("double")
-        val["customer_age"] = age
-    if "transaction_hour" in have:
-        hr = _num(F.col("transaction_hour")).cast("int")
-        val["hour_sin"] = F.sin(F.lit(2 * math.pi) * hr / 24.0)
-        val["hour_cos"] = F.cos(F.lit(2 * math.pi) * hr / 24.0)
-        val["is_night"] = ((hr <= 6) | (hr >= 22)).cast("double")
-        val["transaction_hour"] = hr.cast("double")
-    if "cust_total_txn" in have and "cust_total_txn" in feats:
-        ct = _num(F.col("cust_total_txn"))
-        val["cust_total_txn"] = ct
-        val["cust_total_txn_log"] = F.log1p(F.greatest(ct, F.lit(0.0)))
-    if "amount_per_unit" in have:
-        val["amount_per_unit"] = _num(F.col("amount_per_unit"))
-    q_src = "quantity" if "quantity" in have else ("qty" if "qty" in have else None)
-    if q_src and ("quantity" in feats or "qty" in feats):
-        val["quantity"] = _num(F.col(q_src)).cast("long").cast("double")
-    cols = [val.get(n, F.lit(0.0)).cast("double").alias(n) for n in feature_names]
-    return requests.select(*(keep or []), *cols)
+def _same(x: Column) -> Column:
+    return x
+
+
+@dataclass(frozen=True)
+class Derived:
+    """How a model feature follows from a request: the first present of
+    ``sources`` as a number, through ``rule``; ``needs`` names features of which
+    the model must have one."""
+
+    sources: tuple[str, ...]
+    rule: Callable[[Column], Column] = _same
+    needs: tuple[str, ...] = ()
 
 
+def _log1p_positive(x: Column) -> Column:
+    return F.log1p(F.greatest(x, F.lit(0.0)))
+
+
+_ACCOUNT = ("account_age", "account_age_days")
+_QUANTITY = ("quantity", "qty")
+#: One rule per feature; features without one, or without a source in the request, are 0.0.
+DERIVED = {
+    "transaction_amount": Derived(("amount",)),
+    "log_amount": Derived(("amount",), _log1p_positive),
+    "amount_per_unit": Derived(("amount_per_unit",)),
+    "account_age_days": Derived(_ACCOUNT),
+    "account_age_bucket": Derived(_ACCOUNT, account_age_bucket),
+    "customer_age": Derived(("age",)),
+    "customer_age_bucket": Derived(("age",), customer_age_bucket),
+    "transaction_hour": Derived(("transaction_hour",), lambda h: h.cast("int")),
+    "hour_sin": Derived(("transaction_hour",), lambda h: F.sin(F.lit(2 * math.pi) * h.cast("int") / 24.0)),
+    "hour_cos": Derived(("transaction_hour",), lambda h: F.cos(F.lit(2 * math.pi) * h.cast("int") / 24.0)),
+    "is_night": Derived(("transaction_hour",), lambda h: ~h.cast("int").between(7, 21)),
+    "cust_total_txn": Derived(("cust_total_txn",)),
+    "cust_total_txn_log": Derived(("cust_total_txn",), _log1p_positive, needs=("cust_total_txn",)),
+    "quantity": Derived(_QUANTITY, lambda q: q.cast("long"), needs=_QUANTITY),
+}
+
+
+def infer_features_from_request(requests: DataFrame, feature_names: list[str],
+                                keep: list[str] | None = None) -> DataFrame:
+    """User-facing request columns -> model features by ``DERIVED``; anything not
+    derivable is 0.0."""
+    def value(name: str) -> Column:
+        how = DERIVED.get(name)
+        source = next((c for c in how.sources if c in requests.columns), None) if how else None
+        if source is None or how.needs and not set(how.needs) & set(feature_names):
+            return F.lit(0.0)
+        return how.rule(_num(F.col(source))).cast("double")
+    return requests.select(*(keep or []), *[value(n).alias(n) for n in feature_names])
+
+
+# Keyword rules, first match wins: the words a feature name must all hold (any of a group), and the input it reads.
+KEYWORD_RULES = [
+    ((("amount",),), "amount"),
+    ((("quantity", "qty"),), "quantity"),
+    ((("customer",), ("age",)), "customer_age"),
+    ((("account",), ("age",)), "account_age"),
+    ((("hour",),), "hour"),
+    ((), "amount"),
+]
 # Input fields of the two request kinds, with their defaults.
-TX_INPUTS = {"amount": ("amount_input", 0.0), "quantity": ("cust_total_txn_tx", 1),
-             "customer_age": ("customer_age_input", 0), "account_age": ("account_age_input", 0),
-             "hour": ("transaction_hour_input", 12)}
-USER_INPUTS = {"amount": ("avg_order_input", 0.0), "quantity": ("total_tx_input", 1),
-               "customer_age": ("age_input", 0), "account_age": ("account_age_input", 0),
-               "hour": ("transaction_hour_input", 12)}
+INPUTS = {
+    "tx": {"amount": ("amount_input", 0.0), "quantity": ("cust_total_txn_tx", 1),
+           "customer_age": ("customer_age_input", 0), "account_age": ("account_age_input", 0),
+           "hour": ("transaction_hour_input", 12)},
+    "user": {"amount": ("avg_order_input", 0.0), "quantity": ("total_tx_input", 1),
+             "customer_age": ("age_input", 0), "account_age": ("account_age_input", 0),
+             "hour": ("transaction_hour_input", 12)},
+}
 
 
 def input_for_feature(name: str, kind: str) -> tuple[str, float | int]:
-    """Keyword rule (fixed priority): amount, quantity/qty, customer+age,
-    account+age, hour, else the amount field."""
-    src = TX_INPUTS if kind == "tx" else USER_INPUTS
-    low = name.lower()
-    if "amount" in low:
-        return src["amount"]
-    if "quantity" in low or "qty" in low:
-        return src["quantity"]
-    if "customer" in low and "age" in low:
-        return src["customer_age"]
-    if "account" in low and "age" in low:
-        return src["account_age"]
-    if "hour" in low:
-        return src["hour"]
-    return src["amount"]
+    """(input field, default) of a feature name by ``KEYWORD_RULES``."""
+    words = name.lower()
+    rule = next(r for groups, r in KEYWORD_RULES if all(any(w in words for w in g) for g in groups))
+    return INPUTS["tx" if kind == "tx" else "user"][rule]
 
 
 def map_inputs_by_keyword(inputs: DataFrame, feature_names: list[str], kind: str = "tx",

@@ -49,9 +49,11 @@ def q_ensemble_score(spark, sf):
     return finalize(e.select("transaction_id", ml.blend("p_a", "p_b").alias("prob")), digits=8)
 
 
-SWEEP_SQL = SCORED_CTE + """,
-grid AS (SELECT CAST(i AS INTEGER) AS i, CAST(0.1 AS DOUBLE) + i * CAST(0.01 AS DOUBLE) AS threshold
-         FROM range(81) t(i)),
+def _sweep_sql(start: str, steps: int) -> str:
+    # doubles, spaced by the rounded difference of the first two grid values
+    first, step = f"CAST({start} AS DOUBLE)", f"(CAST({start} AS DOUBLE) + CAST(0.01 AS DOUBLE) - CAST({start} AS DOUBLE))"
+    return SCORED_CTE + f""",
+grid AS (SELECT CAST(i AS INTEGER) AS i, {first} + i * {step} AS threshold FROM range({steps}) t(i)),
 tot AS (SELECT count(*) FILTER (WHERE y = 1) AS P FROM sc),
 c AS (SELECT g.i, g.threshold, count(*) FILTER (WHERE sc.y = 1) AS tp, count(*) FILTER (WHERE sc.y <> 1) AS fp
       FROM grid g LEFT JOIN sc ON sc.p >= g.threshold GROUP BY 1, 2),
@@ -63,10 +65,20 @@ sw AS (SELECT c.i, c.threshold, c.tp, c.fp, tot.P - c.tp AS fn,
        FROM c CROSS JOIN tot)"""
 
 
-@register("threshold_sweep", SWEEP_SQL + """
+SWEEP_SQL = _sweep_sql("0.1", 81)
+SWEEP_ROWS = """
 SELECT i, round(threshold, 8) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
        CAST(fn AS BIGINT) AS fn, round(precision, 8) AS precision, round(recall, 8) AS recall,
-       round(f1, 8) AS f1 FROM sw""")
+       round(f1, 8) AS f1 FROM sw"""
+
+
+@register("threshold_sweep_05_50", _sweep_sql("0.05", 46) + SWEEP_ROWS)
+def q_threshold_sweep_05_50(spark, sf):
+    """The grid of the time-split benchmark model: .05 to .50."""
+    return finalize(mt.threshold_sweep(scored_events(spark, sf), "y", "p", 0.05, 0.50), digits=8)
+
+
+@register("threshold_sweep", SWEEP_SQL + SWEEP_ROWS)
 def q_threshold_sweep(spark, sf):
     return finalize(mt.threshold_sweep(scored_events(spark, sf), "y", "p"), digits=8)
 

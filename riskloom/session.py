@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,6 +91,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the reliable checkpoint directory, deleted when the
+    application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)  # deleteOnExit takes only what exists
+    fs.deleteOnExit(hadoop)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` as a parquet table under the reliable
     checkpoint directory and reading it back.
@@ -97,16 +109,14 @@ def materialize(df: DataFrame) -> DataFrame:
     Used for small side tables that are reused (computed once), for the base
     of multi-pass statistics and for iterative jobs.  Survives executor loss
     (shared storage, unlike a local checkpoint or a cache), and later passes
-    read only the columns they need.  Falls back to ``DataFrame.checkpoint``
-    for column names parquet cannot store.
+    read only the columns they need.  Column names that parquet cannot store
+    (none, or the same twice) go through ``DataFrame.checkpoint``; a failed write
+    is an error.
     """
-    import uuid
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/riskloom-table-{uuid.uuid4().hex}"
-    try:
-        df.write.mode("overwrite").parquet(path)
-    except Exception:  # noqa: BLE001 - e.g. characters parquet rejects in names
+    lower = [c.lower() for c in df.columns]
+    if not all(lower) or len(set(lower)) < len(lower):
         return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_folder(spark, "table") + "/data"
+    df.write.parquet(path)
     return spark.read.parquet(path)
-

@@ -64,7 +64,6 @@ def sink_parquet(df: DataFrame, path: str, mode: str = "overwrite",
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the session's reliable checkpoint directory (shared
-    storage on a cluster) for intermediate tables."""
-    from ..session import ensure_checkpoint_dir
-    import uuid
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-{name}-{uuid.uuid4().hex[:12]}"
+    storage on a cluster) for intermediate tables; it goes with the application."""
+    from ..session import scratch_folder
+    return scratch_folder(spark, name) + "/data"
