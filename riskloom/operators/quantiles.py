@@ -5,18 +5,17 @@ Spark's exact ``percentile`` keeps every value of a group in one buffer, so a
 global or hot-group quantile on a huge table ends in one task.  Instead:
 
 1. ``percentile_approx`` (bounded sketch, partial aggregation) brackets each
-   target rank per group: ``lo`` below it, ``hi`` above it;
-2. one aggregate counts values ``< lo`` and in ``[lo, hi]`` per group, and the
-   bracket is verified (a group whose check fails falls back to its full
-   range, which is still exact);
-3. only the candidates inside the bracket (about ``6 n / accuracy`` values
-   per group) are ranked, and the two neighbouring order statistics are
-   interpolated.  The ranking is a window when the largest candidate set
-   (measured from the materialised per-group bounds) is small, and a
-   distributed sort otherwise, so a hot group never lands in one task.
-
-Any number of (column, q) targets share the same three passes.  Only one
-number (the largest candidate count) reaches the driver.
+   target rank per group;
+2. one scan serves all targets: each value goes once per target, as itself
+   inside the bracket, as one "below" bucket under it, not at all above; rows
+   are counted per (group, target, value) with map-side combine, so ties and
+   everything below the bracket collapse before the shuffle;
+3. the counts are cumulated in value order over range partitions of the
+   distinct values (each appears once, so no group and no tie fills one task),
+   and the two order statistics beside each rank are interpolated.
+
+A bracket that misses its rank (checked on the counts) sends the call once more
+through steps 2 and 3 with open brackets, which is still exact.
 """
 
 from __future__ import annotations
@@ -25,100 +24,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .splits import with_positions
 
 DEFAULT_ACCURACY = 20000
-# Largest candidate set (rows of one group) ranked by a single window task;
-# above it the distributed sort is used.
-WINDOW_LIMIT = 2_000_000
+
+
+def _brackets(src: DataFrame, gkeys: list[str], specs: list, value, accuracy: int) -> DataFrame:
+    """One row per group: an array of (qi, lo, hi, r0, r1, fr), a struct per target with values."""
+    delta = 3.0 / accuracy
+    aggs = []
+    for i, (_c, q, _n) in enumerate(specs):
+        ends = F.array(F.lit(max(0.0, q - delta)), F.lit(min(1.0, q + delta)))
+        aggs += [F.count(value(i)).alias(f"__n{i}"), F.percentile_approx(value(i), ends, accuracy).alias(f"__b{i}")]
+    targets = []
+    for i, (_c, q, _n) in enumerate(specs):
+        pos = F.lit(q) * (F.col(f"__n{i}") - 1)
+        targets.append(F.struct(F.lit(i).alias("qi"), F.col(f"__b{i}")[0].alias("lo"), F.col(f"__b{i}")[1].alias("hi"),
+                                F.floor(pos).alias("r0"), F.ceil(pos).alias("r1"), (pos - F.floor(pos)).alias("fr")))
+    return src.groupBy(*gkeys).agg(*aggs).select(*gkeys, F.array(*targets).alias("__targets"))
+
+
+def _cumulated(src: DataFrame, bounds: DataFrame, gkeys: list[str], n_specs: int, value, open_: bool) -> DataFrame:
+    """(group, qi, r0, r1, fr, cls, v, c, before): counts per distinct value and those before it."""
+    # the written table tells its size: the planner broadcasts it if it is small
+    joined = src.join(F.broadcast(bounds) if gkeys == ["__g"] else bounds, gkeys)
+    rows = joined.select(*gkeys, F.explode(F.zip_with(
+        F.col("__targets"), F.array(*[value(i) for i in range(n_specs)]),
+        lambda t, x: F.struct(t["qi"].alias("qi"), t["r0"].alias("r0"), t["r1"].alias("r1"), t["fr"].alias("fr"),
+                              t["lo"].alias("lo"), t["hi"].alias("hi"), x.alias("x")))).alias("t")).select(*gkeys, "t.*")
+    below = F.lit(False) if open_ else F.col("x") < F.col("lo")
+    kept = F.col("x").isNotNull() if open_ else F.col("x") <= F.col("hi")
+    group = [*gkeys, "qi", "r0", "r1", "fr"]
+    counts = rows.where(kept).groupBy(*group, (~below).cast("int").alias("cls"),
+                                      F.when(~below, F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(counts.repartitionByRange(parts, *gkeys, "qi", "cls", "v")
+                         .withColumn("__pid", F.spark_partition_id()))
+    at = ["__pid", *gkeys, "qi"]
+    # at most one row per group and range partition
+    earlier = Window.partitionBy(*gkeys, "qi").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*at).agg(F.sum("c").alias("__c")).select(
+        *at, F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy(*at).orderBy("cls", "v").rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.withColumn("before", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(offsets, at)
+                  .withColumn("before", F.col("before") + F.col("__off")).drop("__off", "__pid"))
 
 
 def exact_quantile_specs(df: DataFrame, specs: list[tuple[str, float, str]], keys: list[str] | None = None,
-                         accuracy: int = DEFAULT_ACCURACY, window_limit: int = WINDOW_LIMIT) -> DataFrame:
+                         accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """``specs``: (column, q, output name).  One row per group of ``keys``
-    (one row overall without keys) with one column per spec."""
-    keys = list(keys or [])
-    gkeys = keys or ["__g"]
+    (one row overall without keys) with one column per spec; NaN and null
+    values take no part.  A group without values, or with a null key, gives no row;
+    without keys there is always one."""
+    gkeys = list(keys or ["__g"])
     cols = sorted({c for c, _, _ in specs})
-    cidx = {c: i for i, c in enumerate(cols)}
-    src = df.select(*keys, *[F.col(c).cast("double").alias(f"__x{cidx[c]}") for c in cols])
+    src = df.select(*(keys or []), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)])
     if not keys:
         src = src.withColumn("__g", F.lit(0))
 
-    def v(i):  # value column of spec i, null for NaN
-        x = F.col(f"__x{cidx[specs[i][0]]}")
+    def value(i):
+        x = F.col(f"__x{cols.index(specs[i][0])}")
         return F.when(~F.isnan(x), x)
 
-    delta = 3.0 / accuracy
-    aggs = []
-    for i, (_c, q, _n) in enumerate(specs):
-        aggs.append(F.count(v(i)).alias(f"__n{i}"))
-        aggs.append(F.percentile_approx(v(i), F.array(F.lit(max(0.0, q - delta)), F.lit(min(1.0, q + delta))),
-                                        accuracy).alias(f"__b{i}"))
-    stats = src.groupBy(*gkeys).agg(*aggs)
-    for i, (_c, q, _n) in enumerate(specs):
-        pos = F.lit(q) * (F.col(f"__n{i}") - 1)
-        stats = (stats.withColumn(f"__lo{i}", F.col(f"__b{i}")[0])
-                 .withColumn(f"__hi{i}", F.col(f"__b{i}")[1])
-                 .withColumn(f"__r0{i}", F.floor(pos))
-                 .withColumn(f"__r1{i}", F.ceil(pos))
-                 .withColumn(f"__fr{i}", pos - F.floor(pos))
-                 .drop(f"__b{i}"))
-
-    def bcast(t):
-        return F.broadcast(t) if not keys else t  # one row without keys
-
-    joined = src.join(bcast(stats), on=gkeys)
-    counts = joined.groupBy(*gkeys).agg(*[
-        a for i in range(len(specs)) for a in (
-            F.count_if(v(i) < F.col(f"__lo{i}")).alias(f"__below{i}"),
-            F.count_if((v(i) >= F.col(f"__lo{i}")) & (v(i) <= F.col(f"__hi{i}"))).alias(f"__in{i}"))])
-    bounds = stats.join(counts, on=gkeys)
-    for i in range(len(specs)):
-        ok = ((F.col(f"__below{i}") <= F.col(f"__r0{i}"))
-              & (F.col(f"__r1{i}") <= F.col(f"__below{i}") + F.col(f"__in{i}") - 1))
-        bounds = (bounds.withColumn(f"__lo{i}", F.when(ok, F.col(f"__lo{i}")).otherwise(F.lit(float("-inf"))))
-                  .withColumn(f"__hi{i}", F.when(ok, F.col(f"__hi{i}")).otherwise(F.lit(float("inf"))))
-                  .withColumn(f"__below{i}", F.when(ok, F.col(f"__below{i}")).otherwise(F.lit(0))))
-
-    # one row per group, written once: the candidate pass and the size check
-    # below read it instead of recomputing passes 1-2
-    in_eff = [F.when(F.col(f"__lo{i}") == float("-inf"), F.col(f"__n{i}")).otherwise(F.col(f"__in{i}"))
-              for i in range(len(specs))]
-    bounds = materialize(bounds)
-    largest = bounds.agg(F.max(F.greatest(*in_eff) if len(in_eff) > 1 else in_eff[0])).first()[0] or 0
-
-    cj = src.join(bcast(bounds), on=gkeys)
-    tagged = None
-    for i in range(len(specs)):
-        part = (cj.where((v(i) >= F.col(f"__lo{i}")) & (v(i) <= F.col(f"__hi{i}")))
-                  .select(*gkeys, v(i).alias("__v"), F.lit(i).alias("__qi"),
-                          F.col(f"__below{i}").alias("__below"), F.col(f"__r0{i}").alias("__r0"),
-                          F.col(f"__r1{i}").alias("__r1"), F.col(f"__fr{i}").alias("__fr")))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    if largest <= window_limit:
-        # every group's candidate set is small (measured): rank with a window
-        w = Window.partitionBy(*gkeys, "__qi").orderBy("__v")
-        ranked = tagged.withColumn("__rank", F.col("__below") + F.row_number().over(w) - 1)
-    else:
-        # rank by a distributed sort (range partitions + offsets): a hot
-        # group's candidates are spread over many tasks, not one window
-        pos = with_positions(tagged, [*gkeys, "__qi", "__v"], "__pos")
-        first = pos.groupBy(*gkeys, "__qi").agg(F.min("__pos").alias("__p0"))
-        ranked = (pos.join(first, on=[*gkeys, "__qi"])
-                     .withColumn("__rank", F.col("__below") + F.col("__pos") - F.col("__p0")))
-    picked = ranked.where((F.col("__rank") == F.col("__r0")) | (F.col("__rank") == F.col("__r1")))
-    per_q = picked.groupBy(*gkeys, "__qi").agg(
-        F.max(F.when(F.col("__rank") == F.col("__r0"), F.col("__v"))).alias("__v0"),
-        F.max(F.when(F.col("__rank") == F.col("__r1"), F.col("__v"))).alias("__v1"),
-        F.first("__fr").alias("__fr"))
-    per_q = per_q.withColumn("__q", F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__fr"))
-    out = per_q.groupBy(*gkeys).agg(*[
-        F.max(F.when(F.col("__qi") == i, F.col("__q"))).alias(specs[i][2]) for i in range(len(specs))])
+    bounds = materialize(_brackets(src, gkeys, specs, value, accuracy))
+    for open_ in (False, True):
+        ranked = _cumulated(src, bounds, gkeys, len(specs), value, open_)
+
+        def at(rank: str, what: str):
+            hit = (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("c")) & (F.col("cls") == 1)
+            return F.max(F.when(hit, F.col("v"))).alias(what)
+
+        per_q = materialize(ranked.groupBy(*gkeys, "qi", "fr").agg(at("r0", "v0"), at("r1", "v1")))
+        if open_ or per_q.where("v0 is null or v1 is null").isEmpty():
+            break
+    q = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("fr")
+    out = per_q.groupBy(*gkeys).agg(*[F.max(F.when(F.col("qi") == i, q)).alias(n) for i, (_c, _q, n) in enumerate(specs)])
     if not keys:
-        # a table without non-null values still yields its one row (nulls)
-        one = stats.select("__g")
-        out = one.join(out, on="__g", how="left").drop("__g")
+        # a table without values still yields its one row (nulls)
+        out = bounds.select("__g").join(out, "__g", "left").drop("__g")
     return out
 
 

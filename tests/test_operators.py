@@ -178,17 +178,31 @@ def test_velocity_hot_customer_outlier_and_nan_against_brute_force(spark):
                 assert n == len(inside)
                 assert total == sum(inside) or (math.isnan(total) and any(map(math.isnan, inside)))
 
-def test_exact_quantiles_distributed_path_matches_window_path(spark):
-    from riskloom.operators.quantiles import exact_quantile_specs
-    rnd = random.Random(9)
-    rows = [("hot", float(rnd.randrange(0, 50))) for _ in range(4000)] + [("b", rnd.random()) for _ in range(300)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    specs = [("v", 0.3, "a"), ("v", 0.5, "b"), ("v", 0.99, "c")]
-    win = sorted(tuple(r) for r in exact_quantile_specs(df, specs, ["k"], accuracy=50).collect())
-    dist = sorted(tuple(r) for r in exact_quantile_specs(df, specs, ["k"], accuracy=50, window_limit=0).collect())
-    assert win == dist
-    for k in ("hot", "b"):
-        vals = [v for kk, v in rows if kk == k]
-        got = next(r for r in win if r[0] == k)
-        for j, (_c, q, _n) in enumerate(specs):
-            assert abs(got[j + 1] - float(np.quantile(vals, q))) < 1e-9
+def test_exact_quantiles_of_three_tied_values(spark):
+    """Ties collapse before the shuffle, whatever their number, and one scan serves all targets."""
+    from riskloom.operators import quantiles
+    rows = [("a", float(i % 3)) for i in range(20_000)] + [("b", None), ("c", float("nan")), ("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(8)
+    written = []
+    keep = quantiles.materialize
+    quantiles.materialize = lambda d: written.append(keep(d)) or written[-1]
+    try:
+        got = {r.k: (r.lo, r.m, r.hi) for r in quantiles.exact_quantile_specs(
+            df, [("v", 0.25, "lo"), ("v", 0.5, "m"), ("v", 0.99, "hi")], keys=["k"]).collect()}
+    finally:
+        quantiles.materialize = keep
+    assert got["a"] == (0.0, 1.0, 2.0) and got["c"] == (7.0, 7.0, 7.0)
+    assert all(got.get(k, (None,) * 3) == (None,) * 3 for k in "bd")
+    counts = written[1]
+    assert counts.count() <= 2 * 3 * 3 + 3 and counts.agg({"c": "sum"}).first()[0] <= 3 * 20_001
+
+
+def test_exact_quantiles_with_missed_brackets(spark):
+    """A useless sketch must not change the result."""
+    rnd = random.Random(3)
+    values = [rnd.gauss(0, 1) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = exact_quantiles(df, "v", [0.01, 0.5, 0.95], accuracy=2, names=["a", "b", "c"]).first()
+    assert np.allclose([got.a, got.b, got.c], np.quantile(values, [0.01, 0.5, 0.95]), rtol=0, atol=1e-12)
+
+
