@@ -115,26 +115,32 @@ def target_encode_kfold(train: DataFrame, others: list[DataFrame], col: str, lab
             [apply_target_other(o, full, g, col) for o in others])
 
 
-def distinct_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
-    """Bounded list of distinct non-null levels, sorted (driver metadata)."""
-    lv = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(max_levels + 1)
-    vals = [r[0] for r in lv.collect()]
-    if len(vals) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; use frequency/target encoding")
-    return vals
-
-
-def one_hot(df: DataFrame, cols: list[str], prefixes: list[str], max_levels: int = 1000) -> DataFrame:
-    """Dummy int columns ``<prefix>_<level>`` for every level, originals
-    dropped.  Levels are a bounded distinct list."""
+def distinct_levels(df: DataFrame, col: str) -> list:
+    """Distinct non-null levels, sorted.  They become column names, so they are
+    driver metadata; ``one_hot_index`` is the form without a column per level."""
+    return [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
+
+
+def one_hot(df: DataFrame, cols: list[str], prefixes: list[str], levels: dict[str, list] | None = None) -> DataFrame:
+    """Dummy int columns ``<prefix>_<level>``, originals dropped.  ``levels`` are
+    those fitted on a training table (a level that is not among them is all 0);
+    without it they come from ``df``."""
     out = df
     for c, p in zip(cols, prefixes):
-        levels = distinct_levels(df, c, max_levels)
-        out = out.select("*", *[(F.col(c) == F.lit(v)).cast("int").alias(f"{p}_{v}") for v in levels])
-        out = out.fillna({f"{p}_{v}": 0 for v in levels}).drop(c)
+        names = {f"{p}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
+                 for v in ((levels or {}).get(c) or distinct_levels(df, c))}
+        out = out.select("*", *[e.alias(n) for n, e in names.items()]).drop(c)
     return out
 
 
+def one_hot_index(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The same as sparse indices: ``<col>_code`` is the place of the 1 (null: none).
+    Any number of levels; nothing reaches the driver."""
+    for c in cols:
+        df = label_encode(df, c)
+    return df
+
+
 def label_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """Integer code of the value in sorted order of distinct values.  Codes
     are distributed positions of the sorted distinct values (range

@@ -12,6 +12,7 @@ from ..operators import ml, scoring, splits
 from ..session import materialize
 from ..sources import files
 from ..sources import fixtures as fx
+from . import baselines
 from .common import TXN_E_CTE, TXN_O_CTE, finalize, register
 
 # ------------------------------------------------------------ scored fixture
@@ -222,26 +223,7 @@ def q_map_inputs_by_keyword(spark, sf):
 
 
 # ------------------------------------------------------------ model jobs (rows-only)
-# Round counts here are test-sized; the estimator defaults keep the
-# reference's 1200 / 900 / 800 rounds.
-
-TEST_ROUNDS = 15
-
-
-_ENCODED: dict = {}
-
-
-def _encoded(spark, sf):
-    """Encoded train/valid/test splits of the feature table, written once per
-    Spark application and scale directory and shared by the model queries."""
-    from .feature_job import build_features
-    from .training import encode_splits, feature_columns
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _ENCODED:
-        train, valid, test = encode_splits(build_features(spark, sf), "is_fraudulent", "transaction_id")
-        train, valid, test = materialize(train), materialize(valid), materialize(test)
-        _ENCODED[key] = (train, valid, test, feature_columns(train, "is_fraudulent"))
-    return _ENCODED[key]
+# All with the reference's rounds, trees, depths and iterations.
 
 
 def _predict(model, df, feats, keep=("transaction_id", "is_fraudulent")):
@@ -257,17 +239,23 @@ def q_assemble_features(spark, sf):
     return ml.assemble_features(f, cols).select("transaction_id", vector_to_array("features").alias("features"))
 
 
+def _bundle(spark, sf, **rounds):
+    from .training import trained_bundle
+    path = trained_bundle(spark, sf, **rounds)
+    models, meta = ml.load_bundle(spark, path, ["a", "b"])
+    return models, meta, spark.read.parquet(f"{path}/test")
+
+
 @register("fit_boosted_a")
-def q_fit_boosted_a(spark, sf):
-    train, _valid, test, feats = _encoded(spark, sf)
-    return _predict(ml.fit(train, feats, ml.gbt_a("is_fraudulent", TEST_ROUNDS, max_depth=5)), test, feats)
+def q_fit_boosted_a(spark, sf, **rounds):
+    models, meta, test = _bundle(spark, sf, **rounds)
+    return _predict(models["a"], test, meta["feature_names"])
 
 
 @register("fit_boosted_b")
-def q_fit_boosted_b(spark, sf):
-    train, _valid, test, feats = _encoded(spark, sf)
-    m = ml.fit(ml.with_weights(train, "is_fraudulent"), feats, ml.gbt_b("is_fraudulent", TEST_ROUNDS))
-    return _predict(m, test, feats)
+def q_fit_boosted_b(spark, sf, **rounds):
+    models, meta, test = _bundle(spark, sf, **rounds)
+    return _predict(models["b"], test, meta["feature_names"])
 
 
 TIME_FEATS = ["transaction_amount", "transaction_hour", "hour_sin", "hour_cos", "is_night", "is_weekend",
@@ -278,84 +266,92 @@ def _event_features(spark, sf):
     from ..functions import features as ff
     from ..operators.windows import velocity
     e = velocity(fx.transactions_events(spark, sf))
-    return e.withColumns({"hour_sin": ff.hour_sin("transaction_hour"), "hour_cos": ff.hour_cos("transaction_hour"),
-                          "is_night": ff.is_night("transaction_hour"),
-                          "is_weekend": ff.is_weekend(ff.weekday("transaction_ts"))})
+    return materialize(e.withColumns({
+        "hour_sin": ff.hour_sin("transaction_hour"), "hour_cos": ff.hour_cos("transaction_hour"),
+        "is_night": ff.is_night("transaction_hour"), "is_weekend": ff.is_weekend(ff.weekday("transaction_ts"))}))
 
 
 @register("fit_boosted_time")
-def q_fit_boosted_time(spark, sf):
+def q_fit_boosted_time(spark, sf, rounds=800):
     e = splits.time_split(_event_features(spark, sf), "transaction_ts", "transaction_id")
     train = ml.with_weights(e.where(F.col("split") == "train"), "is_fraudulent")
-    m = ml.fit(train, TIME_FEATS, ml.gbt_time("is_fraudulent", TEST_ROUNDS))
+    m = ml.fit(train, TIME_FEATS, ml.gbt_time("is_fraudulent", rounds))
     return _predict(m, e.where(F.col("split") == "test"), TIME_FEATS)
 
 
 @register("holdout_predict")
-def q_holdout_predict(spark, sf):
-    """Refit on all labelled rows, score an unlabelled table (label
-    dropped); ids kept."""
-    e = _event_features(spark, sf)
-    m = ml.fit(ml.with_weights(e, "is_fraudulent"), TIME_FEATS, ml.gbt_time("is_fraudulent", TEST_ROUNDS))
-    unlabelled = e.drop("is_fraudulent")
-    return _predict(m, unlabelled, TIME_FEATS, keep=("transaction_id",))
+def q_holdout_predict(spark, sf, rounds=800):
+    """Fit on the labelled part (train and valid by time), score the later rows as a table without labels whose columns
+    are aligned to the model's; ids kept."""
+    e = splits.time_split(_event_features(spark, sf), "transaction_ts", "transaction_id")
+    m = ml.fit(ml.with_weights(e.where(F.col("split") != "test"), "is_fraudulent"), TIME_FEATS,
+               ml.gbt_time("is_fraudulent", rounds))
+    holdout = e.where(F.col("split") == "test").drop("is_fraudulent", "split")
+    return _predict(m, holdout, TIME_FEATS, keep=("transaction_id",))
+
+
+def _baseline(spark, sf, frame, estimator, weights=None):
+    """Fit on the train rows of a baseline's own frame, score its test rows."""
+    rows, feats = frame(fx.transactions_orders(spark, sf))
+    rows = materialize(rows)
+    train = rows.where(F.col("split") == "train")
+    if weights:
+        train = ml.with_weights(train, "is_fraudulent", mode=weights)
+    return _predict(ml.fit(train, feats, estimator(train)), rows.where(F.col("split") == "test"), feats)
 
 
 @register("fit_gbt_simple")
-def q_fit_gbt_simple(spark, sf):
-    train, _valid, test, feats = _encoded(spark, sf)
-    return _predict(ml.fit(train, feats, ml.gbt_simple("is_fraudulent", TEST_ROUNDS)), test, feats)
+def q_fit_gbt_simple(spark, sf, rounds=200):
+    return _baseline(spark, sf, baselines.simple, lambda _t: ml.gbt_simple("is_fraudulent", rounds))
 
 
 @register("fit_gbt_engineered")
-def q_fit_gbt_engineered(spark, sf):
-    train, _valid, test, feats = _encoded(spark, sf)
-    m = ml.fit(ml.with_weights(train, "is_fraudulent"), feats, ml.gbt_engineered("is_fraudulent", TEST_ROUNDS))
-    return _predict(m, test, feats)
+def q_fit_gbt_engineered(spark, sf, rounds=400):
+    return _baseline(spark, sf, baselines.engineered, lambda _t: ml.gbt_engineered("is_fraudulent", rounds), "scale_pos")
 
 
 @register("fit_random_forest")
-def q_fit_random_forest(spark, sf):
-    train, _valid, test, feats = _encoded(spark, sf)
-    m = ml.fit(ml.with_weights(train, "is_fraudulent", mode="balanced"), feats,
-               ml.random_forest("is_fraudulent", trees=30, max_depth=10))
-    return _predict(m, test, feats)
+def q_fit_random_forest(spark, sf, trees=300):
+    return _baseline(spark, sf, baselines.simple, lambda _t: ml.random_forest("is_fraudulent", trees), "balanced")
 
 
 @register("fit_logistic")
 def q_fit_logistic(spark, sf):
-    train, _valid, test, feats = _encoded(spark, sf)
-    n = train.count()  # one number: scales the L2 penalty like C = 1
-    return _predict(ml.fit(train, feats, ml.logistic("is_fraudulent", max_iter=100, n_rows=n)), test, feats)
+    # the row count (one number) scales the L2 penalty like C = 1
+    return _baseline(spark, sf, baselines.simple, lambda t: ml.logistic("is_fraudulent", n_rows=t.count()))
 
 
 @register("batch_score")
-def q_batch_score(spark, sf):
-    """Requests -> inferred features -> model -> probability % and decision."""
-    train, _valid, _test, feats = _encoded(spark, sf)
-    m = ml.fit(train, feats, ml.gbt_a("is_fraudulent", TEST_ROUNDS, max_depth=5))
-    req = scoring.infer_features_from_request(_requests(spark, sf), feats, keep=["transaction_id"])
-    return scoring.batch_score(m, req, feats, 0.5, keep=["transaction_id"])
+def q_batch_score(spark, sf, **rounds):
+    """Requests -> inferred features, with the customer's history joined in -> blend of both stored models ->
+    probability % and the decision at the stored threshold."""
+    models, meta, _test = _bundle(spark, sf, **rounds)
+    t = fx.transactions_orders(spark, sf)
+    history = t.where("customer_id is not null").groupBy("customer_id").agg(
+        F.count("transaction_amount").cast("double").alias("cust_total_txn"))
+    req = _requests(spark, sf).join(t.select("transaction_id", "customer_id"), "transaction_id").join(
+        history, "customer_id", "left")
+    x = scoring.infer_features_from_request(req, meta["feature_names"], keep=["transaction_id"])
+    p = scoring.blend_score(models, x, meta["feature_names"], meta["weights"], ["transaction_id"])
+    return p.select("transaction_id", F.round(F.col("prob") * 100, 2).alias("fraud_probability"),
+                    (F.col("prob") >= meta["threshold"]).cast("int").alias("prediction"))
 
 
 @register("feature_names_metadata")
-def q_feature_names_metadata(spark, sf):
-    from .training import train_ensemble
-    from .feature_job import build_features
-    bundle, _vp, _tp = train_ensemble(build_features(spark, sf), rounds_a=TEST_ROUNDS, rounds_b=TEST_ROUNDS,
-                                      depth_a=5)
-    return ml.metadata_frame(spark, bundle.feature_names, bundle.threshold, (0.6, 0.4),
-                             {"valid": bundle.valid_metrics, "test": bundle.test_metrics})
+def q_feature_names_metadata(spark, sf, **rounds):
+    _models, meta, _test = _bundle(spark, sf, **rounds)
+    return ml.metadata_frame(spark, meta["feature_names"], meta["threshold"], tuple(meta["weights"].values()),
+                             {"valid": meta["valid"], "test": meta["test"]})
 
 
 @register("model_save_load")
-def q_model_save_load(spark, sf):
-    train, _valid, test, feats = _encoded(spark, sf)
-    m = ml.fit(train, feats, ml.gbt_simple("is_fraudulent", TEST_ROUNDS))
+def q_model_save_load(spark, sf, **rounds):
+    """Both models, threshold, weights and names saved and loaded again; the reloaded blend scores the test rows."""
+    models, meta, test = _bundle(spark, sf, **rounds)
     path = files.scratch_path(spark, "model")
-    ml.save_bundle(spark, path, {"a": m}, {"feature_names": feats, "threshold": 0.5})
-    models, meta = ml.load_bundle(spark, path, ["a"])
-    return _predict(models["a"], test, meta["feature_names"])
+    ml.save_bundle(spark, path, models, meta)
+    again, stored = ml.load_bundle(spark, path, ["a", "b"])
+    return scoring.blend_score(again, test, stored["feature_names"], stored["weights"], ["transaction_id", "is_fraudulent"])
 
 
 def _feature_job_sql() -> str:

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from riskloom.operators import ml, scoring
+from riskloom.plans import baselines, q_ml
 from riskloom.sources import fixtures as fx
 
 from conftest import SF_SMALL
@@ -15,10 +15,40 @@ def _probs_ok(df, col="prob"):
 
 
 def test_gbt_time_model_and_holdout(spark):
-    a = entry.queries()["fit_boosted_time"](spark, SF_SMALL)
+    a = q_ml.q_fit_boosted_time(spark, SF_SMALL, rounds=5)
     assert _probs_ok(a)
-    h = entry.queries()["holdout_predict"](spark, SF_SMALL)
-    assert h.count() == fx.table(spark, SF_SMALL, "events").count()
+    h = q_ml.q_holdout_predict(spark, SF_SMALL, rounds=5)
+    # the scored rows are the last 15 % by time, none of them fitted on
+    ids = {r[0] for r in a.select("transaction_id").collect()}
+    assert {r[0] for r in h.select("transaction_id").collect()} == ids
+    n = fx.table(spark, SF_SMALL, "events").count()
+    assert h.count() == n - int(n * 0.85)
+
+
+def test_baselines_on_their_own_features(spark):
+    t = fx.transactions_orders(spark, SF_SMALL)
+    n = t.count()
+    for frame, query, rounds in ((baselines.simple, q_ml.q_fit_gbt_simple, {"rounds": 3}),
+                                 (baselines.engineered, q_ml.q_fit_gbt_engineered, {"rounds": 3}),
+                                 (baselines.simple, q_ml.q_fit_random_forest, {"trees": 3}),
+                                 (baselines.simple, q_ml.q_fit_logistic, {})):
+        out = query(spark, SF_SMALL, **rounds)
+        assert _probs_ok(out) and abs(out.count() - 0.3 * n) <= 2
+    rows, names = baselines.engineered(t)
+    assert rows.count() == n and {"tx_count_7d", "PM_1-URGENT", "address_match"} <= set(names)
+
+
+def test_estimators_have_the_stated_settings():
+    def of(est):
+        return (est.getMaxIter(), est.getStepSize(), est.getMaxDepth(), est.getMinInstancesPerNode(),
+                est.getSubsamplingRate(), est.getFeatureSubsetStrategy())
+    assert of(ml.gbt_a("y")) == (1200, 0.05, 7, 40, 0.9, "0.8")
+    assert of(ml.gbt_b("y")) == (900, 0.05, 7, 4, 0.9, "0.8")
+    assert of(ml.gbt_time("y")) == (800, 0.05, 7, 40, 0.8, "0.8")
+    assert of(ml.gbt_simple("y")) == (200, 0.1, 4, 1, 0.9, "0.9")
+    assert of(ml.gbt_engineered("y")) == (400, 0.05, 6, 1, 0.9, "0.9")
+    assert (ml.random_forest("y").getNumTrees(), ml.random_forest("y").getMaxDepth()) == (300, 30)
+    assert ml.logistic("y").getMaxIter() == 1000
 
 
 def test_fit_is_repeatable(spark):
@@ -50,9 +80,23 @@ def test_pad_trim(spark):
     assert out == [[1.0, 2.0, 0.0], [1.0, 2.0, 3.0], [0.0, 0.0, 0.0]]
 
 
-def test_save_load_roundtrip(spark):
-    out = entry.queries()["model_save_load"](spark, SF_SMALL)
+def test_bundle_scores_alike_after_reload(spark):
+    small = {"rounds_a": 3, "rounds_b": 2, "depth_a": 3}
+    out = q_ml.q_model_save_load(spark, SF_SMALL, **small)
     assert _probs_ok(out)
+    a = {r.transaction_id: r.prob for r in q_ml.q_fit_boosted_a(spark, SF_SMALL, **small).collect()}
+    b = {r.transaction_id: r.prob for r in q_ml.q_fit_boosted_b(spark, SF_SMALL, **small).collect()}
+    assert all(abs(r.prob - 0.6 * a[r.transaction_id] - 0.4 * b[r.transaction_id]) < 1e-12 for r in out.collect())
+    assert len(a) == len(b) == out.count()
+    meta = q_ml.q_feature_names_metadata(spark, SF_SMALL, **small).first()
+    assert list(meta.weights) == [0.6, 0.4] and 0.1 <= meta.threshold <= 0.91 and "cust_total_txn" in meta.feature_names
+    scored = q_ml.q_batch_score(spark, SF_SMALL, **small)
+    r = scored.agg(F.min("fraud_probability"), F.max("fraud_probability"), F.count(F.lit(1)),
+                   F.countDistinct("transaction_id")).first()
+    assert 0 <= r[0] <= r[1] <= 100 and r[2] == r[3] == fx.table(spark, SF_SMALL, "orders").count()
+    cut = round(100 * meta.threshold, 2)
+    assert scored.where(f"fraud_probability > {cut} + 0.01 and prediction = 0").isEmpty()
+    assert scored.where(f"fraud_probability < {cut} - 0.01 and prediction = 1").isEmpty()
 
 
 def test_streaming_model_score_equals_batch(spark):
