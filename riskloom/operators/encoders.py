@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import checked_broadcast
 
 
@@ -115,6 +116,48 @@ def target_encode_kfold(train: DataFrame, others: list[DataFrame], col: str, lab
             [apply_target_other(o, full, g, col) for o in others])
 
 
+def encode_by_split(df: DataFrame, cols: list[str], label: str | None = None, id_col: str | None = None,
+                    split: str = "split", n_splits: int = 5, smoothing: float = 100.0) -> DataFrame:
+    """Frequency and, given a label, K-fold target encoding of ``cols`` on one
+    table with a ``split`` column, fitted on its ``train`` rows.
+
+    Each column has one fitted table with a row per category: its count, its
+    out-of-fold means by fold (at most ``n_splits``) and their weighted mean.
+    It is written, so the planner broadcasts it when its files are small, and
+    joined once; the row's split chooses the value.  Same values as
+    ``frequency_encode`` and ``target_encode_kfold``."""
+    train = df.where(F.col(split) == "train")
+    is_train = F.col(split) == "train"
+    out = df
+    if label:
+        g = materialize(train.agg(F.avg(F.col(label).cast("double")).alias("__g")))
+        fold = hash_bucket(id_col, n_splits)
+        out = out.crossJoin(F.broadcast(g)).withColumn("__fold", fold)  # one row
+    for c in cols:
+        rows = train.where(F.col(c).isNotNull())
+        if label:
+            y = F.col(label).cast("double")
+            per = rows.groupBy(F.col(c).alias("__c"), fold.alias("__f")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
+            every = per.groupBy("__c").agg(F.collect_list(F.struct("__f", "s", "n")).alias("__p"))  # a row per fold
+            sums = every.crossJoin(F.broadcast(g)).withColumn("__n", F.aggregate(
+                "__p", F.lit(0).cast("long"), lambda a, p: a + p["n"])).withColumn("__s", F.aggregate(
+                    "__p", F.lit(0.0), lambda a, p: a + p["s"]))
+            te = F.transform("__p", lambda p: F.struct(p["__f"].alias("f"), (
+                (F.col("__s") - p["s"] + float(smoothing) * F.col("__g")) / (F.col("__n") - p["n"] + float(smoothing))
+            ).alias("te"), p["n"].alias("n")))
+            table = sums.select("__c", F.col("__n").cast("double").alias("__freq"), te.alias("__te")).withColumn(
+                "__full", F.aggregate("__te", F.lit(0.0), lambda a, p: a + p["te"] * p["n"]) / F.col("__freq"))
+        else:
+            table = rows.groupBy(F.col(c).alias("__c")).agg(F.count(F.lit(1)).cast("double").alias("__freq"))
+        out = out.join(materialize(table), F.col(c) == F.col("__c"), "left")
+        out = out.withColumn(f"{c}_freq", F.when(is_train, F.col("__freq")).otherwise(F.coalesce("__freq", F.lit(0.0))))
+        if label:
+            own = F.get(F.transform(F.filter("__te", lambda p: p["f"] == F.col("__fold")), lambda p: p["te"]), 0)
+            out = out.withColumn(f"{c}_te", F.coalesce(F.when(is_train, own).otherwise(F.col("__full")), F.col("__g")))
+        out = out.drop("__c", "__freq", "__te", "__full")
+    return out.drop("__g", "__fold")
+
+
 def distinct_levels(df: DataFrame, col: str) -> list:
     """Distinct non-null levels, sorted.  They become column names, so they are
     driver metadata; ``one_hot_index`` is the form without a column per level."""

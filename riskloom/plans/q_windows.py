@@ -142,11 +142,6 @@ def split_txn(spark, sf):
     return sp.hash_split(fx.transactions_orders(spark, sf), "transaction_id")
 
 
-def _by_split(df):
-    return (df.where(F.col("split") == "train"),
-            [df.where(F.col("split") == "valid"), df.where(F.col("split") == "test")])
-
-
 @register("frequency_encode", f"""
 WITH {TXN_O_CTE}, s AS (SELECT *, {SPLIT_SQL} AS split FROM txn_o),
 f AS (SELECT customer_id, count(*) AS n FROM s WHERE split = 'train' AND customer_id IS NOT NULL GROUP BY 1)
@@ -154,11 +149,7 @@ SELECT s.transaction_id, s.split,
        CASE WHEN s.split = 'train' THEN CAST(f.n AS DOUBLE) ELSE CAST(coalesce(f.n, 0) AS DOUBLE) END AS customer_id_freq
 FROM s LEFT JOIN f ON s.customer_id = f.customer_id""")
 def q_frequency_encode(spark, sf):
-    tr, others = _by_split(split_txn(spark, sf))
-    tr2, outs = enc.frequency_encode(tr, others, "customer_id")
-    res = tr2
-    for o in outs:
-        res = res.unionByName(o)
+    res = enc.encode_by_split(split_txn(spark, sf), ["customer_id"])
     return finalize(res.select("transaction_id", "split", "customer_id_freq"))
 
 
@@ -180,11 +171,8 @@ def q_frequency_encode_missing(spark, sf):
     lab = fx.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality_cat"))
     j = d.join(lab, "doc_id", "left")
     j = sp.hash_split(j, "doc_id")
-    tr, others = _by_split(j)
-    tr2, outs = enc.frequency_encode_missing(tr, others, ["quality_cat", "lang"])
-    res = tr2
-    for o in outs:
-        res = res.unionByName(o)
+    cats = ["quality_cat", "lang"]
+    res = enc.encode_by_split(j.fillna(dict.fromkeys(cats, "missing")), cats).fillna(0.0, [f"{c}_freq" for c in cats])
     return finalize(res.select("doc_id", "split", "quality_cat_freq", "lang_freq"))
 
 
@@ -206,11 +194,8 @@ FROM s CROSS JOIN g
 LEFT JOIN oof o ON s.split = 'train' AND s.customer_location = o.customer_location AND s.fold = o.fold
 LEFT JOIN full_ fu ON s.customer_location = fu.customer_location""")
 def q_target_encode_kfold(spark, sf):
-    tr, others = _by_split(split_txn(spark, sf))
-    tr2, outs = enc.target_encode_kfold(tr, others, "customer_location", "is_fraudulent", "transaction_id")
-    res = tr2
-    for o in outs:
-        res = res.unionByName(o)
+    rows = split_txn(spark, sf).select("transaction_id", "split", "customer_location", "is_fraudulent")
+    res = enc.encode_by_split(rows, ["customer_location"], "is_fraudulent", "transaction_id")
     return finalize(res.select("transaction_id", "split", "customer_location_te"))
 
 
