@@ -10,7 +10,7 @@ statistics, so the planner's own ``autoBroadcastJoinThreshold`` check applies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import normalize_key, strip_ws
@@ -129,12 +129,16 @@ def ip_range_join(df: DataFrame, ip_col: str, ranges: DataFrame, lo: str = "ip_l
     Each range is exploded into the ``2^(32-prefix_bits)``-sized blocks it
     overlaps, facts join on (block) and the residual predicate keeps exact
     matches.  Ranges must not overlap (one match per IP), as in IP-to-country
-    databases.  The fact side is never replicated; the exploded dimension
+    databases; ranges that do are an error, not repeated facts.  The fact side is never replicated; the exploded dimension
     is broadcast only when its checked size allows it.
     """
     shift = 32 - prefix_bits
     r = ranges.withColumn("__blk", F.explode(F.sequence(F.shiftright(F.col(lo), shift),
                                                         F.shiftright(F.col(hi), shift))))
+    before = Window.partitionBy("__blk").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("__end", F.max(hi).over(before)).withColumn(
+        "__blk", F.when(F.col("__end") >= F.col(lo), F.raise_error(F.lit("overlapping ranges")).cast("bigint"))
+        .otherwise(F.col("__blk"))).drop("__end")
     r = checked_broadcast(r)
     facts = df.withColumn("__blk", F.shiftright(F.col(ip_col), shift))
     cond = ((facts["__blk"] == r["__blk"]) & (facts[ip_col] >= r[lo]) & (facts[ip_col] <= r[hi]))
