@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import checked_broadcast
 
 
 def hash_bucket(key: Column | str, n: int, salt: str = "") -> Column:
@@ -34,13 +33,10 @@ def apply_frequency(df: DataFrame, table: DataFrame, col: str, is_train: bool) -
     return out if is_train else out.fillna({f"{col}_freq": 0.0})
 
 
-def frequency_encode(train: DataFrame, others: list[DataFrame], col: str,
-                     broadcast_rows: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+def frequency_encode(train: DataFrame, others: list[DataFrame], col: str) -> tuple[DataFrame, list[DataFrame]]:
     """``col_freq`` = count of the value in *train*.  Train keeps null for a
     null value; other splits map unseen / null values to 0."""
     freq = frequency_table(train, col, f"{col}_freq")
-    if broadcast_rows:
-        freq = checked_broadcast(freq, broadcast_rows)
     return apply_frequency(train, freq, col, True), [apply_frequency(o, freq, col, False) for o in others]
 
 
@@ -191,5 +187,6 @@ def label_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     from .splits import with_positions
     name = name or f"{col}_code"
     levels = df.where(F.col(col).isNotNull()).select(col).distinct()
-    codes = with_positions(levels, [col], "__pos").select(col, F.col("__pos").cast("int").alias(name))
+    # written: the planner broadcasts it when it is small
+    codes = materialize(with_positions(levels, [col], "__pos").select(col, F.col("__pos").cast("int").alias(name)))
     return df.join(codes, on=col, how="left")

@@ -1,11 +1,11 @@
 """Enrichment joins and lookups.
 
-Broadcast policy: a side is broadcast only after its row count has been
-checked against a bound (``checked_broadcast``); otherwise the join is left
-to the planner (sort-merge with AQE, which can still switch to a broadcast
-once it has measured the shuffle output, and splits skewed partitions).
-Raw dimension scans (nation, ranges read from parquet) carry file-size
-statistics, so the planner's own ``autoBroadcastJoinThreshold`` check applies.
+Broadcast policy: derived side tables are written once (``written_side``);
+their files tell the planner their size, and it broadcasts those within
+``autoBroadcastJoinThreshold``.  Others are joined by shuffle, where AQE can
+still switch to a broadcast once it has measured the shuffle output, and splits
+skewed partitions.  Raw dimension scans (nation, ranges read from parquet) carry
+file sizes too.
 """
 
 from __future__ import annotations
@@ -16,29 +16,19 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import normalize_key, strip_ws
 from ..session import materialize
 
-DEFAULT_BROADCAST_ROWS = 200_000
 
-
-def checked_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Materialise a small derived table once and broadcast it only if it
-    has at most ``max_rows`` rows; larger tables are returned unhinted so
-    the join falls back to a shuffle join."""
-    side = materialize(side)
-    # reads the written table (row counts from parquet footers); DataFrame
-    # .observe is avoided: it leaves a non-serializable manager on the session
-    # that breaks later MLlib models holding a training summary
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
+def written_side(side: DataFrame) -> DataFrame:
+    """Compute a derived side table once, as a table whose size the planner knows."""
+    return materialize(side)
 
 
 def enrich_left(df: DataFrame, side: DataFrame, left_on: list[str], right_on: list[str] | None = None,
-                keep_right_keys: bool = False, broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                keep_right_keys: bool = False) -> DataFrame:
     """LEFT JOIN keeping every left row.  Same-named keys are merged; with
     different names the right key is kept only when asked (reference keeps
     it)."""
     right_on = right_on or left_on
-    if broadcast_rows:
-        side = checked_broadcast(side, broadcast_rows)
+    side = written_side(side)
     if left_on == right_on:
         return df.join(side, on=left_on, how="left")
     cond = None
@@ -55,7 +45,7 @@ def enrich_left(df: DataFrame, side: DataFrame, left_on: list[str], right_on: li
 def map_lookup(df: DataFrame, col: str, mapping: DataFrame, key: str, value: str,
                out: str, default=None) -> DataFrame:
     """Map ``col`` through a keyed table; misses get ``default``."""
-    m = mapping.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
+    m = written_side(mapping.select(F.col(key).alias("__k"), F.col(value).alias("__v")))
     j = df.join(m, df[col] == m["__k"], "left").drop("__k")
     v = F.col("__v") if default is None else F.coalesce(F.col("__v"), F.lit(default))
     return j.withColumn(out, v).drop("__v")
@@ -130,7 +120,7 @@ def ip_range_join(df: DataFrame, ip_col: str, ranges: DataFrame, lo: str = "ip_l
     overlaps, facts join on (block) and the residual predicate keeps exact
     matches.  Ranges must not overlap (one match per IP), as in IP-to-country
     databases; ranges that do are an error, not repeated facts.  The fact side is never replicated; the exploded dimension
-    is broadcast only when its checked size allows it.
+    is broadcast when its written size allows it.
     """
     shift = 32 - prefix_bits
     r = ranges.withColumn("__blk", F.explode(F.sequence(F.shiftright(F.col(lo), shift),
@@ -139,7 +129,7 @@ def ip_range_join(df: DataFrame, ip_col: str, ranges: DataFrame, lo: str = "ip_l
     r = r.withColumn("__end", F.max(hi).over(before)).withColumn(
         "__blk", F.when(F.col("__end") >= F.col(lo), F.raise_error(F.lit("overlapping ranges")).cast("bigint"))
         .otherwise(F.col("__blk"))).drop("__end")
-    r = checked_broadcast(r)
+    r = written_side(r)
     facts = df.withColumn("__blk", F.shiftright(F.col(ip_col), shift))
     cond = ((facts["__blk"] == r["__blk"]) & (facts[ip_col] >= r[lo]) & (facts[ip_col] <= r[hi]))
     return facts.join(r, cond, how).drop(facts["__blk"]).drop(r["__blk"])

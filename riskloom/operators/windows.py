@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import to_numeric
-from .joins import checked_broadcast
+from .joins import written_side
 
 DAY_US = 86_400_000_000
 
@@ -29,7 +29,7 @@ def _attach(df: DataFrame, keys: list[str], aggs: list, small: bool = False,
     src = df if stats_from is None else stats_from
     stats = src.where(cond).groupBy(*keys).agg(*aggs)
     if small:
-        stats = checked_broadcast(stats)
+        stats = written_side(stats)
     return df.join(stats, on=keys, how="left")
 
 
@@ -63,7 +63,7 @@ def entity_count(df: DataFrame, keys: list[str], name: str, amount: str = "trans
                  small: bool = False, stats_from: DataFrame | None = None) -> DataFrame:
     """Count of non-null amounts per entity key(s) + its log1p; null key -> 0.
     ``small=True`` for low-cardinality keys (device): the aggregate is
-    broadcast after a size check and the fact table is not shuffled."""
+    written, so the planner broadcasts it when it is small and the fact table is not shuffled."""
     out = _attach(df, keys, [F.count(amount).alias("__n")], small=small, stats_from=stats_from)
     n = F.coalesce(F.col("__n"), F.lit(0)).cast("double")
     return out.withColumn(name, n).withColumn(f"{name}_log", F.log1p(n)).drop("__n")

@@ -1,9 +1,10 @@
 """Offline feature job: transactions + counterfeit side rates -> model-ready
-feature table (one lazy plan).
+feature table.  Side rates, the row-wise base and its statistics are written as
+they are built; the returned table is a lazy chain of joins over them.
 
 Shuffles at scale: the three side-rate tables are pre-aggregated (their
-inputs are collapsed before their own joins) and broadcast after a size
-check, so the fact table is not shuffled for them; per-entity counts are
+inputs are collapsed before their own joins) and written, so the planner
+broadcasts them by their size and the fact table is not shuffled for them; per-entity counts are
 grouped (map-side combine) and joined back (AQE splits hot keys); the 95 %
 quantile and the medians use the distributed exact quantile.
 """

@@ -31,7 +31,7 @@ def test_null_key_joins_as_nan(spark):
     side = spark.createDataFrame([(None, 0.5), ("card", 0.2)], "pm string, r double")
     l2 = left.withColumn("k", fc.normalize_key("pm"))
     s2 = side.select(fc.normalize_key("pm").alias("k"), "r")
-    out = {r.id: r.r for r in joins.enrich_left(l2, s2, ["k"], broadcast_rows=None).collect()}
+    out = {r.id: r.r for r in joins.enrich_left(l2, s2, ["k"]).collect()}
     assert out == {1: 0.5, 2: 0.2}
 
 

@@ -116,11 +116,11 @@ def test_streaming_model_score_equals_batch(spark):
     assert a == b and len(a) == t.count()
 
 
-def test_models_with_summary_score_after_checked_broadcast(spark):
+def test_models_with_summary_score_after_written_side(spark):
     # regression: session-level state left by helper jobs must not make
     # models that keep a training summary (LR, RF) unserializable
-    from riskloom.operators.joins import checked_broadcast
-    checked_broadcast(spark.range(5)).count()
+    from riskloom.operators.joins import written_side
+    written_side(spark.range(5)).count()
     t = fx.transactions_events(spark, SF_SMALL).withColumn("h", F.col("transaction_hour").cast("double"))
     feats = ["transaction_amount", "h"]
     for est in (ml.logistic("is_fraudulent", 20), ml.random_forest("is_fraudulent", trees=3, weight_col=None,

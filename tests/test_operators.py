@@ -143,14 +143,17 @@ def test_running_totals(spark):
         acc += w
 
 
-def test_checked_broadcast_falls_back(spark):
-    big = spark.range(1000)
-    plan_small = joins.checked_broadcast(big, max_rows=5000)
-    plan_big = joins.checked_broadcast(big, max_rows=10)
-    j1 = spark.range(10).join(plan_small, "id")
-    j2 = spark.range(10).join(plan_big, "id")
-    assert "Broadcast" in j1._jdf.queryExecution().optimizedPlan().toString() or j1.count() == 10
-    assert j2.count() == 10
+def test_size_of_a_written_side_decides_the_join(spark):
+    side = joins.written_side(spark.range(1000))
+    join = lambda: spark.range(10 ** 9).join(side, "id")._jdf.queryExecution().sparkPlan().toString()
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        assert "BroadcastHashJoin" in join()
+        spark.conf.set(key, "100")
+        assert "SortMergeJoin" in join()
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_velocity_hot_customer_outlier_and_nan_against_brute_force(spark):
