@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import chat
 from riskloom.llm.queries import QUERIES
+from llm_fixtures import small_dir  # noqa: F401
 
 SCHEMA = "conv_id long, turn long, role string, content " + chat.PART + ", formatted string, turns int"
 

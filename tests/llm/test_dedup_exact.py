@@ -6,6 +6,7 @@ import pytest
 
 from riskloom.llm import dedup_exact
 from riskloom.llm.queries import QUERIES
+from llm_fixtures import make_docs, small_dir, small_docs  # noqa: F401
 
 
 def brute(rows):

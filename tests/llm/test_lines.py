@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from riskloom.llm import lines
 from riskloom.llm.queries import QUERIES
+from llm_fixtures import make_docs, small_dir, small_docs  # noqa: F401
 
 
 def shingles(line):

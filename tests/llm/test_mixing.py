@@ -5,6 +5,7 @@ import pytest
 
 from riskloom.llm import mixing
 from riskloom.llm.queries import QUERIES
+from llm_fixtures import make_docs, small_dir, small_docs  # noqa: F401
 
 
 def size(t):

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from riskloom.llm import packing
 from riskloom.llm.queries import QUERIES
 from riskloom.llm.tokens import vocabulary
+from llm_fixtures import make_docs, small_dir, small_docs  # noqa: F401
 
 
 def library():

@@ -6,6 +6,7 @@ from riskloom.llm import quality
 import test_mixing
 import test_packing
 import test_simhash
+from llm_fixtures import make_docs, small_dir  # noqa: F401
 
 
 def test_every_stage_against_brute_force(spark, small_dir, tmp_path):

@@ -2,6 +2,7 @@ import numpy as np
 
 from riskloom.llm import quality
 from riskloom.llm.queries import QUERIES
+from llm_fixtures import make_docs  # noqa: F401
 
 
 def test_held_out_accuracy(spark):

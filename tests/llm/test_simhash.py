@@ -8,6 +8,7 @@ import xxhash
 from riskloom.llm import simhash
 from riskloom.llm.components import components
 from riskloom.llm.queries import QUERIES
+from llm_fixtures import make_docs, small_dir, small_docs  # noqa: F401
 
 
 def brute_fingerprint(text):
