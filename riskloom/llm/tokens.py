@@ -21,7 +21,7 @@ from functools import lru_cache
 from pathlib import Path
 
 #: Words that each of a worker's tables holds at most.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: Letters that are letters, precomposed and of simple case in every Unicode version.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-þ]+").fullmatch
 
@@ -76,7 +76,6 @@ class TextEncoder:
         # a normaliser in lower case comes with a splitter that drops white space
         self.lower = '"Lowercase"' in json.dumps(spec.get("normalizer"))
         self.letters = _byte_letters()
-        self.pieces = _Memory(self._piece)
         self.first = _Memory(lambda word: self._word("", word))  # words at the start of a line
         self.later = self.first if self.lower else _Memory(lambda word: self._word(" ", word))
         self.feed = self.whole("\n")
@@ -88,11 +87,15 @@ class TextEncoder:
 
     def _word(self, space: str, word: str) -> bytes:
         core = word.rstrip(".,;:!?")
-        if core and _PLAIN(core):
-            marks = word[len(core):]
-            core = core.lower() if self.lower else space + core
-            return self.pieces[core] + self.pieces[marks] if marks else self.pieces[core]
-        return self.whole(space + word)
+        if not core or not _PLAIN(core):
+            return self.whole(space + word)
+        marks = word[len(core):]
+        if self.lower:
+            core = core.lower()
+        if marks or core != word:  # the bare word has a place of its own
+            bare = (self.later if space else self.first)[core]
+            return bare + self._piece(marks) if marks else bare
+        return self._piece(core if self.lower else space + core)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
