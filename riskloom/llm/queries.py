@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, dedup_exact, lines, mixing, packing, quality, search, simhash, token_counts, wavelet
+from .store import shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,8 +50,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.wavelet_documents(_read(spark, sf_dir, "documents")).select(
-        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = shared_folder(spark, "wavelet") + "/files"
+    wavelet.write_wavelet(_read(spark, sf_dir, "documents"), path)
+    back = wavelet.read_documents(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return wavelet.with_starts(spark, path, back).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import partitions, shared_folder, ship_package, text_of
+from .store import partitions, ship_package, text_of
 from .tokens import encoder, vocabulary
 
 SEGMENT = 1 << 21
@@ -40,13 +40,13 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         planes, zeros, ranks, seq = [], [], [], ids
         for level in range(width):
-            bit = (seq >> seq.dtype.type(width - 1 - level) & seq.dtype.type(1)).astype(bool)
+            bit = (seq & seq.dtype.type(1 << (width - 1 - level))) != 0
             packed = np.packbits(bit, bitorder="little")
             sums = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), SAMPLE // 8), dtype=np.uint32) \
                 if len(packed) else np.zeros(0, np.uint32)
             planes.append(packed.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(sums)]).astype("<u4").tobytes())
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            seq = np.concatenate([np.compress(~bit, seq), np.compress(bit, seq)])
             zeros.append(int(len(ids) - np.count_nonzero(bit)))
         return cls(len(ids), planes, zeros, ranks)
 
@@ -116,7 +116,7 @@ class WaveletMatrix:
         kind = np.uint16 if self.width <= 16 else np.uint32
         seq = np.zeros(self.n, kind)
         for level in reversed(range(self.width)):
-            bit = np.unpackbits(self.bits[level], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.bits[level], count=self.n, bitorder="little").view(bool)
             up, z = np.empty(self.n, kind), self.zeros[level]
             up[~bit] = seq[:z]
             up[bit] = seq[z:] | kind(1 << (self.width - 1 - level))
@@ -192,8 +192,9 @@ def _based(files: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every document from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary,
-    little-endian uint32)."""
+    """Every document from the files: doc_id, shard, segment, at (ids before it in its segment), n_tokens, ids (binary,
+    little-endian uint32).  ``with_starts`` turns places into starts; what derives from the ids comes first, so that
+    ids need not move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,11 +213,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                                   pa.binary())],
                         names=["shard", "segment", "doc_id", "at", "n_tokens", "ids"])
 
-    files = _files(spark, path)
-    docs = files.mapInArrow(run, "shard int, segment int, doc_id long, at long, n_tokens long, ids binary")
-    # one row per segment: the planner checks its size before it broadcasts
-    return docs.join(_based(files), ["shard", "segment"]).select(
-        "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return _files(spark, path).mapInArrow(
+        run, "shard int, segment int, doc_id long, at long, n_tokens long, ids binary")
+
+
+def with_starts(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of ``read_documents`` with ``start`` (ids of all documents before) in place of shard, segment and at."""
+    based = rows.join(_based(_files(spark, path)), ["shard", "segment"])
+    return based.withColumn("start", F.col("base") + F.col("at")).drop("shard", "segment", "at", "base")
 
 
 def token_counts_in(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -247,11 +251,3 @@ def token_occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
                     names=["doc_id", "position"])
 
     return _files(spark, path).mapInArrow(run, "doc_id long, position long")
-
-
-def wavelet_documents(docs: DataFrame, vocab: str | None = None, end_id: int = 0, path: str | None = None,
-                      text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Write the files (to a folder of the shared one unless ``path`` is given) and read every document back."""
-    path = path or shared_folder(docs.sparkSession, "wavelet") + "/files"
-    write_wavelet(docs, path, vocab, end_id, text, doc_id)
-    return read_documents(docs.sparkSession, path)

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from riskloom.llm import token_counts, tokens, wavelet
 from riskloom.llm.queries import QUERIES
+from llm_fixtures import make_docs, small_dir, small_docs  # noqa: F401
 
 TEXT = st.lists(st.sampled_from(
     ["a", "B", "é", "ß", " ", "  ", "\n", "\t", " ", " ", "'s", "'ll", "'", "'re", "'r", "'v", "1", "23", ".", ",", "!",
@@ -88,7 +89,8 @@ def test_wavelet_query(spark, small_dir, small_docs):
 def test_wavelet_files(make_docs, spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/files"
     wavelet.write_wavelet(make_docs(ROWS).repartition(3), path)
-    got = sorted((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in wavelet.read_documents(spark, path).collect())
+    read = wavelet.with_starts(spark, path, wavelet.read_documents(spark, path))
+    got = sorted((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in read.collect())
     assert got == stored(ROWS)
     everything = {}
     for i, t, *_ in ROWS:
