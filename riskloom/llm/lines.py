@@ -80,21 +80,25 @@ def _filter_table(ids: DataFrame) -> DataFrame:
 
 
 def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) for ``ids``: the bitmap drops nearly all other lines before anything moves."""
+    """(id, line, n shingles) for ``ids``: the bitmap drops nearly all other lines before anything moves."""
     slot = F.col("id").bitwiseAND((1 << FILTER_BITS) - 1)
     pos = slot.bitwiseAND(32767)
     byte = F.conv(F.hex(F.substr(F.col("bits"), (F.shiftright(pos, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     # bounded by construction: 512 rows of 4 KB
     near = rows.withColumn("at", F.shiftright(slot, 15)).join(F.broadcast(_filter_table(ids)), "at").where(
         F.call_function("getbit", byte, pos.bitwiseAND(7).cast("int")) == 1)
-    return near.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    found = near.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    return found.withColumn("n", F.size(shingles(F.col("line"))))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs(u, v)``, those whose lines have a Jaccard similarity of at least ``SIMILAR``."""
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(
+    # a set can't be this similar to one that is much larger: most pairs end here, before any text is read
+    sizes = texts.select("id", "n")
+    pairs = pairs.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("m")), "u").join(
+        sizes.withColumnRenamed("id", "v"), "v").where(F.least("m", "n") >= SIMILAR * F.greatest("m", "n"))
+    both = pairs.select("u", "v").join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(
         texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
-    # a set can't be this similar to one that is much longer; shingle counts are at most the lengths
     both = both.select("u", "v", shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common >= SIMILAR * (F.size("a") + F.size("b") - common)).select("u", "v")
