@@ -2,12 +2,11 @@
 
 Lines are the pieces of a text between line feeds; blank ones take no part.
 Equal lines share an id (the 64-bit hash of the line), so repeats cost one
-signature.  A line's signature is taken over hashed character shingles: all
-five-character ones of a short line, and of a long line those of seven
-characters that begin a word.  Lines between 80 and 125 characters have both,
-so two lines that are similar always share a kind.  The hash space has ``BANDS``
-starting points, and a band is the ``ROWS`` smallest hashes from one of them on
-(around the end, at the last ones): ``ROWS`` minima of a MinHash each.
+signature.  A line's signature is taken over all its hashed five-character
+shingles, whatever its length: the set whose similarity is verified.  The hash
+space has ``BANDS`` starting points, and a band is the ``ROWS`` smallest hashes
+from one of them on (around the end, at the last ones): ``ROWS`` minima of a
+MinHash each.
 
 Lines that share a band are candidates, and the exact Jaccard similarity of
 all their five-character shingles decides.  A bucket is not paired up: its
@@ -24,14 +23,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import save, text_of
 
-SIMILAR, SHINGLE, ANCHORED = 0.8, 5, 7
+SIMILAR, SHINGLE = 0.8, 5
 BANDS, ROWS = 12, 5
-SHORT, LONG = 125, 80
 #: Bits of the filter that tells which lines must be read again: 2 MB, whatever the input.
 FILTER_BITS = 24
 
-#: Where a word begins: at the line's start, after a space, and after any ideograph or Hangul syllable.
-_WORDS = rf"(?:^|(?<=[ ⺀-鿿가-힯]))(?=(.{{{ANCHORED}}}))"
 _EVERY = rf"(?=(.{{{SHINGLE}}}))"
 
 
@@ -44,8 +40,12 @@ def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 def shingles(line: Column) -> Column:
     """All distinct shingles of ``SHINGLE`` characters; a shorter line is its own."""
+    return F.array_distinct(_windows(line))
+
+
+def _windows(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(
-        F.array_distinct(F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1))))
+        F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1)))
 
 
 def _hashes(found: Column) -> Column:
@@ -62,14 +62,7 @@ def _bands(hashes: Column, kind: int) -> Column:
 
 def signatures(rows: DataFrame) -> DataFrame:
     """(id, bands) of each distinct line of ``rows(id, line)``."""
-    n = F.length("line")
-    words = F.regexp_extract_all("line", F.lit(_WORDS), F.lit(1))
-    short = rows.where(n <= SHORT).select("id", _hashes(shingles(F.col("line"))).alias("h")).select(
-        "id", _bands(F.col("h"), 0).alias("bands"))
-    long_ = rows.where(n >= LONG).select("id", "line", words.alias("w")).select(
-        "id", _hashes(F.when(F.size("w") * 20 < F.length("line"), shingles(F.col("line"))).otherwise(F.col("w"))).alias("h")
-    ).select("id", _bands(F.col("h"), 1).alias("bands"))
-    return short.unionByName(long_)
+    return rows.select("id", _hashes(_windows(F.col("line"))).alias("h")).select("id", _bands(F.col("h"), 0).alias("bands"))
 
 
 def _filter_table(ids: DataFrame) -> DataFrame:

@@ -93,6 +93,18 @@ def test_members_of_mixed_buckets_are_compared(spark, make_docs, monkeypatch):
     assert named == expected
 
 
+def test_few_spaces_do_not_part_similar_lines(make_docs):
+    """About one space in 20 characters: two more characters, or one more word, leave lines similar."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(30):
+        words = ["".join(rng.choice("abcdefghij/.=&") for _ in range(19)) for _ in range(7)]
+        line = " ".join(words)[:139]
+        rows += [(10 * i, line), (10 * i + 1, line + "xy"), (10 * i + 2, line + " x")]
+    expected, named, kept = compare(rows, result(lines.line_classes(make_docs(rows))))
+    assert len(expected) == 30 and named == expected and kept == 30
+
+
 def test_empty(make_docs):
     assert lines.line_classes(make_docs([])).count() == 0
     assert lines.dedup_lines(make_docs([])).count() == 0
