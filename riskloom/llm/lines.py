@@ -1,6 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are the pieces of a text between line feeds; blank ones take no part.
+Lines are the pieces of a text between line feeds; blank ones, without a word
+of the contracts, take no part.  Other line ends are characters like any other.
 Equal lines share an id (the 64-bit hash of the line), so repeats cost one
 signature.  A line's signature is taken over all its hashed five-character
 shingles, whatever its length: the set whose similarity is verified.  The hash
@@ -21,14 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import save, text_of
+from .store import WORD, save, text_of
 
 SIMILAR, SHINGLE = 0.8, 5
 BANDS, ROWS = 12, 5
 #: Bits of the filter that tells which lines must be read again: 2 MB, whatever the input.
 FILTER_BITS = 24
 
-_EVERY = rf"(?=(.{{{SHINGLE}}}))"
+#: Every window of characters, line ends included; the dot after it steps over whole surrogate pairs.
+_EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))."
 
 
 def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -94,7 +96,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     both = both.select("u", "v", shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b"))
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= SIMILAR * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return both.where((common > 0) & (common >= SIMILAR * (F.size("a") + F.size("b") - common))).select("u", "v")
 
 
 def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -104,7 +106,7 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     (doc_id, text_key, line_no) is kept, null doc_ids first, and so are blank lines.  Repeated rows (same id and text)
     share their decisions.  Null text counts as empty: one blank line.  An empty table gives no rows.
     """
-    all_lines = lines(docs, text, doc_id).withColumn("blank", F.trim("line") == "")
+    all_lines = lines(docs, text, doc_id).withColumn("blank", ~F.col("line").rlike(WORD))
     rows = all_lines.where("not blank").select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("id"), "line")
     table = save(all_lines.select("doc_id", "text_key", "line_no", F.when(~F.col("blank"), F.xxhash64("line")).alias("id")),
                  "lines")

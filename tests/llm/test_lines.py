@@ -145,6 +145,29 @@ def test_long_lines_are_found_at_low_similarity(spark):
             assert found >= 0.98 * len(pairs), (kind, low, found)
 
 
+ENDS = [(1, "Yes.\r\n1234\r\nNo..\r\n\r\n \r\n\t\nlast"), (2, "abcd\u2028\nefgh\u2029\nijkl\x85\n\x0b\x0c\r"),
+        (3, "\r\n\r\nYes.\r\n5678\r"), (4, "a\rb\rc\rd\re\rf\ng\rh\ri\rj\rk\rl"),
+        (5, "😀😁😂😃😄😅😆😇😈😉\n😀😁😂😃😄😅😆😇😈x\n😐😑😒😓😔")]
+
+
+def test_line_ends_are_characters(make_docs):
+    """Carriage returns and Unicode line ends inside lines; lines of white space are blank."""
+    got = result(lines.line_classes(make_docs(ENDS)))
+    rows = [(i, "\n".join(x if x.strip(" \t\r\x0b\x0c") else "" for x in t.split("\n"))) for i, t in ENDS]
+    expected, named, kept = compare(rows, got)
+    assert named == expected and kept == len(expected)
+    assert len(expected) == 13  # only the lines "Yes.\r" are equal
+    texts = {r.doc_id: r.text for r in lines.dedup_lines(make_docs(ENDS)).collect()}
+    assert texts == dict(ENDS) | {3: "\r\n\r\n5678\r"}
+
+
+def test_shingles_are_all_windows(spark):
+    found = [x for _, t in ENDS for x in t.split("\n") if x]
+    rows = spark.createDataFrame([(x,) for x in found], "line string")
+    for r in rows.select("line", lines.shingles(lines.F.col("line")).alias("s")).collect():
+        assert sorted(r.s) == sorted(shingles(r.line))
+
+
 def test_empty(make_docs):
     assert lines.line_classes(make_docs([])).count() == 0
     assert lines.dedup_lines(make_docs([])).count() == 0

@@ -71,6 +71,29 @@ def test_mix_returns_the_copies_planned(make_docs):
     assert min(words) > 0
 
 
+DOMINATED = [(i, "w " * 100, "a") for i in range(300)] + [(999, "w " * 20_000, "a")]
+
+
+def test_no_document_that_fits_is_left(make_docs):
+    """One document holds 40 % of its source: where it does not fit, the blocks after its own fill the target."""
+    docs = make_docs(DOMINATED)
+    for seed in range(12):
+        got = mixing.mix_counts(docs, share=0.66, seed=seed).collect()
+        unused = min(r["size"] for r in got if not r["copies"])
+        assert 0 <= 33_000 - sum(r["taken"] for r in got) < unused, seed
+
+
+def test_no_document_that_fits_is_left_in_mixed_sources(make_docs):
+    docs = make_docs(ROWS + [(4000 + i, "v " * (3 * i + 40), "hot") for i in range(300)])
+    got = mixing.mix_counts(docs).collect()
+    for s in {r["source"] for r in got if r["source_size"]}:
+        own = [r for r in got if r["source"] == s]
+        least = min(r["copies"] for r in own if r["size"])
+        unused = [r["size"] for r in own if r["size"] and r["copies"] == least]
+        gap = own[0]["target"] - sum(r["taken"] for r in own)
+        assert -1e-6 <= gap < min(unused) or (least == 2 and gap < 1e-6)
+
+
 def test_empty(make_docs):
     assert mixing.mix_counts(make_docs([])).count() == 0
     assert mixing.mix(make_docs([])).count() == 0

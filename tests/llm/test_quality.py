@@ -33,6 +33,21 @@ def test_em_recovers_planted_labellers():
     assert np.abs(got[0, :, quality.JUNK] - 0.02).max() < 0.02
 
 
+def test_sample_of_mostly_copies_has_features(make_docs, monkeypatch):
+    """Copies crowd the table, not the sample: each drawn text comes with its features, as in a small table."""
+    rows = [(i, f"plain words number {i} in a row of text that says little") for i in range(900)]
+    rows += [(1000 + i, "BUY!! NOW!! CHEAP!! " * 9 + "x" * (i % 40)) for i in range(17_000)]
+    trained = []
+    monkeypatch.setattr(quality, "_train", lambda r, labels: trained.append((r, labels)) or np.zeros(quality.BUCKETS + 1))
+    docs = make_docs(rows)
+    quality.fit_quality(docs)
+    quality.fit_quality(docs, train_rows=300)
+    quality.fit_quality(docs.dropDuplicates(["text"]))
+    (full, labels), (part, _), (small, _) = trained
+    assert len(full) == len(small) == len(labels) == 940 and len(part) == 300
+    assert all(full) and all(part) and full == small and part == full[:300]
+
+
 def test_edge_rows(make_docs):
     rows = [(i, "The quick brown fox jumps over the lazy dog, and runs away from it.") for i in range(30)]
     rows += [(100 + i, "BUY!! NOW!! CHEAP!! " * 9) for i in range(10)]
