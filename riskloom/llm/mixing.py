@@ -2,8 +2,10 @@
 
 Targets come from the sources' weights and sizes.  A source's documents are
 cut into blocks by a seeded hash; whole epochs take every block, and the last
-epoch takes blocks in permuted order, then documents of one boundary block,
-to come near to the target.  The blocks to draw are the source's quota.  The
+epoch goes through all blocks in permuted order and takes what still fits,
+whole blocks or, of a block that does not fit, its documents in key order,
+until no unused document with words fits.  The blocks drawn from are the
+source's quota.  The
 tree splits the vector of quotas between the halves of the output shards, a
 multivariate-hypergeometric draw at each node, down to single shards: every
 shard has an exact quota of each source, distributed as if all blocks had
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,11 +77,11 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
 
 @dataclass
 class MixPlan:
-    """Tables of the plan: a row per source, a row per block, and the documents taken of boundary blocks."""
+    """Tables of the plan: a row per source, a row per block, and the documents taken of blocks that do not fit."""
 
     rows: DataFrame     # doc_id, source, key, size of every document
     sources: DataFrame  # source_no, source, source_size, target, blocks
-    blocks: DataFrame   # source_no, block, full (shards of whole draws), edge (shard of the boundary draw)
+    blocks: DataFrame   # source_no, block, full (shards of whole draws), edge (shard of the draw in part)
     fits: DataFrame     # key, doc_id, fitting (how many of the repeated rows)
     n_sources: int
     n_blocks: int
@@ -134,24 +137,60 @@ def mix_plan(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1
     placed = rows.join(_checked(dim, len(found)), F.col("__source").eqNullSafe(F.col("source_name"))).withColumn(
         "block", _block())
     words = [np.zeros(b, np.int64) for b in blocks]
-    for r in placed.groupBy("source_no", "block").agg(F.sum("size").alias("w")).collect():  # BLOCKS a source at most
-        words[r["source_no"]][r["block"]] = r["w"]
-
-    # draws of blocks: whole epochs, then permuted blocks while they fit, then a part of one block
-    taken, room = [], {}
+    least = [np.zeros(b, np.int64) for b in blocks]  # the smallest document with words
+    for r in placed.groupBy("source_no", "block").agg(
+            F.sum("size").alias("w"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect():
+        words[r["source_no"]][r["block"]] = r["w"]  # BLOCKS a source at most
+        least[r["source_no"]][r["block"]] = r["least"] or 0
+
+    # draws of blocks: whole epochs, then permuted blocks that fit
+    taken, left, later = [], {}, {}
     for i, size in enumerate(sizes):
         epochs = min(most, int(goal[i] // size)) if size else 0
-        left = goal[i] - epochs * size
-        draws = [(int(b), False) for e in range(epochs) for b in _shuffled(blocks[i], seed, i, e)]
-        if size and left > 0:
-            permuted = _shuffled(blocks[i], seed, i, most)
-            sums = np.cumsum(words[i][permuted])
-            fit = int(np.searchsorted(sums, left, side="right"))
-            draws += [(int(b), False) for b in permuted[:fit]]
-            if fit < blocks[i]:
-                draws.append((int(permuted[fit]), True))
-                room[i] = (int(permuted[fit]), float(left - (sums[fit - 1] if fit else 0)))
-        taken.append(draws)
+        taken.append([(int(b), False) for e in range(epochs) for b in _shuffled(blocks[i], seed, i, e)])
+        if size and goal[i] > epochs * size:
+            left[i] = float(goal[i] - epochs * size)
+            later[i] = _shuffled(blocks[i], seed, i, most).tolist()[::-1]
+
+    def fit_edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[int, float] = {}
+        for b in batches:
+            ok = []
+            for i, size, room in zip(b.column("source_no").to_pylist(), b.column("size").to_pylist(),
+                                     b.column("room").to_pylist(), strict=True):
+                ok.append(size <= left.setdefault(i, room))
+                left[i] -= size if ok[-1] else 0
+            yield pa.RecordBatch.from_arrays(
+                [*map(b.column, ("source_no", "block", "size", "__key", "__id")), pa.array(ok, pa.bool_())],
+                names=["source_no", "block", "size", "fit_key", "fit_id", "fits"])
+
+    # blocks that do not fit: their documents that do, one block of a source first, then twice as many each time
+    fits, group = [], 1
+    while True:
+        edge = []
+        for i in later:
+            chosen = 0
+            while later[i] and chosen < group:
+                b = later[i][-1]
+                if words[i][b] <= left[i] and not chosen:
+                    taken[i].append((b, False))
+                    left[i] -= int(words[i][b])
+                elif least[i][b] <= left[i]:
+                    edge.append((i, b, chosen, left[i]))
+                    chosen += 1
+                later[i].pop()
+        if not edge:
+            break
+        at = spark.createDataFrame(edge, "source_no int, block int, place int, room double")
+        near = placed.join(_checked(at, len(edge)), ["source_no", "block"]).where("size <= room").select(
+            "source_no", "block", "place", "room", "size", "__key", "__id")
+        part = save(near.repartition("source_no").sortWithinPartitions("source_no", "place", "__key", "__id").mapInArrow(
+            fit_edge, "source_no int, block int, size long, fit_key long, fit_id long, fits boolean").where("fits"), "part")
+        for r in sorted(part.groupBy("source_no", "block").agg(F.sum("size").alias("w")).collect()):
+            taken[r["source_no"]].append((r["block"], True))
+            left[r["source_no"]] -= r["w"]
+        fits.append(part.select("fit_key", "fit_id"))
+        group *= 2
     dealt = split_quotas(np.array([len(d) for d in taken], np.int64), shards, np.random.default_rng(seed))
     drawn: dict[tuple[int, int], tuple[list, list]] = {}
     for i, draws in enumerate(taken):  # shards take disjoint ranges of a source's permuted draws
@@ -162,23 +201,10 @@ def mix_plan(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1
     table = spark.createDataFrame([(i, b, full, part[0] if part else None) for (i, b), (full, part) in drawn.items()],
                                   "source_no int, block int, full array<int>, edge int")
 
-    def fit_edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = {i: words for i, (_, words) in room.items()}
-        for b in batches:
-            ok = []
-            for i, size in zip(b.column("source_no").to_pylist(), b.column("size").to_pylist(), strict=True):
-                ok.append(size <= left[i])
-                left[i] -= size if ok[-1] else 0
-            yield pa.RecordBatch.from_arrays([b.column("__key"), b.column("__id"), pa.array(ok, pa.bool_())],
-                                             names=["fit_key", "fit_id", "fits"])
-
-    # boundary blocks, a BLOCKS-th of a source: documents that still fit, in permuted order
-    edge = placed.join(_checked(table.where("edge is not null").select("source_no", "block"), len(drawn)),
-                       ["source_no", "block"]).select("source_no", "__key", "__id", "size")
-    fits = edge.repartition("source_no").sortWithinPartitions("source_no", "__key", "__id").mapInArrow(
-        fit_edge, "fit_key long, fit_id long, fits boolean").where("fits")
-    fits = save(fits.groupBy("fit_key", "fit_id").agg(F.count(F.lit(1)).alias("fitting")), "edge")
-    return MixPlan(rows, dim, table, fits, len(found), len(drawn))
+    none = spark.createDataFrame([], "fit_key long, fit_id long")
+    fitting = reduce(DataFrame.unionByName, fits, none).groupBy("fit_key", "fit_id").agg(
+        F.count(F.lit(1)).alias("fitting"))
+    return MixPlan(rows, dim, table, save(fitting, "edge"), len(found), len(drawn))
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
