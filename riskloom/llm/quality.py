@@ -187,35 +187,36 @@ def fit_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text
 
     No rows, or no junk votes at all: the scorer keeps everything.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = [_stats(t.as_py()) for t in b.column("text")]
-            feats = [_features(s) if low else {} for s, low in zip(stats, b.column("low").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("h"), pa.array([_pattern(labellers(s)) for s in stats], pa.int64()),
-                 pa.array([list(f.items()) for f in feats], pa.map_(pa.int64(), pa.float64()))],
-                names=["h", "pattern", "features"])
+            found = [_pattern(labellers(_stats(t.as_py()))) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(found, pa.int64())], names=["h", "pattern"])
+
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [list(_features(_stats(t.as_py())).items()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(found, pa.map_(pa.int64(), pa.float64()))],
+                                             names=["h", "features"])
 
-    n = docs.count()
     body = text_of(docs, text)
     hashed = docs.select(F.xxhash64(body, F.lit(3)).alias("h"), body.alias("text"))
-    # hashes are even: at most about twice the sample carries its features along
-    share = min(1.0, 2.0 * train_rows / max(1, n))
-    low = F.col("h") <= min(int(share * 2.0 ** 64) - 2 ** 63, 2 ** 63 - 1)
-    seen = save(hashed.withColumn("low", low).mapInArrow(
-        run, "h long, pattern long, features map<long,double>"), "votes")
+    seen = save(hashed.mapInArrow(votes_of, "h long, pattern long"), "votes")
     counts = seen.groupBy("pattern").count().collect()  # at most 3**7 patterns
     patterns = np.array([r["pattern"] for r in counts], np.int64)
     votes, junk = expectation_maximisation(patterns, np.array([r["count"] for r in counts], float))
-    sample = (seen.dropDuplicates(["h"]).orderBy("h").limit(train_rows)
-              .select("pattern", "features").collect())  # bounded by train_rows
+    # the sample is drawn before any features are: copies count once
+    sample = seen.dropDuplicates(["h"]).orderBy("h").limit(train_rows).collect()  # bounded by train_rows
     digits = [[int(p) // 3 ** i % 3 for i in range(LABELLERS)] for p in patterns]
     if not any(JUNK in d for d in digits) or not sample:
         weights = np.zeros(BUCKETS + 1)
         weights[-1] = -10.0
         return QualityModel(votes, junk, weights)
     labels = _posterior(np.array([r["pattern"] for r in sample], np.int64), votes, junk)
-    return QualityModel(votes, junk, _train([r["features"] for r in sample], labels))
+    drawn = F.broadcast(docs.sparkSession.createDataFrame([(r["h"],) for r in sample], "h long"))  # train_rows at most
+    texts = hashed.join(drawn, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    features = {r["h"]: r["features"] for r in texts.mapInArrow(
+        features_of, "h long, features map<long,double>").collect()}  # bounded by train_rows
+    return QualityModel(votes, junk, _train([features[r["h"]] for r in sample], labels))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
