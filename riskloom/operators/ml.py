@@ -1,10 +1,8 @@
-"""Model fitting and scoring with Spark ML (distributed estimators).
+"""Model fitting and scoring: boosted trees of ``boosting`` (one barrier job a
+model), forest and logistic regression of Spark ML.
 
-The reference fits gradient-boosted trees with two native libraries and a
-few scikit-learn baselines; here every estimator is a ``pyspark.ml`` one,
-trained across executors.  Defaults mirror the reference's settings; MLlib
-trees have no leaf-count or L1/L2 knobs, so depth and
-``minInstancesPerNode`` stand in (documented per function).
+Settings mirror the reference's: rounds, leaves, depth, minimum rows or hessian
+of a leaf, L1 / L2, row and column sampling, class weight.
 """
 
 from __future__ import annotations
@@ -12,13 +10,15 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import is_finite
+from . import boosting
+from .boosting import Boosting, BoostedModel
 
 SEED = 42
 
@@ -72,46 +72,36 @@ def assemble_features(df: DataFrame, cols: list[str], out: str = "features") ->
 
 
 # ------------------------------------------------------------ estimators
-# Defaults: the reference's training settings.  MLlib mapping: rounds ->
-# maxIter, learning rate -> stepSize, leaves/min child -> maxDepth /
-# minInstancesPerNode, row / column sampling -> subsamplingRate /
-# featureSubsetStrategy.
+# The reference's training settings.
 
 
-def gbt_a(label: str, rounds: int = 1200, max_depth: int = 7, min_leaf: int = 40) -> GBTClassifier:
-    """Boosted trees, model A: lr .05, rows .9, columns .8, unweighted."""
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=0.05,
-                         maxDepth=max_depth, minInstancesPerNode=min_leaf, subsamplingRate=0.9,
-                         featureSubsetStrategy="0.8", seed=SEED)
+def gbt_a(label: str, rounds: int = 1200) -> Boosting:
+    """Boosted trees, model A: best-first to 96 leaves of 40 rows and more, unweighted."""
+    return Boosting(rounds, 0.05, max_leaves=96, min_rows=40, l1=1.0, l2=3.0, rows=0.9, columns=0.8, label=label,
+                    seed=SEED)
 
 
-def gbt_b(label: str, rounds: int = 900, weight_col: str = "weight") -> GBTClassifier:
-    """Boosted trees, model B: depth 7, min child 4, lr .05, rows .9,
-    columns .8, positive class weighted by (1-p)/p."""
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=0.05, maxDepth=7,
-                         minInstancesPerNode=4, subsamplingRate=0.9, featureSubsetStrategy="0.8",
-                         seed=SEED, **_w(weight_col))
+def gbt_b(label: str, rounds: int = 900) -> Boosting:
+    """Boosted trees, model B: depth 7, hessian of a leaf at least 4, positives weighted by (1-p)/p."""
+    return Boosting(rounds, 0.05, max_depth=7, min_hessian=4.0, l1=0.5, l2=3.0, rows=0.9, columns=0.8,
+                    positive_weight=True, label=label, seed=SEED)
 
 
-def gbt_time(label: str, rounds: int = 800, weight_col: str = "weight") -> GBTClassifier:
-    """Time-split benchmark model: 128 leaves ~ depth 7, min child 40, lr .05,
-    rows .8, columns .8, class-weighted."""
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=0.05, maxDepth=7,
-                         minInstancesPerNode=40, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,
-                         **_w(weight_col))
+def gbt_time(label: str, rounds: int = 800) -> Boosting:
+    """Time-split benchmark model: best-first to 128 leaves of 40 rows and more, positives weighted."""
+    return Boosting(rounds, 0.05, max_leaves=128, min_rows=40, l1=1.0, l2=2.0, rows=0.8, columns=0.8,
+                    positive_weight=True, label=label, seed=SEED)
 
 
-def gbt_simple(label: str, rounds: int = 200) -> GBTClassifier:
-    """Notebook baseline: depth 4, lr .1, rows .9, columns .9."""
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=0.1, maxDepth=4,
-                         subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=SEED)
+def gbt_simple(label: str, rounds: int = 200) -> Boosting:
+    """Notebook baseline: depth 4."""
+    return Boosting(rounds, 0.1, max_depth=4, min_hessian=1.0, l2=1.0, rows=0.9, columns=0.9, label=label, seed=SEED)
 
 
-def gbt_engineered(label: str, rounds: int = 400, weight_col: str = "weight") -> GBTClassifier:
-    """Notebook model on engineered features: depth 6, lr .05, rows .9,
-    columns .9, positive class weighted."""
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, stepSize=0.05, maxDepth=6,
-                         subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=SEED, **_w(weight_col))
+def gbt_engineered(label: str, rounds: int = 400) -> Boosting:
+    """Notebook model on engineered features: depth 6, positives weighted."""
+    return Boosting(rounds, 0.05, max_depth=6, min_hessian=1.0, l2=1.0, rows=0.9, columns=0.9, positive_weight=True,
+                    label=label, seed=SEED)
 
 
 def random_forest(label: str, trees: int = 300, weight_col: str = "weight", max_depth: int = 30) -> RandomForestClassifier:
@@ -129,14 +119,20 @@ def logistic(label: str, max_iter: int = 1000, c: float = 1.0, n_rows: int | Non
                               elasticNetParam=0.0, standardization=False)
 
 
-def fit(train: DataFrame, feature_cols: list[str], estimator) -> PipelineModel:
-    """Assembler + estimator as one PipelineModel (cleaning is a plain
-    projection applied by ``score``)."""
+def fit(train: DataFrame, feature_cols: list[str], estimator, valid: DataFrame | None = None,
+        row_id: str | None = None) -> BoostedModel | PipelineModel:
+    """A boosted model for ``Boosting`` settings, else assembler + estimator as one PipelineModel (cleaning is a plain
+    projection applied when scoring).  ``valid`` and ``row_id`` are for boosted models."""
+    if isinstance(estimator, Boosting):
+        return boosting.fit(train, feature_cols, estimator, valid, row_id)
     pipe = Pipeline(stages=[assembler(feature_cols), estimator])
     return pipe.fit(clean_numeric(train, feature_cols))
 
 
-def positive_probability(model: PipelineModel, df: DataFrame, feature_cols: list[str], name: str = "prob") -> DataFrame:
+def positive_probability(model: BoostedModel | PipelineModel, df: DataFrame, feature_cols: list[str],
+                         name: str = "prob") -> DataFrame:
+    if isinstance(model, BoostedModel):
+        return model.probabilities(df, name)
     out = model.transform(clean_numeric(df, feature_cols))
     keep = [c for c in df.columns]
     return out.select(*keep, vector_to_array("probability")[1].alias(name))
@@ -151,16 +147,16 @@ def blend(p_a: Column | str, p_b: Column | str, w_a: float = 0.6, w_b: float = 0
 # ------------------------------------------------------------ persistence
 
 
-def save_bundle(spark, path: str, models: dict[str, PipelineModel], metadata: dict) -> None:
+def save_bundle(spark, path: str, models: dict[str, BoostedModel], metadata: dict) -> None:
     """Each model under ``path/<name>``; metadata as one JSON row."""
     for name, m in models.items():
-        m.write().overwrite().save(f"{path}/{name}")
+        m.save(f"{path}/{name}")
     meta = spark.createDataFrame([(json.dumps(metadata),)], "metadata string")
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def load_bundle(spark, path: str, names: list[str]) -> tuple[dict[str, PipelineModel], dict]:
-    models = {n: PipelineModel.load(f"{path}/{n}") for n in names}
+def load_bundle(spark, path: str, names: list[str]) -> tuple[dict[str, BoostedModel], dict]:
+    models = {n: BoostedModel.load(spark, f"{path}/{n}") for n in names}
     row = spark.read.json(f"{path}/metadata").first()
     return models, json.loads(row["metadata"])
 

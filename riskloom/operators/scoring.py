@@ -2,7 +2,7 @@
 
 The reference scores one HTTP payload at a time; here a table (or a
 micro-batch) of requests is projected onto the model's ordered feature list
-with column expressions only, then scored by a ``PipelineModel``.
+with column expressions only, then scored by a fitted model.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import normalize_name, normalize_name_col, to_numeric
 from ..functions.features import account_age_bucket, customer_age_bucket
+from .boosting import BoostedModel
 from .ml import positive_probability
+from .splits import with_positions
 
 
 def _num(c: Column) -> Column:
@@ -144,7 +146,7 @@ def map_inputs_by_keyword(inputs: DataFrame, feature_names: list[str], kind: str
     return inputs.select(*(keep or []), *cols)
 
 
-def batch_score(model: PipelineModel, features: DataFrame, feature_cols: list[str], threshold: float = 0.5,
+def batch_score(model: BoostedModel | PipelineModel, features: DataFrame, feature_cols: list[str], threshold: float = 0.5,
                 keep: list[str] | None = None) -> DataFrame:
     """Probability of fraud in percent (2 decimals) and the decision at the
     model's saved threshold."""
@@ -153,7 +155,7 @@ def batch_score(model: PipelineModel, features: DataFrame, feature_cols: list[st
                     (F.col("__p") >= threshold).cast("int").alias("prediction"))
 
 
-def blend_score(models: dict[str, PipelineModel], features: DataFrame, feature_cols: list[str],
+def blend_score(models: dict[str, BoostedModel | PipelineModel], features: DataFrame, feature_cols: list[str],
                 weights: dict[str, float], keep: list[str]) -> DataFrame:
     """Weighted blend of several models' positive-class probabilities."""
     out = features
@@ -163,3 +165,11 @@ def blend_score(models: dict[str, PipelineModel], features: DataFrame, feature_c
         term = F.col(f"__p_{name}") * weights[name]
         blended = term if blended is None else blended + term
     return out.select(*keep, blended.alias("prob"))
+
+
+def with_row_ids(rows: DataFrame, id_col: str, order_cols: list[str]) -> DataFrame:
+    """``rows`` with an id each: the column ``id_col`` where there is one, else the row's place (from 0) in the order of
+    ``order_cols``, found by range partitions and offsets."""
+    if id_col.lower() in (c.lower() for c in rows.columns):
+        return rows
+    return with_positions(rows, order_cols, id_col)

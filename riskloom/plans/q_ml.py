@@ -4,7 +4,10 @@ have no SQL oracle (rows-only check); everything around them is exact."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics as mt
@@ -271,27 +274,47 @@ def _event_features(spark, sf):
         "is_night": ff.is_night("transaction_hour"), "is_weekend": ff.is_weekend(ff.weekday("transaction_ts"))}))
 
 
+def _time_split(spark, sf):
+    return materialize(splits.time_split(_event_features(spark, sf), "transaction_ts", "transaction_id"))
+
+
 @register("fit_boosted_time")
 def q_fit_boosted_time(spark, sf, rounds=800):
-    e = splits.time_split(_event_features(spark, sf), "transaction_ts", "transaction_id")
-    train = ml.with_weights(e.where(F.col("split") == "train"), "is_fraudulent")
-    m = ml.fit(train, TIME_FEATS, ml.gbt_time("is_fraudulent", rounds))
+    e = _time_split(spark, sf)
+    m = ml.fit(e.where(F.col("split") == "train"), TIME_FEATS, ml.gbt_time("is_fraudulent", rounds),
+               e.where(F.col("split") == "valid"), "transaction_id")
     return _predict(m, e.where(F.col("split") == "test"), TIME_FEATS)
 
 
+@register("validation_curve")
+def q_validation_curve(spark, sf, **rounds):
+    """AUC of the validation rows after every round of both stored models."""
+    models, _meta, _test = _bundle(spark, sf, **rounds)
+    return reduce(DataFrame.unionByName, [m.curve().select(F.lit(n).alias("model"), "round", "valid_auc")
+                                          for n, m in models.items()])
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf, **rounds):
+    """Splits and gain per feature of both stored models."""
+    models, _meta, _test = _bundle(spark, sf, **rounds)
+    return reduce(DataFrame.unionByName, [m.importance().select(F.lit(n).alias("model"), "name", "splits", "gain")
+                                          for n, m in models.items()])
+
+
 @register("holdout_predict")
 def q_holdout_predict(spark, sf, rounds=800):
-    """Fit on the labelled part (train and valid by time), score the later rows as a table without labels whose columns
-    are aligned to the model's; ids kept."""
-    e = splits.time_split(_event_features(spark, sf), "transaction_ts", "transaction_id")
-    m = ml.fit(ml.with_weights(e.where(F.col("split") != "test"), "is_fraudulent"), TIME_FEATS,
-               ml.gbt_time("is_fraudulent", rounds))
-    holdout = e.where(F.col("split") == "test").drop("is_fraudulent", "split")
-    return _predict(m, holdout, TIME_FEATS, keep=("transaction_id",))
+    """Fit on every labelled row, score the table as one without labels whose columns are aligned to the model's.  The
+    holdout rows are those of the last 15 % of the time; they come without an id, which is their place in time."""
+    e = _time_split(spark, sf)
+    m = ml.fit(e, TIME_FEATS, ml.gbt_time("is_fraudulent", rounds), row_id="transaction_id")
+    holdout = e.where(F.col("split") == "test").select("transaction_ts", *TIME_FEATS)
+    return _predict(m, scoring.with_row_ids(holdout, "transaction_id", ["transaction_ts", *TIME_FEATS]), TIME_FEATS,
+                    keep=("transaction_id",))
 
 
 def _baseline(spark, sf, frame, estimator, weights=None):
-    """Fit on the train rows of a baseline's own frame, score its test rows."""
+    """Fit on the train rows of a baseline's own frame, score its test rows; boosted models weigh for themselves."""
     rows, feats = frame(fx.transactions_orders(spark, sf))
     rows = materialize(rows)
     train = rows.where(F.col("split") == "train")
@@ -307,7 +330,7 @@ def q_fit_gbt_simple(spark, sf, rounds=200):
 
 @register("fit_gbt_engineered")
 def q_fit_gbt_engineered(spark, sf, rounds=400):
-    return _baseline(spark, sf, baselines.engineered, lambda _t: ml.gbt_engineered("is_fraudulent", rounds), "scale_pos")
+    return _baseline(spark, sf, baselines.engineered, lambda _t: ml.gbt_engineered("is_fraudulent", rounds))
 
 
 @register("fit_random_forest")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -120,3 +123,24 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_folder(spark, "table") + "/data"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: a zip of it in the shared folder, added once to the application."""
+    sc, root = spark.sparkContext, Path(__file__).parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    _SHIPPED.add(sc.applicationId)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    path = f"{scratch_folder(spark, 'package')}/{root.name}.zip"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).create(hadoop)
+    out.write(data.getvalue())
+    out.close()
+    sc.addPyFile(path)

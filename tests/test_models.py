@@ -18,11 +18,17 @@ def test_gbt_time_model_and_holdout(spark):
     a = q_ml.q_fit_boosted_time(spark, SF_SMALL, rounds=5)
     assert _probs_ok(a)
     h = q_ml.q_holdout_predict(spark, SF_SMALL, rounds=5)
-    # the scored rows are the last 15 % by time, none of them fitted on
-    ids = {r[0] for r in a.select("transaction_id").collect()}
-    assert {r[0] for r in h.select("transaction_id").collect()} == ids
     n = fx.table(spark, SF_SMALL, "events").count()
-    assert h.count() == n - int(n * 0.85)
+    assert a.count() == h.count() == n - int(n * 0.85)
+    # the holdout rows had no id: theirs is their place
+    assert sorted(r[0] for r in h.select("transaction_id").collect()) == list(range(h.count()))
+
+
+def test_ids_are_kept_or_generated(spark):
+    rows = spark.createDataFrame([(3.0, 9), (1.0, 7), (2.0, None)], "x double, id long")
+    assert scoring.with_row_ids(rows, "ID", ["x"]) is rows
+    made = scoring.with_row_ids(rows.drop("id"), "id", ["x"]).collect()
+    assert sorted((r.x, r.id) for r in made) == [(1.0, 0), (2.0, 1), (3.0, 2)]
 
 
 def test_baselines_on_their_own_features(spark):
@@ -39,14 +45,14 @@ def test_baselines_on_their_own_features(spark):
 
 
 def test_estimators_have_the_stated_settings():
-    def of(est):
-        return (est.getMaxIter(), est.getStepSize(), est.getMaxDepth(), est.getMinInstancesPerNode(),
-                est.getSubsamplingRate(), est.getFeatureSubsetStrategy())
-    assert of(ml.gbt_a("y")) == (1200, 0.05, 7, 40, 0.9, "0.8")
-    assert of(ml.gbt_b("y")) == (900, 0.05, 7, 4, 0.9, "0.8")
-    assert of(ml.gbt_time("y")) == (800, 0.05, 7, 40, 0.8, "0.8")
-    assert of(ml.gbt_simple("y")) == (200, 0.1, 4, 1, 0.9, "0.9")
-    assert of(ml.gbt_engineered("y")) == (400, 0.05, 6, 1, 0.9, "0.9")
+    def of(s):
+        return (s.rounds, s.learning_rate, s.max_leaves, s.max_depth, s.min_rows, s.min_hessian, s.l1, s.l2, s.rows,
+                s.columns, s.positive_weight)
+    assert of(ml.gbt_a("y")) == (1200, 0.05, 96, 0, 40, 1e-3, 1.0, 3.0, 0.9, 0.8, False)
+    assert of(ml.gbt_b("y")) == (900, 0.05, 0, 7, 1, 4.0, 0.5, 3.0, 0.9, 0.8, True)
+    assert of(ml.gbt_time("y")) == (800, 0.05, 128, 0, 40, 1e-3, 1.0, 2.0, 0.8, 0.8, True)
+    assert of(ml.gbt_simple("y")) == (200, 0.1, 0, 4, 1, 1.0, 0.0, 1.0, 0.9, 0.9, False)
+    assert of(ml.gbt_engineered("y")) == (400, 0.05, 0, 6, 1, 1.0, 0.0, 1.0, 0.9, 0.9, True)
     assert (ml.random_forest("y").getNumTrees(), ml.random_forest("y").getMaxDepth()) == (300, 30)
     assert ml.logistic("y").getMaxIter() == 1000
 
@@ -81,13 +87,17 @@ def test_pad_trim(spark):
 
 
 def test_bundle_scores_alike_after_reload(spark):
-    small = {"rounds_a": 3, "rounds_b": 2, "depth_a": 3}
+    small = {"rounds_a": 3, "rounds_b": 2}
     out = q_ml.q_model_save_load(spark, SF_SMALL, **small)
     assert _probs_ok(out)
     a = {r.transaction_id: r.prob for r in q_ml.q_fit_boosted_a(spark, SF_SMALL, **small).collect()}
     b = {r.transaction_id: r.prob for r in q_ml.q_fit_boosted_b(spark, SF_SMALL, **small).collect()}
     assert all(abs(r.prob - 0.6 * a[r.transaction_id] - 0.4 * b[r.transaction_id]) < 1e-12 for r in out.collect())
     assert len(a) == len(b) == out.count()
+    curve = q_ml.q_validation_curve(spark, SF_SMALL, **small).collect()
+    assert sorted((r.model, r.round) for r in curve) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    gains = q_ml.q_feature_importance(spark, SF_SMALL, **small).where("splits > 0")
+    assert gains.where("gain <= 0").isEmpty() and not gains.isEmpty()
     meta = q_ml.q_feature_names_metadata(spark, SF_SMALL, **small).first()
     assert list(meta.weights) == [0.6, 0.4] and 0.1 <= meta.threshold <= 0.91 and "cust_total_txn" in meta.feature_names
     scored = q_ml.q_batch_score(spark, SF_SMALL, **small)
