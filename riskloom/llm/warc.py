@@ -360,7 +360,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def field(metadata: str, name: str):
     """Value of a warc-fields line of a capture's metadata, null where no record has it."""
     lines = F.flatten(F.transform(metadata, lambda m: F.split(F.coalesce(m["fields"], F.lit("")), "\r\n")))
-    hit = F.element_at(F.filter(lines, lambda x: x.startswith(f"{name}: ")), 1)
+    hit = F.get(F.filter(lines, lambda x: x.startswith(f"{name}: ")), 0)
     return F.substring(hit, len(name) + 3, 1 << 30)
 
 

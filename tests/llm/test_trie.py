@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+from llm_fixtures import small_dir  # noqa: F401
 from riskloom.llm import queries, trie
 
 TURN = "conv_id long, turn long, role string, text string, key string, part int, path string, n long"
@@ -70,8 +71,8 @@ def test_nulls_ties_and_empty(spark):
         [(1, [("u", "first"), ("", ""), ("", "")]), (2, [("u", "first")])])
     none = spark.createDataFrame([], TURN)
     assert trie.prefix_trie(trie.turn_lists(none)).collect() == []
-    lists = trie.turn_lists(none)
-    nulls = spark.createDataFrame([(3, None), (None, [("00" * 16, 1)])], lists.schema)
+    nulls = spark.createDataFrame([(3, None), (None, [("00" * 16, 1)])],
+                                  "conv_id long, turns array<struct<key:string,chars:long>>")
     assert [tuple(r)[:4] for r in trie.prefix_trie(nulls).collect()] == [(3, 0, None, 1)]
 
 
