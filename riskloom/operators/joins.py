@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import normalize_key, strip_ws
 from ..session import materialize
+from . import ranges as rg
+
+#: Rows of exploded ranges above which facts and ranges are merged.
+MERGE_BLOCKS = 2_000_000
 
 
 def written_side(side: DataFrame) -> DataFrame:
@@ -113,26 +117,42 @@ def ipv4_to_long(c: Column | str) -> Column:
 
 
 def ip_range_join(df: DataFrame, ip_col: str, ranges: DataFrame, lo: str = "ip_lo", hi: str = "ip_hi",
-                  prefix_bits: int = 16, how: str = "left") -> DataFrame:
-    """Range join ``lo <= ip <= hi`` rewritten as an equi-join.
-
-    Each range is exploded into the ``2^(32-prefix_bits)``-sized blocks it
-    overlaps, facts join on (block) and the residual predicate keeps exact
-    matches.  Ranges must not overlap (one match per IP), as in IP-to-country
-    databases; ranges that do are an error, not repeated facts.  The fact side is never replicated; the exploded dimension
-    is broadcast when its written size allows it.
+                  prefix_bits: int = 16, how: str = "left", strategy: str = "auto") -> DataFrame:
+    """Range join ``lo <= ip <= hi``; of nested or overlapping ranges the most specific one (``ranges.flatten_ranges``).
+
+    ``blocks``: every range is exploded into the ``2^(32-prefix_bits)``-sized blocks it overlaps, facts join on (block)
+    and the residual predicate keeps exact matches.  The fact side is never replicated; the exploded dimension is
+    broadcast when its written size allows it.  ``merge``: facts and ranges are sorted together and each fact takes the
+    last range before it.  ``auto`` merges above ``MERGE_BLOCKS`` exploded rows, where a broadcast would not do.
+    ``how`` is left or inner; a null ip matches nothing.
     """
     shift = 32 - prefix_bits
-    r = ranges.withColumn("__blk", F.explode(F.sequence(F.shiftright(F.col(lo), shift),
-                                                        F.shiftright(F.col(hi), shift))))
+
+    def exploded(r: DataFrame, start: str, stop: str) -> DataFrame:
+        return r.withColumn("__blk", F.explode(F.sequence(F.shiftright(F.col(start), shift),
+                                                          F.shiftright(F.col(stop), shift))))
+
+    own = ranges.where(F.col(lo) <= F.col(hi))
     before = Window.partitionBy("__blk").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("__end", F.max(hi).over(before)).withColumn(
-        "__blk", F.when(F.col("__end") >= F.col(lo), F.raise_error(F.lit("overlapping ranges")).cast("bigint"))
-        .otherwise(F.col("__blk"))).drop("__end")
-    r = written_side(r)
+    r = written_side(exploded(own, lo, hi).withColumn("__over", F.max(hi).over(before) >= F.col(lo)))
+    start, stop = lo, hi
+    if not r.where("__over").isEmpty():
+        start, stop = "__from", "__to"
+        own = written_side(rg.flatten_ranges(own, lo, hi, start, stop))
+        r = written_side(exploded(own, start, stop))
+    else:
+        r = r.drop("__over")
+    if strategy == "merge" or strategy == "auto" and r.count() > MERGE_BLOCKS:
+        keep = [c for c in dict.fromkeys([*ranges.columns, start, stop]) if c not in (start, stop)]
+        side = own.select(*keep, F.col(start).alias("__start"), F.col(stop).alias("__stop"))
+        met = rg.asof_join(df, ip_col, side, "__start", [*keep, "__stop"] + (["__start"] if start == lo else []))
+        hit = F.coalesce(F.col(ip_col) <= F.col("__stop"), F.lit(False))
+        back = {c: F.col(c) for c in keep} | ({lo: F.col("__start"), hi: F.col("__stop")} if start == lo else {})
+        met = met if how == "left" else met.where(hit)
+        return met.select(*df.columns, *[F.when(hit, back[c]).alias(c) for c in ranges.columns])
     facts = df.withColumn("__blk", F.shiftright(F.col(ip_col), shift))
-    cond = ((facts["__blk"] == r["__blk"]) & (facts[ip_col] >= r[lo]) & (facts[ip_col] <= r[hi]))
-    return facts.join(r, cond, how).drop(facts["__blk"]).drop(r["__blk"])
+    cond = ((facts["__blk"] == r["__blk"]) & (facts[ip_col] >= r[start]) & (facts[ip_col] <= r[stop]))
+    return facts.join(r, cond, how).drop(facts["__blk"]).drop(r["__blk"]).drop("__from", "__to")
 
 
 # ------------------------------------------------------------ countries

@@ -145,6 +145,52 @@ def q_ip_range_join(spark, sf):
     return finalize(g.select("transaction_id", "ip_address", "country", "lat", "lon"))
 
 
+NESTED_CTE = """
+nested AS (
+  SELECT ip_lo, ip_hi, country AS network FROM ip_ranges
+  UNION ALL SELECT ip_lo + 3 * 16777216, ip_lo + 6 * 16777216 - 1, country || '/net' FROM ip_ranges
+  UNION ALL SELECT ip_lo + 4 * 16777216, ip_lo + 4 * 16777216 + 1048575, country || '/net/sub' FROM ip_ranges
+  UNION ALL SELECT ip_lo + 5 * 16777216, ip_lo + 8 * 16777216 - 1, country || '/over' FROM ip_ranges)"""
+
+
+def nested_ranges(spark, sf):
+    """Each country's range with a network in it, a smaller network in that, and one that overlaps the network's end."""
+    r = fx.ip_ranges(spark, sf).select("ip_lo", "ip_hi", F.col("country").alias("network"))
+    block = 16_777_216
+
+    def part(begin, width, name):
+        return r.select((F.col("ip_lo") + begin).alias("ip_lo"), (F.col("ip_lo") + begin + width - 1).alias("ip_hi"),
+                        F.concat("network", F.lit(name)).alias("network"))
+    return r.unionByName(part(3 * block, 3 * block, "/net")).unionByName(
+        part(4 * block, 1 << 20, "/net/sub")).unionByName(part(5 * block, 3 * block, "/over"))
+
+
+def _nested_join(spark, sf, strategy):
+    e = fx.transactions_events(spark, sf).select("transaction_id", "ip_address")
+    e = e.withColumn("ip_number", jn.ipv4_to_long("ip_address"))
+    g = jn.ip_range_join(e, "ip_number", nested_ranges(spark, sf), strategy=strategy)
+    return finalize(g.select("transaction_id", "ip_lo", "ip_hi", "network"))
+
+
+NESTED_SQL = f"""
+WITH {TXN_E_CTE}, {RANGES_CTE}, {NESTED_CTE}
+SELECT t.transaction_id, r.ip_lo, r.ip_hi, r.network
+FROM txn_e t LEFT JOIN nested r ON t.ip_number BETWEEN r.ip_lo AND r.ip_hi
+QUALIFY row_number() OVER (PARTITION BY t.transaction_id ORDER BY r.ip_hi - r.ip_lo, r.ip_lo DESC) = 1"""
+
+
+@register("ip_range_join_nested", NESTED_SQL)
+def q_ip_range_join_nested(spark, sf):
+    """Overlapping ranges: the most specific one, by blocks."""
+    return _nested_join(spark, sf, "blocks")
+
+
+@register("ip_range_join_merged", NESTED_SQL)
+def q_ip_range_join_merged(spark, sf):
+    """The same by the as-of merge, which tables of ranges beyond a broadcast take."""
+    return _nested_join(spark, sf, "merge")
+
+
 @register("country_to_iso3", f"""
 WITH {TXN_E_CTE}, {RANGES_CTE}, {_country_values_sql()},
 g AS (SELECT t.transaction_id, CASE WHEN t.transaction_id % 7 = 0 THEN 'Unknown'

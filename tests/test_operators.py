@@ -62,13 +62,6 @@ def test_time_split_sizes(spark):
     assert counts == {"train": 700, "valid": 150, "test": 151}
 
 
-def test_ip_range_join_refuses_overlapping_ranges(spark):
-    facts = spark.createDataFrame([(1, 5)], "id int, ip long")
-    for ranges in ([(0, 10, "A"), (5, 20, "B")], [(0, 10, "A"), (0, 10, "A")], [(0, 300_000, "A"), (200_000, 200_001, "B")]):
-        with pytest.raises(Exception, match="overlapping ranges"):
-            joins.ip_range_join(facts, "ip", spark.createDataFrame(ranges, "ip_lo long, ip_hi long, country string")).collect()
-
-
 def test_stratified_split_exact_sizes_and_disjoint(spark):
     df = spark.createDataFrame([(i, 1 if i % 10 == 0 else 0) for i in range(2000)], "id long, y int")
     s = splits.stratified_split(df, "y", "id", 0.2, 0.25)
