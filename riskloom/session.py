@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -126,21 +128,24 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package: a zip of it in the shared folder, added once to the application."""
     sc, root = spark.sparkContext, Path(__file__).parent
-    if sc.applicationId in _SHIPPED or not root.is_dir():
-        return
-    _SHIPPED.add(sc.applicationId)
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for file in sorted(root.rglob("*.py")):
-            z.write(file, str(file.relative_to(root.parent)))
-    path = f"{scratch_folder(spark, 'package')}/{root.name}.zip"
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).create(hadoop)
-    out.write(data.getvalue())
-    out.close()
-    sc.addPyFile(path)
+    with _SHIPPING:
+        if sc.applicationId in _SHIPPED or not root.is_dir():
+            return
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, str(file.relative_to(root.parent)))
+        name = f"{root.name}-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}.zip"
+        path = f"{scratch_folder(spark, 'package')}/{name}"
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).create(hadoop)
+        out.write(data.getvalue())
+        out.close()
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)
