@@ -7,16 +7,13 @@ The folders go when the application ends (``deleteOnExit`` of the file system).
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 #: Words of the contracts: runs of anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,27 +38,6 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package: a zip of it in the shared folder, added once to the application."""
-    sc, root = spark.sparkContext, Path(__file__).parents[1]
-    if sc.applicationId in _SHIPPED or not root.is_dir():
-        return
-    _SHIPPED.add(sc.applicationId)
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for file in sorted(root.rglob("*.py")):
-            z.write(file, str(file.relative_to(root.parent)))
-    path = f"{shared_folder(spark, 'package')}/{root.name}.zip"
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).create(hadoop)
-    out.write(data.getvalue())
-    out.close()
-    sc.addPyFile(path)
-
-
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column, null as empty; workers that get it can import this package."""
     ship_package(df.sparkSession)
