@@ -2,13 +2,20 @@
 
 Lines are the pieces of a text between line feeds; blank ones, without a word
 of the contracts, take no part.  Other line ends are characters like any other.
-Equal lines share an id (the 64-bit hash of the line), so repeats cost one
-signature.  A line's signature is taken over all its hashed five-character
+Equal lines share an id (the 64-bit hash of the line), and each distinct line is
+signed once.  A line's signature is taken over all its hashed five-character
 shingles, whatever its length: the set whose similarity is verified.  The hash
 space has ``BANDS`` starting points, and a band is the ``ROWS`` smallest hashes
 from one of them on (around the end, at the last ones): ``ROWS`` minima of a
 MinHash each.
 
+Lines of few shingles have too few minima for that, so their bands are exact.
+Of two similar sets each has at least ``SIMILAR`` of its n hashes in common with
+the other, so the two smallest common ones are among the first
+n - ceil(SIMILAR n) + 2 of either; every two of those are a band.  Lines of up to
+``FEW`` shingles have such bands, lines of ``MANY`` and more those of minima; a
+set of more than ``FEW`` is similar to none of fewer than ``MANY``.
+
 Lines that share a band are candidates, and the exact Jaccard similarity of
 all their five-character shingles decides.  A bucket is not paired up: its
 members are first compared with its smallest member, and after a union-find
@@ -26,6 +33,7 @@ from .store import WORD, save, text_of
 
 SIMILAR, SHINGLE = 0.8, 5
 BANDS, ROWS = 12, 5
+FEW, MANY = 30, 25
 #: Bits of the filter that tells which lines must be read again: 2 MB, whatever the input.
 FILTER_BITS = 24
 
@@ -55,6 +63,7 @@ def _hashes(found: Column) -> Column:
 
 
 def _bands(hashes: Column, kind: int) -> Column:
+    """Bands of ``ROWS`` minima, for lines of ``MANY`` shingles and more."""
     def band(i: int) -> Column:
         start = F.expr(f"{-(1 << 63) + i * ((1 << 64) // BANDS)}L")
         after = F.filter(hashes, lambda h: h >= start) if i else hashes
@@ -62,9 +71,21 @@ def _bands(hashes: Column, kind: int) -> Column:
     return F.array(*map(band, range(BANDS)))
 
 
+def _exact_bands(hashes: Column) -> Column:
+    """Every two of the first n - ceil(SIMILAR n) + 2 hashes (a single one alone), for lines of up to ``FEW``."""
+    n = F.size(hashes)
+    first = F.slice(hashes, F.lit(1), n - F.ceil(n * F.lit(SIMILAR).cast("decimal(2,1)")).cast("int") + 2)
+    pairs = F.flatten(F.transform(first, lambda x, i: F.transform(
+        F.slice(first, i + 2, F.size(first)), lambda y: F.xxhash64(x, y, F.lit(100)))))
+    return F.when(n == 1, F.array(F.xxhash64(hashes[0], F.lit(100)))).otherwise(pairs)
+
+
 def signatures(rows: DataFrame) -> DataFrame:
-    """(id, bands) of each distinct line of ``rows(id, line)``."""
-    return rows.select("id", _hashes(_windows(F.col("line"))).alias("h")).select("id", _bands(F.col("h"), 0).alias("bands"))
+    """(id, bands) of each row of ``rows(id, line)``."""
+    n, none = F.size("h"), F.array().cast("array<long>")
+    h = F.col("h")
+    return rows.select("id", _hashes(_windows(F.col("line"))).alias("h")).select("id", F.concat(
+        F.when(n <= FEW, _exact_bands(h)).otherwise(none), F.when(n >= MANY, _bands(h, 0)).otherwise(none)).alias("bands"))
 
 
 def _filter_table(ids: DataFrame) -> DataFrame:
@@ -110,13 +131,13 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     rows = all_lines.where("not blank").select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("id"), "line")
     table = save(all_lines.select("doc_id", "text_key", "line_no", F.when(~F.col("blank"), F.xxhash64("line")).alias("id")),
                  "lines")
-    entries = save(signatures(rows.select("id", "line")).dropDuplicates(["id", "bands"]), "line-bands").select(
-        "id", F.explode("bands").alias("band"))
+    distinct = save(rows.select("id", "line").distinct(), "distinct-lines")
+    entries = save(signatures(distinct), "line-bands").select("id", F.explode("bands").alias("band"))
     buckets = save(entries.groupBy("band").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"),
                    "buckets")
     members = save(entries.join(buckets, "band"), "members")
     first = save(members.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
-    texts = save(_texts(rows.select("id", "line"), members.select("id").distinct()), "texts")
+    texts = save(_texts(distinct, members.select("id").distinct()), "texts")
     links = save(similar_pairs(first, texts), "links")
 
     roots = save(components(links), "roots")

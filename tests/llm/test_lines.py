@@ -171,3 +171,43 @@ def test_shingles_are_all_windows(spark):
 def test_empty(make_docs):
     assert lines.line_classes(make_docs([])).count() == 0
     assert lines.dedup_lines(make_docs([])).count() == 0
+
+
+def touched(rng, line, edits):
+    """``line`` with characters appended, prepended, put in, taken out or changed."""
+    for _ in range(edits):
+        at, c = rng.randrange(len(line) + 1), rng.choice("abcdefghij ")
+        line = rng.choice([line + c, c + line, line[:at] + c + line[at:], line[:at] + line[at + 1:],
+                           line[:at] + c + line[at + 1:]])
+    return line
+
+
+def test_recall_of_short_lines_by_length(spark):
+    """Every pair of similar lines shares a band up to FEW shingles; 0.99 of them up to 60 characters."""
+    rng = random.Random(12)
+    pairs = []
+    for length in range(1, 61):
+        made = 0
+        while made < 60:
+            a = "".join(rng.choice("abcdefghij ") for _ in range(length))
+            b = touched(rng, a, rng.randint(1, 2))
+            u, v = shingles(a), shingles(b)
+            if b and a != b and len(u & v) >= 0.8 * len(u | v):
+                pairs.append((a, b, max(len(u), len(v))))
+            made += 1
+    pairs += [("aaaaa", "a" * n, 1) for n in (6, 9, 40)] + [("abcdefgh", "abcdefghi", 5)]
+    ids = {x: i for i, x in enumerate(sorted({x for a, b, _ in pairs for x in (a, b)}))}
+    rows = spark.createDataFrame([(i, x) for x, i in ids.items()], "id long, line string")
+    bands = {r.id: set(r.bands) for r in lines.signatures(rows).collect()}
+    by_length = defaultdict(list)
+    for a, b, n in pairs:
+        by_length["few" if n <= lines.FEW else "many"].append(bool(bands[ids[a]] & bands[ids[b]]))
+    assert len(by_length["few"]) > 400 and all(by_length["few"])
+    assert len(by_length["many"]) > 400 and sum(by_length["many"]) >= 0.99 * len(by_length["many"])
+
+
+def test_short_lines_are_joined(make_docs):
+    rows = [(1, "abcdefgh\nabcdefghi"), (2, "aaaaa\naaaaaaaa\nzzzzz"), (3, "abcdefgh"), (4, "abcd\nabce\nabcde\nabcdef")]
+    expected, named, kept = compare(rows, result(lines.line_classes(make_docs(rows))))
+    assert named == expected and kept == len(expected)
+    assert frozenset({"abcdefgh", "abcdefghi"}) in named and frozenset({"aaaaa", "aaaaaaaa"}) in named
