@@ -1,5 +1,5 @@
 """Model fitting and scoring: boosted trees of ``boosting`` (one barrier job a
-model), forest and logistic regression of Spark ML.
+model), the forest of ``forest``, and logistic regression of Spark ML.
 
 Settings mirror the reference's: rounds, leaves, depth, minimum rows or hessian
 of a leaf, L1 / L2, row and column sampling, class weight.
@@ -10,24 +10,20 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import is_finite
-from . import boosting
-from .boosting import Boosting, BoostedModel
+from . import boosting, forest
+from .boosting import BoostedModel, Boosting
+from .forest import Forest, ForestModel
 
 SEED = 42
 
 
-def _w(weight_col: str | None) -> dict:
-    """weightCol only when given (MLlib rejects a None param value)."""
-    return {"weightCol": weight_col} if weight_col else {}
-
-
 # ------------------------------------------------------------ weights
 
 
@@ -104,10 +100,9 @@ def gbt_engineered(label: str, rounds: int = 400) -> Boosting:
                     label=label, seed=SEED)
 
 
-def random_forest(label: str, trees: int = 300, weight_col: str = "weight", max_depth: int = 30) -> RandomForestClassifier:
-    """300 trees, balanced class weights; depth capped at MLlib's 30."""
-    return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=max_depth,
-                                  seed=SEED, **_w(weight_col))
+def random_forest(label: str, trees: int = 300) -> Forest:
+    """300 trees grown until leaves are pure, balanced class weights."""
+    return Forest(trees, label=label, seed=SEED)
 
 
 def logistic(label: str, max_iter: int = 1000, c: float = 1.0, n_rows: int | None = None) -> LogisticRegression:
@@ -120,18 +115,20 @@ def logistic(label: str, max_iter: int = 1000, c: float = 1.0, n_rows: int | Non
 
 
 def fit(train: DataFrame, feature_cols: list[str], estimator, valid: DataFrame | None = None,
-        row_id: str | None = None) -> BoostedModel | PipelineModel:
-    """A boosted model for ``Boosting`` settings, else assembler + estimator as one PipelineModel (cleaning is a plain
-    projection applied when scoring).  ``valid`` and ``row_id`` are for boosted models."""
+        row_id: str | None = None) -> BoostedModel | ForestModel | PipelineModel:
+    """A boosted model or forest for ``Boosting`` or ``Forest`` settings, else assembler + estimator as one PipelineModel
+    (cleaning is a plain projection applied when scoring).  ``row_id`` is what the draws of trees go by."""
     if isinstance(estimator, Boosting):
         return boosting.fit(train, feature_cols, estimator, valid, row_id)
+    if isinstance(estimator, Forest):
+        return forest.fit(train, feature_cols, estimator, row_id)
     pipe = Pipeline(stages=[assembler(feature_cols), estimator])
     return pipe.fit(clean_numeric(train, feature_cols))
 
 
-def positive_probability(model: BoostedModel | PipelineModel, df: DataFrame, feature_cols: list[str],
+def positive_probability(model: BoostedModel | ForestModel | PipelineModel, df: DataFrame, feature_cols: list[str],
                          name: str = "prob") -> DataFrame:
-    if isinstance(model, BoostedModel):
+    if isinstance(model, (BoostedModel, ForestModel)):
         return model.probabilities(df, name)
     out = model.transform(clean_numeric(df, feature_cols))
     keep = [c for c in df.columns]

@@ -313,14 +313,12 @@ def q_holdout_predict(spark, sf, rounds=800):
                     keep=("transaction_id",))
 
 
-def _baseline(spark, sf, frame, estimator, weights=None):
-    """Fit on the train rows of a baseline's own frame, score its test rows; boosted models weigh for themselves."""
+def _baseline(spark, sf, frame, estimator):
+    """Fit on the train rows of a baseline's own frame, score its test rows; tree models weigh for themselves."""
     rows, feats = frame(fx.transactions_orders(spark, sf))
     rows = materialize(rows)
     train = rows.where(F.col("split") == "train")
-    if weights:
-        train = ml.with_weights(train, "is_fraudulent", mode=weights)
-    return _predict(ml.fit(train, feats, estimator(train)), rows.where(F.col("split") == "test"), feats)
+    return _predict(ml.fit(train, feats, estimator(train), row_id="transaction_id"), rows.where(F.col("split") == "test"), feats)
 
 
 @register("fit_gbt_simple")
@@ -335,7 +333,7 @@ def q_fit_gbt_engineered(spark, sf, rounds=400):
 
 @register("fit_random_forest")
 def q_fit_random_forest(spark, sf, trees=300):
-    return _baseline(spark, sf, baselines.simple, lambda _t: ml.random_forest("is_fraudulent", trees), "balanced")
+    return _baseline(spark, sf, baselines.simple, lambda _t: ml.random_forest("is_fraudulent", trees))
 
 
 @register("fit_logistic")

@@ -53,7 +53,8 @@ def test_estimators_have_the_stated_settings():
     assert of(ml.gbt_time("y")) == (800, 0.05, 128, 0, 40, 1e-3, 1.0, 2.0, 0.8, 0.8, True)
     assert of(ml.gbt_simple("y")) == (200, 0.1, 0, 4, 1, 1.0, 0.0, 1.0, 0.9, 0.9, False)
     assert of(ml.gbt_engineered("y")) == (400, 0.05, 0, 6, 1, 1.0, 0.0, 1.0, 0.9, 0.9, True)
-    assert (ml.random_forest("y").getNumTrees(), ml.random_forest("y").getMaxDepth()) == (300, 30)
+    f = ml.random_forest("y")
+    assert (f.trees, f.columns, f.balanced) == (300, 0, True)
     assert ml.logistic("y").getMaxIter() == 1000
 
 
@@ -128,12 +129,23 @@ def test_streaming_model_score_equals_batch(spark):
 
 def test_models_with_summary_score_after_written_side(spark):
     # regression: session-level state left by helper jobs must not make
-    # models that keep a training summary (LR, RF) unserializable
+    # models that keep a training summary (LR) unserializable
     from riskloom.operators.joins import written_side
     written_side(spark.range(5)).count()
     t = fx.transactions_events(spark, SF_SMALL).withColumn("h", F.col("transaction_hour").cast("double"))
     feats = ["transaction_amount", "h"]
-    for est in (ml.logistic("is_fraudulent", 20), ml.random_forest("is_fraudulent", trees=3, weight_col=None,
-                                                                   max_depth=3)):
-        m = ml.fit(t, feats, est)
-        assert _probs_ok(ml.positive_probability(m, t, feats))
+    m = ml.fit(t, feats, ml.logistic("is_fraudulent", 20))
+    assert _probs_ok(ml.positive_probability(m, t, feats))
+
+
+def test_logistic_meets_its_first_order_condition(spark):
+    # at the minimum of summed log loss + |w|^2 / 2 the gradient is zero, and the intercept is not penalised
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 0.5 * x[:, 1] + 0.3)))).astype(int)
+    t = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
+    m = ml.fit(t, ["a", "b"], ml.logistic("y", n_rows=400)).stages[-1]
+    w, b = m.coefficients.toArray(), m.intercept
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y) + w).max() < 0.05 and abs((p - y).sum()) < 0.05
