@@ -9,6 +9,7 @@ from ..functions import features as ff
 from ..operators import encoders as enc
 from ..operators import splits as sp
 from ..operators import windows as win
+from ..sources import files
 from ..sources import fixtures as fx
 from .common import TXN_E_CTE, TXN_O_CTE, finalize, md5_bucket_sql, md5_unit_sql, register
 
@@ -115,6 +116,21 @@ def q_velocity_1d(spark, sf):
     return finalize(out.select("transaction_id", "tx_count_1d", "amount_sum_1d", "amount_mean_1d"), digits=8)
 
 
+@register("stream_velocity_1d", _velocity_sql(win.DAY_US, "1d"))
+def q_stream_velocity_1d(spark, sf):
+    """The same on a stream: events staged in order of time as four sets of files, read in micro-batches with state."""
+    from ..streaming.velocity import velocity_once
+    e = fx.transactions_events(spark, sf).select("transaction_id", "customer_id", "transaction_ts", "transaction_amount")
+    quarter = e.agg(*[F.percentile_approx("transaction_ts", q / 4).alias(f"q{q}") for q in (1, 2, 3)]).first()
+    src = files.scratch_path(spark, "velocity-events")
+    for low, high in zip((None, *quarter), (*quarter, None), strict=True):  # files are read oldest first, a set at a time
+        part = e if low is None else e.where(F.col("transaction_ts") > low)
+        part = part if high is None else part.where(F.col("transaction_ts") <= high)
+        part.repartition(8).write.mode("append").parquet(src)
+    out = velocity_once(spark, src, e.schema, max_files_per_trigger=8)
+    return finalize(out.select("transaction_id", "tx_count_1d", "amount_sum_1d", "amount_mean_1d"), digits=8)
+
+
 @register("velocity_7d", _velocity_sql(7 * win.DAY_US, "7d"))
 def q_velocity_7d(spark, sf):
     out = win.velocity(fx.transactions_events(spark, sf), window_us=7 * win.DAY_US, suffix="7d")
