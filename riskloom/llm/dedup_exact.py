@@ -226,13 +226,12 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; one of each group of equal texts."""
     groups = save(exact_groups(docs, text, doc_id).select("doc_id", "kept", "text_sha256"), "exact")
-    at = (docs[doc_id].cast("long").eqNullSafe(F.col("__id"))
-          & (F.sha2(text_of(docs, text), 256) == F.col("__sha")))
     lost = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    stay = docs.join(lost.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")),
-                     at, "left_anti")
+    gone = lost.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    stay = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["__id"])
+                     & (F.sha2(text_of(docs, text), 256) == gone["__sha"]), "left_anti")
     if lost.where("kept and n > 1").isEmpty():
         return stay
     # the same row repeated: its id and text are equal, so one of them is any of them
-    sha = "__sha_of_row"
+    sha = max((c for c in docs.columns), key=len) + "_sha"  # no column's name
     return stay.withColumn(sha, F.sha2(text_of(stay, text), 256)).dropDuplicates([doc_id, sha]).drop(sha)

@@ -161,12 +161,13 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with the lines that are not kept taken out of each text; all columns and rows stay."""
+    """``docs`` with the lines that are not kept taken out of each text; all columns, whatever their names, and all rows
+    stay.  Null and empty texts stay as they are; repeated rows lose the same lines."""
     lost = line_classes(docs, text, doc_id).where("not kept").groupBy(
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
         F.collect_set("line_no").alias("__lost"))  # lines of one document
     body = text_of(docs, text)
-    kept = F.array_join(F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains("__lost", i)), "\n")
-    return docs.join(lost, docs[doc_id].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__key")),
-                     "left").withColumn(text, F.when(F.col("__lost").isNull(), docs[text]).otherwise(kept)).drop(
-        "__id", "__key", "__lost")
+    kept = F.array_join(F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains(lost["__lost"], i)), "\n")
+    left = F.when(lost["__lost"].isNull(), docs[text]).otherwise(kept)
+    return docs.join(lost, docs[doc_id].cast("long").eqNullSafe(lost["__id"]) & (F.xxhash64(body) == lost["__key"]),
+                     "left").select(*(left.alias(c) if c.lower() == text.lower() else docs[f"`{c}`"] for c in docs.columns))

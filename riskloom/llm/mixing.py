@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import WORD, partitions, save, text_of
@@ -105,10 +105,10 @@ def _block():
     return F.pmod(F.xxhash64("__key", F.lit("block")), F.col("blocks")).cast("int")
 
 
-def _keyed(docs: DataFrame, seed: int, text: str, doc_id: str, source: str) -> DataFrame:
+def _keyed(docs: DataFrame, seed: int, text: str, doc_id: str, source: str, *more: Column) -> DataFrame:
     doc = docs[doc_id].cast("long")
-    return docs.withColumns({"__id": doc, "__source": docs[source].cast("string"),
-                             "__key": F.xxhash64(doc, text_of(docs, text), F.lit(seed))})
+    return docs.select(doc.alias("__id"), docs[source].cast("string").alias("__source"),
+                       F.xxhash64(doc, text_of(docs, text), F.lit(seed)).alias("__key"), *more)
 
 
 def mix_plan(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2,
@@ -121,9 +121,8 @@ def mix_plan(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1
     """
     spark = docs.sparkSession
     shards = shards or partitions(spark)
-    rows = save(_keyed(docs, seed, text, doc_id, source).select(
-        "__id", "__source", "__key", F.regexp_count(text_of(docs, text), F.lit(WORD)).cast("long").alias("size")),
-        "sizes")
+    rows = save(_keyed(docs, seed, text, doc_id, source, F.regexp_count(
+        text_of(docs, text), F.lit(WORD)).cast("long").alias("size")), "sizes")
     found = rows.groupBy("__source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     if not found:
         return None
@@ -221,13 +220,17 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, shards: int | None = None, seed: int = 42, text: str = "text", doc_id: str = "doc_id",
         source: str = "source", **options) -> DataFrame:
-    """The mixed rows: all columns of ``docs``, a row per copy taken; a partition per output shard, shuffled inside."""
+    """The mixed rows: all columns of ``docs``, a row per copy taken; a partition per output shard, shuffled inside.
+
+    Columns may have any names: they travel as one struct.  Nulls, empty texts and repeated rows are those of
+    ``mix_plan``; documents without words are never taken, and an empty table comes back as it is.
+    """
     shards = shards or partitions(docs.sparkSession)
     plan = mix_plan(docs, shards=shards, seed=seed, text=text, doc_id=doc_id, source=source, **options)
     if plan is None:
         return docs
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = plan.assign(_keyed(docs, seed, text, doc_id, source).select(
-        *names, "__id", "__source", "__key")).select(*names, "__key", F.posexplode("shards").alias("__no", "__shard"))
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    rows = plan.assign(_keyed(docs, seed, text, doc_id, source, row)).select(
+        "row", "__key", F.posexplode("shards").alias("__no", "__shard"))
     return (rows.repartitionById(shards, F.col("__shard"))
-            .sortWithinPartitions(F.xxhash64("__key", "__no", F.lit(seed))).select(*names))
+            .sortWithinPartitions(F.xxhash64("__key", "__no", F.lit(seed))).select("row.*"))

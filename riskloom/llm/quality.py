@@ -241,8 +241,9 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", doc_
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the scorer keeps, all columns, without a shuffle."""
-    place = docs.columns.index(text)
+    """The rows of ``docs`` that the scorer keeps, all columns, without a shuffle.  Null text counts as empty, and empty
+    texts are kept; repeated rows fare alike."""
+    place = [c.lower() for c in docs.columns].index(text.lower())
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

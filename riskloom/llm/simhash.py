@@ -237,4 +237,4 @@ def near_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed: int =
     groups = near_groups(docs, shingle, max_bits, seed, text, doc_id)
     lost = save(groups.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("component_id")).alias("least"))
                 .where("least < __id").select("__id"), "near")
-    return docs.join(lost, docs[doc_id].cast("long") == F.col("__id"), "left_anti")
+    return docs.join(lost, docs[doc_id].cast("long") == lost["__id"], "left_anti")
