@@ -57,6 +57,14 @@ def dedup_keep_first(df: DataFrame, key: str, order_cols: list[str]) -> DataFram
     return best.select("__row.*")
 
 
+def dedup_report(df: DataFrame, key: str) -> DataFrame:
+    """One row: rows, rows kept by ``dedup_keep_first`` and rows dropped.  Null keys are one key."""
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows = F.coalesce(F.sum("n"), F.lit(0))
+    return per_key.agg(rows.alias("n_rows"), F.count(F.lit(1)).alias("n_kept"),
+                       (rows - F.count(F.lit(1))).alias("n_dropped"))
+
+
 def coverage_report(df: DataFrame, value: str, key: str) -> DataFrame:
     """rows, valid numeric values, distinct keys, duplicate rows (by key)."""
     dist = df.select(key).distinct().agg(F.count(F.lit(1)).alias("n_distinct_keys"))

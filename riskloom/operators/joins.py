@@ -184,7 +184,35 @@ COUNTRY_ALIASES = {
     "congo": "COG",
     "cape verde": "CPV",
     "swaziland": "SWZ",
+    "united states": "USA",
+    "united kingdom of great britain and northern ireland": "GBR",
+    "democratic republic of the congo": "COD",
+    "congo, the democratic republic of the": "COD",
+    "democratic people's republic of korea": "PRK",
+    "korea, democratic people's republic of": "PRK",
+    "republic of china": "TWN",
+    "taiwan, province of china": "TWN",
+    "french republic": "FRA",
+    "italian republic": "ITA",
+    "hellenic republic": "GRC",
+    "portuguese republic": "PRT",
+    "slovak republic": "SVK",
+    "kyrgyz republic": "KGZ",
+    "argentine republic": "ARG",
+    "gabonese republic": "GAB",
+    "togolese republic": "TGO",
+    "lebanese republic": "LBN",
+    "swiss confederation": "CHE",
+    "united mexican states": "MEX",
+    "micronesia, federated states of": "FSM",
+    "republic of the union of myanmar": "MMR",
+    "republic of moldova": "MDA",
+    "holy see (vatican city state)": "VAT",
+    "state of palestine": "PSE",
 }
+# Official names are a form of state and the name: "Kingdom of Spain", "Arab Republic of Egypt".
+OFFICIAL = (r"^(the )?([a-z'\- ]+ )?(republic|kingdom|states?|duchy|principality|commonwealth|sultanate|union|federation) of "
+            r"(the )?")
 # Names that mean "no country".
 NO_COUNTRY = ["unknown", "local network", "nan", ""]
 
@@ -209,10 +237,25 @@ def country_dimension(spark) -> DataFrame:
     return spark.createDataFrame(sorted(country_names(spark).items()), "name_lower string, iso3 string")
 
 
-def country_to_iso3(df: DataFrame, col: str, out: str = "iso3") -> DataFrame:
-    """Country name -> ISO3 (null for unknown / local / empty names)."""
-    dim = F.broadcast(country_dimension(df.sparkSession))  # three names for each ISO country
+def country_to_iso3(df: DataFrame, col: str, out: str = "iso3", names: DataFrame | None = None) -> DataFrame:
+    """Country name, official name or code -> ISO3 (null for unknown / local / empty names).
+
+    A value is looked up as it is, then without the form of state before the name.  ``names`` (name, iso3) adds further
+    keys, such as numeric codes, which locale data do not hold; its own entries come first.
+    """
+    spark = df.sparkSession
+    dim = country_dimension(spark)  # three names for each ISO country
+    if names is not None:
+        extra = names.select(normalize_key("name", null_token=None).alias("name_lower"), "iso3").groupBy("name_lower").agg(
+            F.min("iso3").alias("iso3"))
+        dim = written_side(extra.unionByName(dim.join(extra, "name_lower", "left_anti")))
+    else:
+        dim = F.broadcast(dim)
     low = normalize_key(col, null_token=None)
-    keyed = df.withColumn("__nl", F.when(~low.isin(NO_COUNTRY), low))
-    j = keyed.join(dim, keyed["__nl"] == dim["name_lower"], "left")
-    return j.drop("__nl", "name_lower").withColumnRenamed("iso3", out)
+    keyed = df.withColumn("__nl", F.when(~low.isin(NO_COUNTRY), low)).withColumn(
+        "__short", F.regexp_replace("__nl", OFFICIAL, ""))
+    short = dim.select(F.col("name_lower").alias("__name"), F.col("iso3").alias("__iso3"))
+    j = keyed.join(dim, keyed["__nl"] == dim["name_lower"], "left").join(
+        short, F.when(dim["iso3"].isNull(), F.col("__short")) == F.col("__name"), "left")
+    return j.withColumn("__found", F.coalesce(dim["iso3"], F.col("__iso3"))).drop(
+        "__nl", "__short", "__name", "__iso3", "name_lower").drop(dim["iso3"]).withColumnRenamed("__found", out)

@@ -356,6 +356,14 @@ def q_dedup_keep_first(spark, sf):
     return finalize(clean.dedup_keep_first(li, "l_orderkey", ["l_shipdate", "l_linenumber"]))
 
 
+@register("dedup_dropped", """
+SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_kept, count(*) - count(DISTINCT l_orderkey) AS n_dropped
+FROM lineitem""")
+def q_dedup_dropped(spark, sf):
+    """How many rows ``dedup_keep_first`` drops."""
+    return finalize(clean.dedup_report(fx.table(spark, sf, "lineitem"), "l_orderkey"))
+
+
 @register("coverage_report", """
 SELECT count(*) AS n_rows, count(TRY_CAST(l_quantity AS DOUBLE)) AS n_valid_numeric,
        count(DISTINCT l_orderkey) AS n_distinct_keys, count(*) - count(DISTINCT l_orderkey) AS n_duplicates

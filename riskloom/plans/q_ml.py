@@ -233,15 +233,6 @@ def _predict(model, df, feats, keep=("transaction_id", "is_fraudulent")):
     return ml.positive_probability(model, df.select(*keep, *feats), feats).select(*keep, "prob")
 
 
-@register("assemble_features")
-def q_assemble_features(spark, sf):
-    from .feature_job import build_features
-    from .training import feature_columns
-    f = build_features(spark, sf)
-    cols = feature_columns(f, "is_fraudulent")
-    return ml.assemble_features(f, cols).select("transaction_id", vector_to_array("features").alias("features"))
-
-
 def _bundle(spark, sf, **rounds):
     from .training import trained_bundle
     path = trained_bundle(spark, sf, **rounds)
@@ -467,3 +458,30 @@ def q_feature_job(spark, sf):
     from .feature_job import build_features
     f = build_features(spark, sf).withColumn("tx_date", F.date_format("tx_date", "yyyy-MM-dd"))
     return finalize(f, digits=8, exact=("amount_per_unit",))
+
+
+ASSEMBLED = ["transaction_amount", "quantity", "customer_age", "account_age_days", "transaction_hour", "hour_sin",
+             "hour_cos", "is_night", "is_weekend", "log_amount", "is_high_amount", "cust_txn_per_day", "cust_total_txn",
+             "cust_total_amt", "cust_avg_amt", "ip_txn_count", "device_txn_count", "account_age_bucket",
+             "customer_age_bucket", "cnt_txn_counterfeit_rate_pm", "cnt_prod_count_cat"]
+
+
+def _assembled_sql() -> str:
+    values = ", ".join(f"coalesce(CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END, 0.0)"
+                       for c in ASSEMBLED)
+    return f"""
+SELECT transaction_id, len(x) AS n_features,
+       array_to_string(list_transform(x, lambda v: CAST(round(v * 1e8) AS BIGINT)), ',') AS scaled
+FROM (SELECT transaction_id, [{values}] AS x FROM ({_feature_job_sql()}))"""
+
+
+@register("assemble_features", _assembled_sql())
+def q_assemble_features(spark, sf):
+    """The numeric features of the offline job as one vector a row, in a stated order, missing values 0; the vector is
+    shown in whole hundred-millionths, which engines write alike."""
+    from .feature_job import build_features
+    f = ml.assemble_features(build_features(spark, sf), ASSEMBLED).select(
+        "transaction_id", vector_to_array("features").alias("x"))
+    shown = F.transform("x", lambda v: F.round(v * F.lit(1e8)).cast("long").cast("string"))
+    return f.select("transaction_id", F.size("x").cast("long").alias("n_features"),
+                    F.array_join(shown, ",").alias("scaled"))

@@ -210,3 +210,22 @@ def test_exact_quantiles_with_missed_brackets(spark):
     assert np.allclose([got.a, got.b, got.c], np.quantile(values, [0.01, 0.5, 0.95]), rtol=0, atol=1e-12)
 
 
+def test_country_lookup_takes_official_names_and_given_codes(spark):
+    want = {"Kingdom of Spain": "ESP", "Arab Republic of Egypt": "EGY", "The Republic of the Congo": "COG",
+            "Democratic Republic of the Congo": "COD", "Federal Republic of Germany": "DEU", "French Republic": "FRA",
+            "People's Republic of China": "CHN", "Republic of Korea": "KOR", "Democratic People's Republic of Korea": "PRK",
+            "Grand Duchy of Luxembourg": "LUX", "United States of America": "USA", "United Kingdom": "GBR",
+            "Plurinational State of Bolivia": "BOL", " spain ": "ESP", "de": "DEU", "Isle of Man": "IMN",
+            "Republic of Nowhere": None, "unknown": None, "": None, None: None, "724": None}
+    df = spark.createDataFrame([(k,) for k in want], "c string")
+    assert {r.c: r.iso3 for r in joins.country_to_iso3(df, "c").collect()} == want
+    codes = spark.createDataFrame([("724", "ESP"), ("UK", "XXX")], "name string, iso3 string")
+    got = {r.c: r.code for r in joins.country_to_iso3(df, "c", "code", codes).collect()}
+    assert got == {**want, "724": "ESP"}
+
+
+def test_dedup_report(spark):
+    from riskloom.operators import clean
+    df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "k int")
+    assert tuple(clean.dedup_report(df, "k").first()) == (5, 3, 2)
+    assert tuple(clean.dedup_report(df.limit(0), "k").first()) == (0, 0, 0)
