@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (chat, dedup_exact, lines, mixing, packing, quality, search, simhash, token_counts, trie, vector_codes,
                warc, wavelet)
-from .store import shared_folder
+from .store import save, shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,7 +86,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(_read(spark, sf_dir, "pages"), shared_folder(spark, "warc") + "/files")
-    return warc.capture_index(warc.assemble(warc.read_records(files, with_payload=False)))
+    # the three sides of a capture come from one reading of the archives
+    records = save(warc.read_records(files, with_payload=False), "warc-records")
+    return warc.capture_index(warc.assemble(records))
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
