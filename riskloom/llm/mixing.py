@@ -223,7 +223,7 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = 42, text: str =
     """The mixed rows: all columns of ``docs``, a row per copy taken; a partition per output shard, shuffled inside.
 
     Columns may have any names: they travel as one struct.  Nulls, empty texts and repeated rows are those of
-    ``mix_plan``; documents without words are never taken, and an empty table comes back as it is.
+    ``mix_plan``; documents without words come along with their block, and an empty table comes back as it is.
     """
     shards = shards or partitions(docs.sparkSession)
     plan = mix_plan(docs, shards=shards, seed=seed, text=text, doc_id=doc_id, source=source, **options)

@@ -110,6 +110,30 @@ def geo_centre(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return df.agg(F.avg(lat).alias("centre_lat"), F.avg(lon).alias("centre_lon"))
 
 
+def quadkey(lat: str, lon: str, zoom: int) -> Column:
+    """Key of the web-map tile of a point, a digit 0-3 per zoom level; a tile's key starts with that of the tile it lies
+    in.  Latitudes beyond the map's edge lie in its outermost tiles, longitudes beyond 180 wrap around."""
+    n = 1 << zoom
+    rad = F.radians(F.greatest(F.least(F.col(lat).cast("double"), F.lit(85.05112878)), F.lit(-85.05112878)))
+    x = F.pmod(F.floor((F.col(lon).cast("double") + 180.0) / 360.0 * n), F.lit(n)).cast("int")
+    y = F.floor((1.0 - F.log(F.tan(rad) + 1.0 / F.cos(rad)) / math.pi) / 2.0 * n)
+    y = F.greatest(F.least(y, F.lit(n - 1)), F.lit(0)).cast("int")
+    digits = [F.shiftright(x, i).bitwiseAND(1) + 2 * F.shiftright(y, i).bitwiseAND(1) for i in range(zoom - 1, -1, -1)]
+    return F.concat(*[d.cast("string") for d in digits])
+
+
+def geo_heat_pyramid(df: DataFrame, lat: str = "lat", lon: str = "lon", zoom: int = 12) -> DataFrame:
+    """Counts and mean position per map tile at every zoom level from 0 to ``zoom``: the rows are counted once, per tile of
+    the finest level; coarser levels add up the counts of the tiles whose key starts with theirs."""
+    points = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    finest = points.groupBy(quadkey(lat, lon, zoom).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(lat).alias("lat_sum"), F.sum(lon).alias("lon_sum"))
+    levels = finest.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(zoom))))
+    return levels.groupBy("zoom", F.substr("key", F.lit(1), F.col("zoom")).alias("quadkey")).agg(
+        F.sum("n").alias("count"), (F.sum("lat_sum") / F.sum("n")).alias("mean_lat"),
+        (F.sum("lon_sum") / F.sum("n")).alias("mean_lon"))
+
+
 # ------------------------------------------------------------ time series
 
 # Weekday names in matrix row order.

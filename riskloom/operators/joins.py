@@ -61,6 +61,14 @@ def cross_join_scalar(df: DataFrame, scalar_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalar_row))
 
 
+def write_colocated(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
+    """Store ``df`` as table ``name`` in ``buckets`` sorted buckets of ``key``, one file each.  Tables of the same number of
+    buckets join on the key without moving a row, however often."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option(
+        "path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def left_join_identity(txn: DataFrame, identity: DataFrame, key: str = "TransactionID") -> DataFrame:
     """Transactions LEFT JOIN identity; every transaction kept.  Both sides
     are large, so the planner picks the strategy (SMJ / AQE broadcast)."""

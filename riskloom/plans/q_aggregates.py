@@ -199,6 +199,22 @@ def q_geo_heat_centre(spark, sf):
     return finalize(agg.geo_centre(g))
 
 
+@register("geo_heat_pyramid", f"""
+WITH {TXN_E_CTE}, {RANGES_CTE},
+geo AS (SELECT r.lat, r.lon FROM txn_e t JOIN ip_ranges r ON t.ip_number BETWEEN r.ip_lo AND r.ip_hi
+        WHERE t.is_fraudulent = 1),
+tiles AS (SELECT z.zoom, lat, lon, CAST(floor((lon + 180.0) / 360.0 * pow(2, z.zoom)) AS BIGINT) AS x,
+                 CAST(floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * pow(2, z.zoom)) AS BIGINT)
+                   AS y FROM geo, range(13) z(zoom))
+SELECT zoom, array_to_string(list_transform(range(1, zoom + 1), lambda i:
+           ((x >> (zoom - i)) & 1) + 2 * ((y >> (zoom - i)) & 1)), '') AS quadkey,
+       count(*) AS count, round(avg(lat), 6) AS mean_lat, round(avg(lon), 6) AS mean_lon
+FROM tiles GROUP BY zoom, x, y""")
+def q_geo_heat_pyramid(spark, sf):
+    g = events_with_geo(spark, sf).where(F.col("is_fraudulent") == 1)
+    return finalize(agg.geo_heat_pyramid(g))
+
+
 # ------------------------------------------------------------ 2.5 #55-#56, #73 time
 
 
@@ -239,6 +255,21 @@ def q_daily_fraud_series(spark, sf):
     return finalize(agg.daily_series(fx.transactions_events(spark, sf), "transaction_ts"))
 
 
+@register("stream_daily_series", DAILY_SQL + """
+SELECT day, transactions, frauds,
+       round(100.0 * frauds / CASE WHEN transactions = 0 THEN 1 ELSE transactions END, 6) AS fraud_rate
+FROM series""")
+def q_stream_daily_series(spark, sf):
+    """The same kept up to date by a stream over event files, late ones included."""
+    from ..sources import files
+    from ..streaming import daily
+    e = fx.transactions_events(spark, sf).select("transaction_id", "transaction_ts", "is_fraudulent")
+    src, folder, checkpoint = (files.scratch_path(spark, f"daily-{n}") for n in ("events", "deltas", "checkpoint"))
+    e.repartition(8).write.parquet(src)
+    daily.start_daily(spark, src, e.schema, folder, checkpoint, max_files_per_trigger=3).awaitTermination()
+    return finalize(daily.daily_series(spark, folder))
+
+
 @register("daily_ma7", DAILY_SQL + """
 SELECT day, transactions, frauds,
        round(100.0 * frauds / CASE WHEN transactions = 0 THEN 1 ELSE transactions END, 6) AS fraud_rate,

@@ -23,6 +23,21 @@ def q_left_join_identity(spark, sf):
     return finalize(jn.left_join_identity(t, i, "TransactionID"))
 
 
+@register("left_join_identity_colocated", """
+SELECT d.doc_id AS TransactionID, d.n_chars AS TransactionAmt, d.lang AS ProductCD, d.source AS card_type,
+       l.quality AS id_01, l.toxic AS id_02
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def q_left_join_identity_colocated(spark, sf):
+    """Both sides stored in buckets of the id first; the join itself moves nothing."""
+    from uuid import uuid4
+    from ..sources import files
+    t, i = fx.identity_tables(spark, sf)
+    n, tag = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid4().hex
+    t, i = (jn.write_colocated(df, f"{name}_{tag}", "TransactionID", n, files.scratch_path(spark, name))
+            for df, name in ((t, "transactions"), (i, "identity")))
+    return finalize(jn.left_join_identity(t, i.hint("merge"), "TransactionID"))
+
+
 @register("match_coverage_semi", """
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_matched,
        round(100.0 * count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) / count(*), 6) AS pct_matched
@@ -273,3 +288,15 @@ def q_sink_json_lookup(spark, sf):
     path = files.scratch_path(spark, "ip-cache-json")
     files.sink_json(jn.merge_cache(cache, resolved, "ip"), path)
     return files.scan_json_lookup(spark, path, "ip string, country string")
+
+
+@register("sink_versioned_lookup", CACHE_SQL + """
+SELECT ip, max(country) AS country FROM cache GROUP BY ip""")
+def q_sink_versioned_lookup(spark, sf):
+    """The lookup cache in two versions: first without countries, then whole; readers see the last one published."""
+    from ..sources import files, versions
+    root = files.scratch_path(spark, "versions")
+    cache = ip_cache(spark, sf).groupBy("ip").agg(F.max("country").alias("country"))
+    versions.write_version(cache.withColumn("country", F.lit(None).cast("string")), root)
+    versions.write_version(cache, root)
+    return versions.read_version(spark, root, cache.schema)
