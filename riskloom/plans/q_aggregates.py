@@ -388,6 +388,23 @@ def q_global_quantile(spark, sf):
                     money=("q95", "q50"))
 
 
+@register("kept_quantile", f"""
+WITH {TXN_O_CTE}
+SELECT round(quantile_cont(transaction_amount, 0.95), 4) AS q95,
+       round(quantile_cont(transaction_amount, 0.5), 4) AS q50 FROM txn_o""")
+def q_kept_quantile(spark, sf):
+    """The same values from the sketches and sorted files kept per year; the last year is added afterwards."""
+    from ..operators import kept_quantiles as kq
+    from ..sources import files
+    t = fx.transactions_orders(spark, sf).select(F.year("transaction_date").alias("year"), "transaction_amount")
+    folder = files.scratch_path(spark, "kept-quantiles")
+    last = t.agg(F.max("year")).first()[0]
+    kq.keep(t.where(F.col("year") < last), folder, "year", "transaction_amount")
+    kq.keep(t.where(F.col("year") == last), folder, "year", "transaction_amount")
+    row = {name: kq.quantile(spark, folder, q) for name, q in (("q95", 0.95), ("q50", 0.5))}
+    return finalize(spark.createDataFrame([tuple(row.values())], "q95 double, q50 double"), money=("q95", "q50"))
+
+
 @register("group_quantile_flags", f"""
 WITH {LISTINGS_CTE},
 q AS (SELECT product_category, quantile_cont(product_price, 0.15) AS lo, quantile_cont(product_price, 0.85) AS hi
