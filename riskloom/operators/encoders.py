@@ -154,10 +154,17 @@ def encode_by_split(df: DataFrame, cols: list[str], label: str | None = None, id
     return out.drop("__g", "__fold")
 
 
+#: Columns of dummies that a table can reasonably have; ``one_hot_index`` is the form for any number of levels.
+MAX_LEVELS = 20_000
+
+
 def distinct_levels(df: DataFrame, col: str) -> list:
     """Distinct non-null levels, sorted.  They become column names, so they are
-    driver metadata; ``one_hot_index`` is the form without a column per level."""
-    return [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
+    driver metadata, of ``MAX_LEVELS`` entries at most; more are an error."""
+    rows = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"{col} has more than {MAX_LEVELS} levels: use one_hot_index")
+    return [r[0] for r in rows]
 
 
 def one_hot(df: DataFrame, cols: list[str], prefixes: list[str], levels: dict[str, list] | None = None) -> DataFrame:

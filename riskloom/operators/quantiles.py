@@ -80,6 +80,8 @@ def exact_quantile_specs(df: DataFrame, specs: list[tuple[str, float, str]], key
     src = df.select(*(keys or []), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)])
     if not keys:
         src = src.withColumn("__g", F.lit(0))
+    if src._jdf.queryExecution().optimizedPlan().collectLeaves().size() > 1:
+        src = materialize(src)  # what a join makes is computed once for both passes; a table is read twice
 
     def value(i):
         x = F.col(f"__x{cols.index(specs[i][0])}")

@@ -229,3 +229,15 @@ def test_dedup_report(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "k int")
     assert tuple(clean.dedup_report(df, "k").first()) == (5, 3, 2)
     assert tuple(clean.dedup_report(df.limit(0), "k").first()) == (0, 0, 0)
+
+
+def test_one_hot_levels_are_bounded(spark, monkeypatch):
+    from riskloom.operators import encoders
+    monkeypatch.setattr(encoders, "MAX_LEVELS", 3)
+    few = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "x string")
+    assert encoders.one_hot(few, ["x"], ["p"]).columns == ["p_a", "p_b", "p_c"]
+    many = few.unionByName(spark.createDataFrame([("d",)], "x string"))
+    with pytest.raises(ValueError, match="one_hot_index"):
+        encoders.one_hot(many, ["x"], ["p"])
+    codes = {r.x: r.x_code for r in encoders.one_hot_index(many, ["x"]).collect()}
+    assert codes == {"a": 0, "b": 1, "c": 2, "d": 3, None: None}
