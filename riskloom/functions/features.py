@@ -112,6 +112,7 @@ def price_deviation(price: ColumnOrName, original: ColumnOrName) -> Column:
     return F.try_divide(_col(price) - _col(original), _col(original))
 
 
+# Weights and scales of the two credibility scores.
 def seller_credibility(rating, response_rate, age_days, top_rated) -> Column:
     return ((_col(rating) / 5.0) * 0.3
             + (_col(response_rate) / 100.0) * 0.2
@@ -141,6 +142,7 @@ def risk_flags(discount="discount_percentage", seller_rating="seller_rating",
     }
 
 
+# Points per flag.
 def fraud_risk_score(high_discount, too_cheap, low_rating, new_seller, low_reviews,
                      risky_location, has_return_policy, is_verified, is_official) -> Column:
     def i(c):
