@@ -3,8 +3,9 @@
 The state of an entity is its events of the last window, collapsed per time and
 kept by slice with the slice's totals, and the values at its last two times.  A
 new time costs the totals of the whole slices in its window and the events of
-the two slices at its ends.  A timer per slice drops it once the watermark has
-passed it by a window.  State lives in the store of the query (RocksDB), on disk
+the two slices at its ends.  A micro-batch reads and writes an entity's state
+once.  Slices behind the last window go with it, and a timer per entity drops the
+others once the watermark has passed them by a window.  State lives in the store of the query (RocksDB), on disk
 and checkpointed, so a restart goes on where the last commit was.
 
 Rows of an entity must not arrive before rows of later micro-batches that are
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,64 +46,86 @@ class Velocity(StatefulProcessor):
         self.events = handle.getMapState("events", "slice long", "us array<long>, n array<long>, s array<double>")
         self.last = handle.getValueState("last", "us long, n long, s double, before_n long, before_s double")
 
-    def _add(self, us: int, n: int, s: float) -> None:
-        k = us // self.width
-        if not self.totals.containsKey((k,)):
-            self.totals.updateValue((k,), (n, s))
-            self.events.updateValue((k,), ([us], [n], [s]))
-            # past the watermark by a window (and the slice itself), no later row can need it
-            self.handle.registerTimer((k + self.slices + 1) * self.width // 1000 + 1)
-            return
-        total, (times, ns, ss) = self.totals.getValue((k,)), self.events.getValue((k,))
-        times, ns, ss = list(times), list(ns), list(ss)
-        if us in times:  # the same time in an earlier micro-batch
-            at = times.index(us)
-            ns[at], ss[at] = ns[at] + n, ss[at] + s
-        else:
-            times, ns, ss = times + [us], ns + [n], ss + [s]
-        self.totals.updateValue((k,), (total[0] + n, total[1] + s))
-        self.events.updateValue((k,), (times, ns, ss))
+    def _expiry(self, k: int) -> int:
+        """Past the watermark by a window (and the slice itself), no later row can need slice ``k``."""
+        return (k + self.slices + 1) * self.width // 1000 + 1
+
+    def _held(self) -> tuple[dict[int, tuple[int, float]], dict[int, dict[int, tuple[int, float]]]]:
+        """(totals, events by time) of every slice the entity has: those of a window and of a micro-batch."""
+        totals = {k: (n, s) for (k,), (n, s) in self.totals.iterator()}
+        events = {k: {t: (n, s) for t, n, s in zip(*value, strict=True)} for (k,), value in self.events.iterator()}
+        return totals, events
 
-    def _window(self, us: int) -> tuple[int, float]:
+    def _window(self, us: int, totals: dict, events: dict) -> tuple[int, float]:
         """Count and sum over (us - window, us]."""
         n, s, own = 0, 0.0, us // self.width
         for k in range(own - self.slices, own + 1):
-            if not self.totals.containsKey((k,)):
+            if k not in totals:
                 continue
             if own - self.slices < k < own:
-                a, b = self.totals.getValue((k,))
+                a, b = totals[k]
                 n, s = n + a, s + b
                 continue
-            for t, a, b in zip(*self.events.getValue((k,)), strict=True):
+            for t, (a, b) in events[k].items():
                 if us - self.window < t <= us:
                     n, s = n + a, s + b
         return n, s
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("us", kind="stable")  # one entity's rows of a micro-batch
-        n, s = [], []
-        for us, own in batch.groupby("us", sort=True):
-            amounts = own["amount"].dropna()
-            last = self.last.get() if self.last.exists() else None
+        times, amounts = batch["us"].to_numpy(), batch["amount"].to_numpy(float)
+        # the state is read once and written once, whatever the number of rows
+        totals, events = self._held()
+        stored, touched = set(totals), set()
+        last = self.last.get() if self.last.exists() else None
+        n, s = np.empty(len(batch), np.int64), np.empty(len(batch))
+        ends = [*np.flatnonzero(np.diff(times)) + 1, len(times)]
+        for begin, end in zip([0, *ends], ends):
+            us, own = int(times[begin]), amounts[begin:end]
             if last is None:
                 before = (0, 0.0)
             elif us > last[0]:
                 before = (last[1], last[2])
             else:
                 before = (last[3], last[4])
-            self._add(int(us), len(amounts), float(amounts.sum()))
+            own = own[~np.isnan(own)]
+            count, amount, k = len(own), float(own.sum()), us // self.width
+            at = events.setdefault(k, {})
+            a, b = at.get(us, (0, 0.0))  # the same time may be in an earlier micro-batch
+            at[us] = (a + count, b + amount)
+            a, b = totals.get(k, (0, 0.0))
+            totals[k] = (a + count, b + amount)
+            touched.add(k)
             if last is None or us >= last[0]:
-                self.last.update((int(us), *self._window(int(us)), *before))
-            n += [before[0]] * len(own)
-            s += [before[1]] * len(own)
+                last = (us, *self._window(us, totals, events), *before)
+            n[begin:end], s[begin:end] = before
+        self.last.update(last)
+        first = last[0] // self.width - self.slices  # no later window reaches behind it
+        for k in touched:
+            if k >= first:
+                self.totals.updateValue((k,), totals[k])
+                self.events.updateValue((k,), (list(events[k]), *map(list, zip(*events[k].values(), strict=True))))
+        for k in stored:
+            if k < first:
+                self._drop(k)
+        if not stored:  # else a timer is set
+            self.handle.registerTimer(self._expiry(min(k for k in touched if k >= first)))
         yield batch[self.kept].assign(n=n, s=s)
 
+    def _drop(self, k: int) -> None:
+        self.totals.removeKey((k,))
+        self.events.removeKey((k,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        k = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.width - self.slices - 1
-        for state in (self.totals, self.events):
-            if state.containsKey((k,)):
-                state.removeKey((k,))
-        yield pd.DataFrame({c: [] for c in [*self.kept, "n", "s"]})
+        held, now = [k for (k,) in self.totals.keys()], expiredTimerInfo.getExpiryTimeInMs()
+        now = max(now, timerValues.getCurrentWatermarkInMs())
+        for k in held:
+            if self._expiry(k) <= now:
+                self._drop(k)
+        rest = [k for k in held if self._expiry(k) > now]
+        if rest:
+            self.handle.registerTimer(self._expiry(min(rest)))
+        return iter(())
 
     def close(self) -> None:
         pass

@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from riskloom.operators import windows
@@ -64,3 +66,67 @@ def test_old_slices_are_dropped(spark, tmp_path):
     held = spark.read.format("statestore").option("stateVarName", "totals").load(checkpoint).count()
     assert 0 < held < 20
     assert spark.read.parquet(sink).agg(F.max("tx_count_1d")).first()[0] == 4
+
+
+class MapState:
+    """A map of state that counts its calls."""
+
+    def __init__(self):
+        self.data, self.calls = {}, 0
+
+    def _called(self, value=None):
+        self.calls += 1
+        return value
+
+    def iterator(self):
+        return iter(self._called(list(self.data.items())))
+
+    def keys(self):
+        return iter(self._called(list(self.data)))
+
+    def containsKey(self, key):
+        return self._called(key in self.data)
+
+    def getValue(self, key):
+        return self._called(self.data.get(key))
+
+    def updateValue(self, key, value):
+        self._called(self.data.update({key: value}))
+
+    def removeKey(self, key):
+        self._called(self.data.pop(key))
+
+
+class Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_calls_to_the_state_do_not_grow_with_rows():
+    hour, timers, maps = 3_600_000_000, [], {}
+    handle = SimpleNamespace(getMapState=lambda name, *_: maps.setdefault(name, MapState()), getValueState=lambda *_: Value(),
+                             registerTimer=timers.append)
+    one = sv.Velocity(24 * hour, 24, ["id"])
+    one.init(handle)
+    calls = []
+    for batch, n in ((0, 10), (1, 1000)):  # ten rows an hour apart, then a thousand
+        us = [hour * (1000 * batch + i) + 7 for i in range(n)]
+        rows = pd.DataFrame({"id": range(n), "us": us, "amount": [1.0] * n})
+        out = pd.concat(list(one.handleInputRows((1,), iter([rows]), None)))
+        assert out["n"].tolist() == ([0] if batch == 0 else [10]) + [min(i, 24) for i in range(1, n)]
+        calls.append(sum(m.calls for m in maps.values()))
+    assert calls[1] - calls[0] < 2 * (2 * 25 + 10 + 5)  # slices of a window, not of the rows
+    assert len(timers) == 1 and {k for (k,) in maps["totals"].data} == set(range(1975, 2000))
+    # the timer drops what the watermark has passed, the next one waits for the first of the rest
+    late = SimpleNamespace(getCurrentWatermarkInMs=lambda: one._expiry(1980))
+    assert not list(one.handleExpiredTimer((1,), late, SimpleNamespace(getExpiryTimeInMs=lambda: timers[0])))
+    assert {k for (k,) in maps["events"].data} == set(range(1981, 2000)) and timers[1] == one._expiry(1981)
