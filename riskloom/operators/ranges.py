@@ -101,6 +101,7 @@ def asof_join(facts: DataFrame, on: str, rows: DataFrame, key: str, keep: list[s
     ship_package(spark)
     keep = keep or rows.columns
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = materialize(facts)  # the bounds of the partitions, the sort and the facts without a key read them
     simple = [F.col(f.name) for f in facts.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     left = facts.where(F.col(on).isNotNull()).select(
         F.col(on).alias("key"), F.lit(1).alias("kind"), F.xxhash64(*simple).alias("salt"),

@@ -76,3 +76,20 @@ def test_asof_join_of_empty_tables(spark):
     assert [tuple(r) for r in rg.asof_join(facts, "at", rows, "k").collect()] == [(1, 5, None, None)]
     rows = spark.createDataFrame([(1, "a")], "k long, v string")
     assert rg.asof_join(facts.limit(0), "at", rows, "k").collect() == []
+
+
+def test_merge_computes_the_facts_once(spark):
+    """Partition bounds, the sort and the facts without a key come from one pass over the facts."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            passes.add(b.num_rows)
+            yield b
+
+    facts = spark.range(500).selectExpr("id", "IF(id % 5 = 0, NULL, id) AS ip").mapInArrow(counted, "id long, ip long")
+    rows = spark.createDataFrame([(10 * i, f"r{i}") for i in range(40)], "start long, name string")
+    found = rg.asof_join(facts, "ip", rows, "start", ["name"]).collect()
+    assert {(r.id, r.name) for r in found} == {
+        (i, None if i % 5 == 0 else f"r{min(i // 10, 39)}") for i in range(500)} and len(found) == 500
+    assert passes.value == 500
