@@ -187,8 +187,8 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0, t
         for b in batches:
             out: list[tuple] = []
             held = 0
-            for doc, value in zip(b.column("doc_id"), b.column("text"), strict=True):
-                ids = enc.ids(value.as_py()) + end
+            for doc, own in zip(b.column("doc_id"), enc.ids_of(b.column("text").to_pylist()), strict=True):
+                ids = own + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     n = len(part) // 4

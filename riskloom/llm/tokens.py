@@ -7,7 +7,9 @@ those of its words in order, and a word seen before needs no second encoding.
 A word of Latin letters with closing punctuation is one or two pieces for
 either vocabulary and goes straight to the library's BPE model; every other
 word, and every text with other white space, takes the library's whole path.
-The memory holds a bounded number of words.
+The memory holds a bounded number of words.  Many texts at once (``ids_of``) are
+cut by Arrow, which numbers their different words: each is looked up once, and
+its ids are taken as often as the word occurs.
 """
 
 from __future__ import annotations
@@ -17,14 +19,24 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Words that each of a worker's tables holds at most.
 REMEMBERED = 600_000
+#: Characters of texts cut at once; a longer text is cut alone.
+TOGETHER = 8 << 20
 #: Letters that are letters, precomposed and of simple case in every Unicode version.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-þ]+").fullmatch
 
+#: Closing punctuation: a run of it is one piece after letters, and no special string has it only.
+_MARKS = ".,;:!?*%$#&"
+
 
 def vocabulary(name: str) -> str:
     """Path of one of the installed public vocabulary files."""
@@ -78,6 +90,7 @@ class TextEncoder:
         self.letters = _byte_letters()
         self.first = _Memory(lambda word: self._word("", word))  # words at the start of a line
         self.later = self.first if self.lower else _Memory(lambda word: self._word(" ", word))
+        self.marks = lru_cache(4096)(self._piece)  # closing punctuation
         self.feed = self.whole("\n")
 
     def _piece(self, piece: str) -> bytes:
@@ -85,21 +98,55 @@ class TextEncoder:
             self.letters)
         return _packed([t.id for t in self.model.tokenize(mapped)])
 
-    def _word(self, space: str, word: str) -> bytes:
-        core = word.rstrip(".,;:!?")
+    def _word(self, space: str, word: str) -> bytes | None:
+        """None for what is no word: nothing, or other white space inside."""
+        core = word.rstrip(_MARKS)
         if not core or not _PLAIN(core):
-            return self.whole(space + word)
+            return self.whole(space + word) if word.split() == [word] else None
         marks = word[len(core):]
         if self.lower:
             core = core.lower()
         if marks or core != word:  # the bare word has a place of its own
             bare = (self.later if space else self.first)[core]
-            return bare + self._piece(marks) if marks else bare
+            return bare + self.marks(marks) if marks else bare
         return self._piece(core if self.lower else space + core)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
+        """``ids`` of each text, in order."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text)
+            if chars >= TOGETHER:
+                yield from self._together(held)
+                held, chars = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        # a word that begins with a line feed is the first of its line
+        words = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        numbered = words.flatten().dictionary_encode()
+        first, later, feed = self.first, self.later, self.feed
+        table = []
+        for w in numbered.dictionary.to_pylist():
+            if w[:1] == "\n":
+                ids = first[w[1:]]
+                table.append(None if ids is None else feed + ids)
+            else:
+                table.append(later[w])
+        ids = pa.array(table, pa.large_binary()).take(numbered.indices)
+        at = words.offsets.to_numpy()
+        odd = np.concatenate([[0], np.cumsum(ids.is_null().to_numpy(zero_copy_only=False))])[at]
+        data = ids.buffers()[2]
+        data = data.to_pybytes() if data else b""
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[at].tolist()
+        skip = len(feed)  # no feed before the first line
+        return [data[a + skip:b] if s else self.whole(t)
+                for t, s, a, b in zip(texts, (odd[1:] == odd[:-1]).tolist(), ends, ends[1:], strict=False)]
+
     def ids(self, text: str) -> bytes:
         if text.replace("\n", " ").split(" ") != text.split():
             return self.whole(text)

@@ -154,8 +154,8 @@ def write_wavelet(docs: DataFrame, path: str, vocab: str | None = None, end_id:
                 schema=FILE)
 
         for b in batches:
-            for doc, value in zip(b.column("doc_id"), b.column("text"), strict=True):
-                ids = np.frombuffer(enc.ids(value.as_py()) + end, "<u4").astype(kind)
+            for doc, own in zip(b.column("doc_id"), enc.ids_of(b.column("text").to_pylist()), strict=True):
+                ids = np.frombuffer(own + end, "<u4").astype(kind)
                 docs_.append(doc.as_py())
                 lengths.append(len(ids))
                 held.append(ids)

@@ -25,6 +25,30 @@ def test_ids_equal_the_library(text):
         assert enc.ids(text) == enc.whole(text)
 
 
+WORDY = st.lists(st.sampled_from(["a", "B", "é", " ", " ", "\n", "  ", "\x1c", "***", "%%%", "#", "$&", ".", "'s", "<|endoftext|>",
+                                  "word", "Ç"]), max_size=12).map("".join)
+
+
+@pytest.mark.parametrize("together", [1, 20, 1 << 23])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(WORDY | TEXT, max_size=6))
+def test_ids_of_many_texts_equal_the_library(together, texts):
+    tokens.TOGETHER, before = together, tokens.TOGETHER
+    try:
+        for enc in ENCODERS.values():
+            assert list(enc.ids_of(texts)) == [enc.whole(t) for t in texts]
+    finally:
+        tokens.TOGETHER = before
+
+
+def test_a_word_of_many_texts_is_looked_up_once():
+    for name in ENCODERS:
+        enc, asked = tokens.TextEncoder(tokens.vocabulary(name)), []
+        enc.later = type("Counting", (dict,), {"__getitem__": lambda _, w: asked.append(w) or enc._word(" ", w)})()
+        assert len(list(enc.ids_of(["the same words the same words***"] * 50))) == 50
+        assert len(asked) <= 5  # same, words, the, words*** and its bare word
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 8, 1 << 16])
 @settings(max_examples=200, deadline=None)
 @given(text=TEXT | st.text(max_size=20))
