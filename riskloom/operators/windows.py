@@ -19,10 +19,14 @@ DAY_US = 86_400_000_000
 
 
 def _attach(df: DataFrame, keys: list[str], aggs: list, small: bool = False,
-            stats_from: DataFrame | None = None) -> DataFrame:
+            stats_from: DataFrame | None = None, row_id: str | None = None) -> DataFrame:
     """Group ``stats_from`` (default ``df``) by ``keys`` and left-join the
     aggregates onto ``df``.  Passing a materialised base as ``stats_from``
-    keeps chained feature plans linear instead of nesting ``df`` in itself."""
+    keeps chained feature plans linear instead of nesting ``df`` in itself.
+
+    ``row_id`` (never null, written with ``stats_from``, one value a row): the
+    aggregates go to (row_id, keys) of ``stats_from`` and from there to ``df``
+    by ``row_id``.  Calls in a chain that share it move the wide rows once."""
     cond = F.col(keys[0]).isNotNull()
     for k in keys[1:]:
         cond = cond & F.col(k).isNotNull()
@@ -30,7 +34,10 @@ def _attach(df: DataFrame, keys: list[str], aggs: list, small: bool = False,
     stats = src.where(cond).groupBy(*keys).agg(*aggs)
     if small:
         stats = written_side(stats)
-    return df.join(stats, on=keys, how="left")
+    if row_id is None:
+        return df.join(stats, on=keys, how="left")
+    found = src.where(cond).select(row_id, *keys).join(stats, on=keys).drop(*keys)
+    return df.join(found, on=row_id, how="left")
 
 
 def customer_totals(df: DataFrame, key: str = "customer_id", amount: str = "transaction_amount") -> DataFrame:
@@ -46,9 +53,10 @@ def customer_totals(df: DataFrame, key: str = "customer_id", amount: str = "tran
 
 
 def customer_totals_full(df: DataFrame, key: str = "customer_id", amount: str = "transaction_amount",
-                         stats_from: DataFrame | None = None) -> DataFrame:
+                         stats_from: DataFrame | None = None, row_id: str | None = None) -> DataFrame:
     """total count / amount / average (own amount when undefined) and logs."""
-    out = _attach(df, [key], [F.count(amount).alias("__n"), F.sum(amount).alias("__s")], stats_from=stats_from)
+    out = _attach(df, [key], [F.count(amount).alias("__n"), F.sum(amount).alias("__s")], stats_from=stats_from,
+                  row_id=row_id)
     n = F.coalesce(F.col("__n"), F.lit(0)).cast("double")
     s = F.coalesce(F.col("__s"), F.lit(0.0))
     return (out.withColumn("cust_total_txn", n)
@@ -60,11 +68,11 @@ def customer_totals_full(df: DataFrame, key: str = "customer_id", amount: str =
 
 
 def entity_count(df: DataFrame, keys: list[str], name: str, amount: str = "transaction_amount",
-                 small: bool = False, stats_from: DataFrame | None = None) -> DataFrame:
+                 small: bool = False, stats_from: DataFrame | None = None, row_id: str | None = None) -> DataFrame:
     """Count of non-null amounts per entity key(s) + its log1p; null key -> 0.
     ``small=True`` for low-cardinality keys (device): the aggregate is
     written, so the planner broadcasts it when it is small and the fact table is not shuffled."""
-    out = _attach(df, keys, [F.count(amount).alias("__n")], small=small, stats_from=stats_from)
+    out = _attach(df, keys, [F.count(amount).alias("__n")], small=small, stats_from=stats_from, row_id=row_id)
     n = F.coalesce(F.col("__n"), F.lit(0)).cast("double")
     return out.withColumn(name, n).withColumn(f"{name}_log", F.log1p(n)).drop("__n")
 

@@ -5,7 +5,8 @@ they are built; the returned table is a lazy chain of joins over them.
 Shuffles at scale: the three side-rate tables are pre-aggregated (their
 inputs are collapsed before their own joins) and written, so the planner
 broadcasts them by their size and the fact table is not shuffled for them; per-entity counts are
-grouped (map-side combine) and joined back (AQE splits hot keys); the 95 %
+grouped (map-side combine), joined to the rows' numbers (AQE splits hot keys) and from
+there to the wide rows, which move once for all of them; the 95 %
 quantile and the medians use the distributed exact quantile.
 """
 
@@ -24,6 +25,8 @@ from ..sources import fixtures as fx
 
 RATE_COLS = ["cnt_txn_counterfeit_rate_pm", "cnt_txn_count_pm", "cnt_txn_counterfeit_rate_loc_pm",
              "cnt_txn_count_loc_pm", "cnt_prod_counterfeit_rate_cat", "cnt_prod_count_cat"]
+#: Number of a row of the written base.
+ROW = "__row"
 
 
 def side_rates(spark, sf) -> dict[str, DataFrame]:
@@ -46,10 +49,11 @@ def enrich_with_rates(t: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
 def engineer(t: DataFrame) -> DataFrame:
     """Date, hour, amount, age and per-entity features on an enriched table.
 
-    The row-wise features are computed first and written once
-    (``materialize``: reliable checkpoint); every statistic (95 % quantile,
-    medians, entity counts) is then computed from that base and joined back
-    in a linear chain, so no stage recomputes the enrichment joins.
+    The enriched rows are written once with a number each (``materialize``);
+    every statistic (95 % quantile, medians, entity counts) is computed from
+    that base.  Entity counts come back by the row's number, so the wide rows
+    are shuffled once for all entities, and what follows from a row's own
+    columns is computed after that.
     """
     t = t.withColumn("transaction_date", F.col("transaction_date").cast("timestamp_ntz"))
     t = t.withColumns({
@@ -62,18 +66,25 @@ def engineer(t: DataFrame) -> DataFrame:
         "account_age_days": to_numeric("account_age_days"),
         "customer_age": to_numeric("customer_age"),
     })
+    own = t.columns
+    base = materialize(t.withColumn(ROW, F.monotonically_increasing_id()))
+
+    t = windows.entity_count(base, ["customer_id", "tx_date"], "cust_txn_per_day", stats_from=base, row_id=ROW)
+    t = windows.customer_totals_full(t, stats_from=base, row_id=ROW)
+    t = windows.entity_count(t, ["ip_address"], "ip_txn_count", stats_from=base, row_id=ROW)
+    t = windows.entity_count(t.drop(ROW), ["device_used"], "device_txn_count", small=True, stats_from=base)
+    entity = [c for c in t.columns if c not in own]
+
     t = t.withColumns({
         "hour_sin": ff.hour_sin("transaction_hour"), "hour_cos": ff.hour_cos("transaction_hour"),
         "is_night": ff.is_night("transaction_hour"), "is_weekend": ff.is_weekend("tx_dayofweek"),
         "log_amount": ff.log_amount("transaction_amount"),
         "amount_per_unit": ff.amount_per_unit("transaction_amount", "quantity"),
     })
-    base = materialize(t)
-
     scal = exact_quantile_specs(base, [("transaction_amount", 0.95, "__q95"),
                                        ("account_age_days", 0.5, "__med_account_age_days"),
                                        ("customer_age", 0.5, "__med_customer_age")])
-    t = cross_join_scalar(base, scal)  # one row
+    t = cross_join_scalar(t, scal)  # one row
     t = t.withColumns({
         "is_high_amount": ff.is_high_amount("transaction_amount", "__q95"),
         "account_age_days": F.coalesce("account_age_days", "__med_account_age_days"),
@@ -81,10 +92,8 @@ def engineer(t: DataFrame) -> DataFrame:
     }).drop("__q95", "__med_account_age_days", "__med_customer_age")
     t = t.withColumns({"account_age_bucket": ff.account_age_bucket("account_age_days"),
                        "customer_age_bucket": ff.customer_age_bucket("customer_age")})
-    t = windows.entity_count(t, ["customer_id", "tx_date"], "cust_txn_per_day", stats_from=base)
-    t = windows.customer_totals_full(t, stats_from=base)
-    t = windows.entity_count(t, ["ip_address"], "ip_txn_count", stats_from=base)
-    t = windows.entity_count(t, ["device_used"], "device_txn_count", small=True, stats_from=base)
+    keys = ["device_used", "ip_address", "customer_id", "tx_date"]
+    t = t.select(*keys, *(c for c in t.columns if c not in {*keys, *entity}), *entity)
     return clean.fill_zero_all(t)
 
 
