@@ -171,6 +171,8 @@ def pack_lengths(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return fixed + best_fit(rest, capacity)
 
 
+#: Characters cut and bytes of ids held at once: small, as stages before this one leave executors nearly full.
+TOGETHER, HELD = 2 << 20, 4 << 20
 PIECE = "doc_id long, task int, no long, piece int, start long, length int, nth long, ids binary"
 
 
@@ -187,7 +189,8 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0, t
         for b in batches:
             out: list[tuple] = []
             held = 0
-            for doc, own in zip(b.column("doc_id"), enc.ids_of(b.column("text").to_pylist()), strict=True):
+            for doc, own in zip(b.column("doc_id"), enc.ids_of((t.as_py() for t in b.column("text")), TOGETHER),
+                                strict=True):
                 ids = own + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
@@ -196,7 +199,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0, t
                     ranks[n] += 1
                     held += len(part)
                 no += 1
-                if held > 16 << 20:
+                if held > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
                     out, held = [], 0
             if out:

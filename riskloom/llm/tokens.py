@@ -19,7 +19,7 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -114,13 +114,13 @@ class TextEncoder:
     def whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
-        """``ids`` of each text, in order."""
-        held, chars = [], 0
+    def ids_of(self, texts: Iterable[str], together: int | None = None) -> Iterator[bytes]:
+        """``ids`` of each text, in order; ``together`` (``TOGETHER``) characters are cut at once."""
+        held, chars, together = [], 0, together or TOGETHER
         for text in texts:
             held.append(text)
             chars += len(text)
-            if chars >= TOGETHER:
+            if chars >= together:
                 yield from self._together(held)
                 held, chars = [], 0
         yield from self._together(held)

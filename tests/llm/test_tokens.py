@@ -145,3 +145,12 @@ def test_wavelet_matrix(n):
         k = int(rng.integers(0, len(where)))
         assert w.select(token, k) == where[k] and w.select(token, len(where)) == -1
     assert w.count(511) == 0 and w.count(1 << 9) == 0 and w.select(1 << 9, 0) == -1
+
+
+def test_ids_of_cuts_no_more_texts_at_once_than_told():
+    enc, taken = tokens.encoder(tokens.vocabulary("word_bpe_49k.json")), []
+    texts = [f"line {i} of some words\nand more" for i in range(100)]
+    ids = enc.ids_of((taken.append(t) or t for t in texts), 200)
+    first = next(ids)
+    assert sum(map(len, taken)) < 200 + len(texts[0]) + 2
+    assert [first, *ids] == [enc.whole(t) for t in texts]
