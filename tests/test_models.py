@@ -24,6 +24,18 @@ def test_gbt_time_model_and_holdout(spark):
     assert sorted(r[0] for r in h.select("transaction_id").collect()) == list(range(h.count()))
 
 
+def test_time_model_is_refitted_on_all_rows(spark):
+    out = q_ml.q_fit_boosted_time(spark, SF_SMALL, rounds=4).collect()
+    h = q_ml.q_holdout_predict(spark, SF_SMALL, rounds=4).collect()  # the refit, on the same rows without their ids
+    assert sorted(r.refit_prob for r in out) == sorted(r.prob for r in h)
+    assert sorted(r.refit_prob for r in out) != sorted(r.prob for r in out)
+    # the first fit has only seen the first 70 % of the time
+    e = q_ml._time_split(spark, SF_SMALL)
+    m = ml.fit(e.where("split = 'train'"), q_ml.TIME_FEATS, ml.gbt_time("is_fraudulent", 4), row_id="transaction_id")
+    first = {r.transaction_id: r.prob for r in q_ml._predict(m, e.where("split = 'test'"), q_ml.TIME_FEATS).collect()}
+    assert {r.transaction_id: r.prob for r in out} == first
+
+
 def test_ids_are_kept_or_generated(spark):
     rows = spark.createDataFrame([(3.0, 9), (1.0, 7), (2.0, None)], "x double, id long")
     assert scoring.with_row_ids(rows, "ID", ["x"]) is rows
