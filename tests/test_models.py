@@ -56,6 +56,25 @@ def test_baselines_on_their_own_features(spark):
     assert rows.count() == n and {"tx_count_7d", "PM_1-URGENT", "address_match"} <= set(names)
 
 
+def test_engineered_steps_start_from_written_tables(spark, monkeypatch):
+    """A plan that holds the earlier steps repeats them, and their shuffles, in each later one."""
+    plans, tables = [], []
+    for module, name in ((baselines.windows, "velocity"), (baselines.windows, "customer_tx_count_ratio"),
+                         (baselines.splits, "stratified_split")):
+        def step(df, *args, _run=getattr(module, name), **more):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            tables.append(df.columns)
+            return _run(df, *args, **more)
+        monkeypatch.setattr(module, name, step)
+    t = fx.transactions_orders(spark, SF_SMALL)
+    rows, _ = baselines.engineered(t)
+    assert len(plans) == 4 and not any("Window" in p for p in plans)
+    assert not any("Join" in p for p in plans[1:])  # the first one has the medians beside the rows
+    assert not any({"ip_address", "shipping_address", "customer_location"} & set(c) for c in tables)
+    # what is left behind still reads: the split has a table of its own
+    assert rows.count() == t.count()
+
+
 def test_estimators_have_the_stated_settings():
     def of(s):
         return (s.rounds, s.learning_rate, s.max_leaves, s.max_depth, s.min_rows, s.min_hessian, s.l1, s.l2, s.rows,
