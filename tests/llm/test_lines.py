@@ -168,6 +168,23 @@ def test_shingles_are_all_windows(spark):
         assert sorted(r.s) == sorted(shingles(r.line))
 
 
+def test_bands_are_the_first_hashes_from_each_start(spark):
+    """However the hashes lie: evenly, all below or above a start, on it, next to it."""
+    rng = random.Random(13)
+    starts = [-(1 << 63) + i * ((1 << 64) // lines.BANDS) for i in range(lines.BANDS)]
+    near = [x + k for x in starts[1:] for k in (-1, 0, 1)]
+    sets = [{rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)} for n in (25, 26, 31, 32, 33, 100, 361, 2000)]
+    sets += [set(near), set(range(-40, 0)), set(range(starts[-1] - 40, starts[-1])), set(range((1 << 63) - 50, 1 << 63)),
+             set(range(-(1 << 63), 40 - (1 << 63))), {*near, *range(starts[5], starts[5] + 100)}]
+    hashes = [sorted(x) for x in sets]
+    rows = [(i, h, [([x for x in h if x >= s] + h)[:lines.ROWS] for s in starts]) for i, h in enumerate(hashes)]
+    F = lines.F
+    df = spark.createDataFrame(rows, "id int, h array<long>, firsts array<array<long>>").withColumn(
+        "expected", F.transform("firsts", lambda x, i: F.xxhash64(x, F.lit(300) + i)))
+    for r in df.select("id", "expected", lines._bands(F.col("h"), 3).alias("got")).collect():
+        assert r.got == r.expected, r.id
+
+
 def test_empty(make_docs):
     assert lines.line_classes(make_docs([])).count() == 0
     assert lines.dedup_lines(make_docs([])).count() == 0
